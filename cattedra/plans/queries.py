@@ -1,25 +1,64 @@
 """Registered queries: one per operator family of the inventory.
 
 Each query takes ``(spark, sf_dir)``, reads the driver's tables through the
-test-data mapping and returns a lazy DataFrame. Parameters are fixed values
-(years, keys, dates) so results are reproducible; nothing reads the clock.
+test-data mapping and returns a lazy DataFrame over the whole tables.
+Parameters are fixed values (years, keys, dates) so results are reproducible;
+nothing reads the clock. Each query sits next to its DuckDB oracle SQL.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cattedra.functions import (
+    academic_year, clean_prof_name, isbn13, isbn13_valid, isbn_strip, isbn_to_number, name_key,
+    py_title, sqlite_int, tenant_key,
+)
 from cattedra.operators import aggregates as agg
+from cattedra.operators import changes as chg
+from cattedra.operators import directory as dirs
+from cattedra.operators import listings as lst
+from cattedra.operators import select as sel
+from cattedra.operators import setops
+from cattedra.operators.numbering import with_group_index
+from cattedra.operators.resolve import resolve_adoptions, resolve_contacts
 from cattedra.plans import oracle as O
 from cattedra.plans import testdata as td
+from cattedra.plans.oracle import ADOPTIONS_CTE as A_CTE
+from cattedra.plans.oracle import CONTACTS_CTE as C_CTE
+from cattedra.plans.oracle import DIRECTORY_CTE as D_CTE
+from cattedra.plans.oracle import LOG_CTE as L_CTE
+from cattedra.schemas import ADOPTION_COLUMNS, CONTACT_COLUMNS
 from cattedra.session import apply_runtime_conf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
+# --- Fixed values: query parameters (keys present at every scale factor). ---
+UNI_KEYS_JSON = '{"NATION_1": "on", "NATION_7": "on", "NATION_12": "on"}'
+SECTOR_VALUES_JSON = '["ECONOMY", "PROMO"]'
+LECTURER_IDS_JSON = '["1", "2", "3", "5", "8"]'
+BOOK_KEYS = ["7", "8", "9", "31"]
+ONE_BOOK = "7"
+YEAR = 1997
+ONE_LECTURER = "Supplier 000000001"
+AUDIENCE_NAME = "Promo autunno"
+AUDIENCE_DATE = dt.date(2025, 1, 15)
+DRILL_LECTURER_DATE = "1998-10-01"
+DRILL_BOOK_DATE = "1998-03-01"
+SEARCH_NEEDLE = "blue"
+DOC_NEEDLE = "license"
+JSON_EVENT_KEYS = '{"click": "on", "purchase": "on"}'
+ADHOC_SQL = ("SELECT uni_cod, a_a, COUNT(*) AS n_rows, SUM(laurea_matricole) AS studenti "
+             "FROM adozioni WHERE a_a >= :y GROUP BY uni_cod, a_a")
+ADHOC_YEAR = 1996
+# --- end of fixed values ---
+
 
 def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
@@ -35,8 +74,641 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# ---------------------------------------------------------------- reports
-@register("students_per_book", O.with_adoptions(O.STUDENTS_PER_BOOK_SQL))
+def _cols(cols) -> str:
+    return ", ".join(cols)
+
+
+def _directory(spark, sf_dir):
+    return dirs.build_directory(td.directory_sources(spark, sf_dir))
+
+
+# ------------------------------------------------------------ reports (A)
+@register("students_per_book", O.with_ctes("""
+SELECT tbl1.isbn, tbl2.titolo, tbl2.autore, tbl2.editore, tbl1.studenti
+FROM (SELECT isbn, CAST(sum(CAST(studenti AS BIGINT)) AS BIGINT) AS studenti
+      FROM (SELECT DISTINCT uni_cod, laurea_nome, isbn, laurea_matricole AS studenti FROM adozioni) cts
+      GROUP BY isbn) tbl1
+JOIN (SELECT DISTINCT isbn, titolo, autori || ' ' || curatori AS autore, editore FROM adozioni) tbl2
+  ON tbl1.isbn = tbl2.isbn""", A_CTE))
 def q_students_per_book(spark, sf_dir):
     """A1 + J3: students per book over all adoptions."""
     return agg.students_per_book(td.adoptions(spark, sf_dir))
+
+
+@register("students_one_book", O.with_ctes(f"""
+SELECT CAST(SUM(laurea_matricole) AS BIGINT) AS totale_studenti
+FROM (SELECT DISTINCT laurea_nome, laurea_matricole FROM adozioni WHERE isbn = '{ONE_BOOK}') s""", A_CTE))
+def q_students_one_book(spark, sf_dir):
+    """A5: students for one book."""
+    return agg.students_one_book(td.adoptions(spark, sf_dir), ONE_BOOK)
+
+
+@register("summary_counts", O.with_ctes("""
+SELECT count(uni_cod) AS uni_cod_count, count(DISTINCT uni_cod) AS uni_cod_unique,
+       count(isbn) AS isbn_count, count(DISTINCT isbn) AS isbn_unique,
+       count(materia_ssd_cod) AS materia_ssd_cod_count, count(DISTINCT materia_ssd_cod) AS materia_ssd_cod_unique,
+       count(insegnamento_prof) AS insegnamento_prof_count,
+       count(DISTINCT insegnamento_prof) AS insegnamento_prof_unique
+FROM adozioni""", A_CTE))
+def q_summary_counts(spark, sf_dir):
+    """A3: per-column counts of the dashboard summary."""
+    return agg.summary_counts(td.adoptions(spark, sf_dir))
+
+
+@register("distinct_values", O.with_ctes("""
+SELECT 'uni_cod' AS column_name, count(*) AS n_values, string_agg(v, ', ' ORDER BY v) AS value_list
+FROM (SELECT DISTINCT CAST(uni_cod AS VARCHAR) AS v FROM adozioni WHERE uni_cod IS NOT NULL) a
+UNION ALL
+SELECT 'materia_ssd_cod', count(*), string_agg(v, ', ' ORDER BY v)
+FROM (SELECT DISTINCT CAST(materia_ssd_cod AS VARCHAR) AS v FROM adozioni WHERE materia_ssd_cod IS NOT NULL) b""",
+                                        A_CTE))
+def q_distinct_values(spark, sf_dir):
+    """A3/C14: value lists of the summary (bounded code domains)."""
+    out = agg.distinct_values(td.adoptions(spark, sf_dir))
+    return out.select(F.col("column").alias("column_name"), "n_values", F.col("values").alias("value_list"))
+
+
+@register("first_contact_per_pair", O.with_ctes(f"""
+SELECT {_cols(c if c != 'isbn' else "coalesce(isbn, 'Nessun saggio') AS isbn" for c in CONTACT_COLUMNS)}
+FROM (SELECT *, row_number() OVER (PARTITION BY insegnamento_prof, isbn ORDER BY record_id) AS rn
+      FROM docenti_router) t WHERE rn = 1""", C_CTE))
+def q_first_contact_per_pair(spark, sf_dir):
+    """A4: one contact per (lecturer, sample copy), the first by record id."""
+    return agg.first_contact_per_pair(td.contacts(spark, sf_dir)).select(*CONTACT_COLUMNS)
+
+
+# ---------------------------------------------------------- selections (F)
+_ALL_A = _cols(ADOPTION_COLUMNS)
+
+
+@register("select_university", O.with_ctes(f"""
+SELECT {_ALL_A} FROM adozioni WHERE uni_cod IN ('NATION_1', 'NATION_7', 'NATION_12')""", A_CTE))
+def q_select_university(spark, sf_dir):
+    """F1 + J5: universities chosen as JSON object keys (semi-join)."""
+    keys = sel.keys_from_json(spark, UNI_KEYS_JSON, "keys")
+    return sel.select_by(td.adoptions(spark, sf_dir), "uni_cod", keys)
+
+
+@register("select_sector", O.with_ctes(f"""
+SELECT {_ALL_A} FROM adozioni WHERE materia_ssd_cod IN ('ECONOMY', 'PROMO')""", A_CTE))
+def q_select_sector(spark, sf_dir):
+    """F2 + J5: sectors chosen as JSON array values."""
+    keys = sel.keys_from_json(spark, SECTOR_VALUES_JSON, "values")
+    return sel.select_by(td.adoptions(spark, sf_dir), "materia_ssd_cod", keys)
+
+
+@register("select_lecturer", O.with_ctes(f"""
+SELECT {_ALL_A} FROM adozioni WHERE prof_id IN (1, 2, 3, 5, 8)""", A_CTE))
+def q_select_lecturer(spark, sf_dir):
+    """lecturer ids sent as text, compared as numbers."""
+    keys = sel.keys_from_json(spark, LECTURER_IDS_JSON, "values")
+    return sel.select_by(td.adoptions(spark, sf_dir), "prof_id", keys)
+
+
+@register("select_book", O.with_ctes(f"""
+SELECT {_ALL_A} FROM adozioni WHERE isbn IN ('7', '8', '9', '31')""", A_CTE))
+def q_select_book(spark, sf_dir):
+    """a literal key list, pushed down as IN."""
+    return sel.select_by(td.adoptions(spark, sf_dir), "isbn", BOOK_KEYS)
+
+
+@register("selection_chain", O.with_ctes(f"""
+SELECT {_ALL_A} FROM adozioni
+WHERE uni_cod IN ('NATION_1', 'NATION_7', 'NATION_12') AND materia_ssd_cod IN ('ECONOMY', 'PROMO')""", A_CTE))
+def q_selection_chain(spark, sf_dir):
+    """Q1: university step, then sector step on the active set."""
+    base = td.adoptions(spark, sf_dir)
+    step1 = sel.select_by(base, "uni_cod", sel.keys_from_json(spark, UNI_KEYS_JSON, "keys"))
+    step2 = sel.select_by(sel.active_set(base, step1), "materia_ssd_cod",
+                          sel.keys_from_json(spark, SECTOR_VALUES_JSON, "values"))
+    return step2
+
+
+@register("filter_builder", O.with_ctes(f"""
+SELECT {_ALL_A} FROM adozioni
+WHERE materia_ssd_cod IN ('ECONOMY', 'PROMO') AND contains(lower(insegnamento_prof), 'plier 00000001')
+  AND contains(lower(facolta), 'urgent') AND a_a = 1997""", A_CTE))
+def q_filter_builder(spark, sf_dir):
+    """List, substring (any case), equality; blanks dropped."""
+    params = [("materia_ssd_cod", ["ECONOMY", " PROMO"]), ("insegnamento_prof", "PLIER 00000001"),
+              ("facolta", "Urgent"), ("isbn", ""), ("uni_cod", None), ("laurea_nome", [""]),
+              ("a_a", "1997")]
+    return sel.where_params(td.adoptions(spark, sf_dir), params)
+
+
+@register("isbn_list_filter", O.with_ctes(f"""
+SELECT {_ALL_A} FROM adozioni WHERE isbn IN ('7', '8', '9')""", A_CTE))
+def q_isbn_list_filter(spark, sf_dir):
+    """comma-separated isbn list, trimmed."""
+    return sel.where_params(td.adoptions(spark, sf_dir), [("isbn", "7, 8 ,9")])
+
+
+@register("request_filter", O.with_ctes(f"""
+SELECT {_ALL_A} FROM adozioni
+WHERE a_a = 1997 AND materia_ssd_cod IN ('ECONOMY', 'SMALL') AND editore IN ('Brand#1', 'Brand#2', 'Brand#3')""",
+                                        A_CTE))
+def q_request_filter(spark, sf_dir):
+    """the adoption request form over landed data."""
+    req = {"a_a": str(YEAR), "materia_ssd_cod": ["ECONOMY", "SMALL"], "isbn": [""],
+           "editore": ["Brand#1", "Brand#2", "Brand#3"], "page": "2", "ult_agg": "2024-01-01"}
+    return sel.request_filter(td.adoptions(spark, sf_dir), req)
+
+
+_SEARCH = " OR ".join(f"contains(lower(CAST({c} AS VARCHAR)), '{SEARCH_NEEDLE}')" for c in ADOPTION_COLUMNS)
+
+
+@register("free_text_search", O.with_ctes(f"SELECT {_ALL_A} FROM adozioni WHERE {_SEARCH}", A_CTE))
+def q_free_text_search(spark, sf_dir):
+    """substring in any column of the adoptions."""
+    return sel.free_text_search(td.adoptions(spark, sf_dir), SEARCH_NEEDLE)
+
+
+@register("free_text_search_documents", f"""
+SELECT doc_id, lang, source, n_chars FROM documents
+WHERE contains(lower(CAST(doc_id AS VARCHAR)), '{DOC_NEEDLE}') OR contains(lower(text), '{DOC_NEEDLE}')
+   OR contains(lower(lang), '{DOC_NEEDLE}') OR contains(lower(source), '{DOC_NEEDLE}')
+   OR contains(lower(CAST(n_chars AS VARCHAR)), '{DOC_NEEDLE}')""")
+def q_free_text_search_documents(spark, sf_dir):
+    """F13 over whole document texts."""
+    docs = td.table(spark, sf_dir, "documents")
+    return sel.free_text_search(docs, DOC_NEEDLE).select("doc_id", "lang", "source", "n_chars")
+
+
+@register("json_param_select", f"""
+SELECT event_id, user_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+FROM events WHERE event_type IN (SELECT unnest(json_keys('{JSON_EVENT_KEYS}')))""")
+def q_json_param_select(spark, sf_dir):
+    """Keys of a JSON parameter select rows; a JSON field is extracted."""
+    ev = td.table(spark, sf_dir, "events")
+    keys = sel.keys_from_json(spark, JSON_EVENT_KEYS, "keys")
+    out = sel.select_by(ev, "event_type", keys)
+    return out.select("event_id", "user_id", "event_type",
+                      F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+# ------------------------------------------------------------ listings (L)
+def _listing_sql(name: str) -> str:
+    return O.with_ctes(f"SELECT DISTINCT {_cols(lst.LISTINGS[name])} FROM adozioni", A_CTE)
+
+
+for _name, _key in [("list_adoptions", "adoptions"), ("list_lecturers", "lecturers"), ("list_books", "books"),
+                    ("dashboard_adoptions", "dashboard_adoptions"),
+                    ("dashboard_lecturers", "dashboard_lecturers"),
+                    ("new_adoption_base", "new_adoption_base")]:
+    def _make(key):
+        def q(spark, sf_dir):
+            return lst.listing(td.adoptions(spark, sf_dir), key)
+        q.__doc__ = f"L: distinct {key} listing."
+        return q
+    register(_name, _listing_sql(_key))(_make(_key))
+
+
+@register("list_courses", _listing_sql("courses"))
+def q_list_courses(spark, sf_dir):
+    """L2 + T1: courses ordered by university, degree, subject."""
+    return lst.courses(td.adoptions(spark, sf_dir))
+
+
+@register("sector_lecturers", O.with_ctes(
+    "SELECT DISTINCT insegnamento_prof FROM adozioni WHERE materia_ssd_cod = 'ECONOMY'", A_CTE))
+def q_sector_lecturers(spark, sf_dir):
+    """Lecturers of a sector."""
+    ado = sel.where_params(td.adoptions(spark, sf_dir), [("materia_ssd_cod", ["ECONOMY"])])
+    return lst.listing(ado, "sector_lecturers")
+
+
+@register("lecturer_books", O.with_ctes(
+    f"SELECT DISTINCT isbn, titolo FROM docenti_router WHERE insegnamento_prof = '{ONE_LECTURER}'", C_CTE))
+def q_lecturer_books(spark, sf_dir):
+    """Books sent to a lecturer."""
+    c = td.contacts(spark, sf_dir).filter(F.col("insegnamento_prof") == F.lit(ONE_LECTURER))
+    return lst.listing(c, "lecturer_books")
+
+
+_BOOK_ORDER = ", ".join(f"{c} NULLS FIRST" for c in lst.LISTINGS["books"])
+_COURSE_ORDER = ", ".join(f"{c} NULLS FIRST" for c in lst.LISTINGS["courses"])
+
+
+@register("page_3", O.with_ctes(f"""
+SELECT * FROM (SELECT DISTINCT {_cols(lst.LISTINGS['books'])} FROM adozioni) b
+ORDER BY {_BOOK_ORDER} LIMIT 100 OFFSET 200""", A_CTE))
+def q_page_3(spark, sf_dir):
+    """T5: page 3 of the book listing (100 per page), per-task top-K."""
+    return lst.page(lst.listing(td.adoptions(spark, sf_dir), "books"), 3).rows
+
+
+@register("page_indexed", O.with_ctes(f"""
+SELECT * FROM (SELECT DISTINCT {_cols(lst.LISTINGS['courses'])} FROM adozioni) b
+ORDER BY {_COURSE_ORDER} LIMIT 100 OFFSET 1000""", A_CTE))
+def q_page_indexed(spark, sf_dir):
+    """T5 deep-page path: exact global row numbers, no single-task window."""
+    courses = lst.listing(td.adoptions(spark, sf_dir), "courses")
+    return lst.page_slice(courses, lst.total_order(courses), 11, 100, top_k_limit=0)
+
+
+@register("preview_5", O.with_ctes(f"""
+SELECT {_cols(lst.PREVIEW_COLUMNS)} FROM adozioni
+ORDER BY {", ".join(f"{c} NULLS FIRST" for c in lst.PREVIEW_COLUMNS)} LIMIT 5""", A_CTE))
+def q_preview_5(spark, sf_dir):
+    """T6 + P5: 8-column preview, first five rows (the limit is the feature)."""
+    return lst.preview(td.adoptions(spark, sf_dir).select(*lst.PREVIEW_COLUMNS), 5)
+
+
+# ------------------------------------------------------- new adoptions
+_NA_KEY = _cols(setops.NEW_ADOPTION_KEY)
+
+
+@register("new_adoptions", O.with_ctes(f"""
+SELECT {_NA_KEY} FROM adozioni WHERE a_a = {YEAR}
+EXCEPT SELECT {_NA_KEY} FROM adozioni WHERE a_a = {YEAR - 1}""", A_CTE))
+def q_new_adoptions(spark, sf_dir):
+    """Tuples of the year absent the year before (null-safe EXCEPT)."""
+    return setops.new_adoptions(td.adoptions(spark, sf_dir), YEAR)
+
+
+@register("new_adoptions_by_key", O.with_ctes(f"""
+SELECT DISTINCT {_NA_KEY} FROM adozioni c WHERE a_a = {YEAR} AND NOT EXISTS (
+  SELECT 1 FROM adozioni p WHERE p.a_a = {YEAR - 1}
+    AND p.laurea_nome IS NOT DISTINCT FROM c.laurea_nome AND p.isbn IS NOT DISTINCT FROM c.isbn)""", A_CTE))
+def q_new_adoptions_by_key(spark, sf_dir):
+    """U1 documented meaning: degree and book not adopted the year before."""
+    return setops.new_adoptions_by_key(td.adoptions(spark, sf_dir), YEAR, ["laurea_nome", "isbn"])
+
+
+@register("new_adoptions_filtered", O.with_ctes(f"""
+SELECT {_NA_KEY} FROM adozioni WHERE a_a = {YEAR} AND uni_cod = 'NATION_3' AND contains(lower(laurea_nome), 'build')
+EXCEPT SELECT {_NA_KEY} FROM adozioni WHERE a_a = {YEAR - 1} AND uni_cod = 'NATION_3'
+  AND contains(lower(laurea_nome), 'build')""", A_CTE))
+def q_new_adoptions_filtered(spark, sf_dir):
+    """Q3: new adoptions with optional filters over the L7 base (F12 window)."""
+    from cattedra.plans.reports import new_adoption_report
+    return new_adoption_report(td.adoptions(spark, sf_dir), YEAR,
+                               [("uni_cod", "NATION_3"), ("laurea_nome", "build"), ("titolo", ""),
+                                ("editore", None)])
+
+
+# ------------------------------------------------- directory and lecturers
+_DIR_COLS = "prof_id, uni_cod, insegnamento_prof, insegnamento_id, insegnamento_prof_www, materia_ssd_cod, materia_nome"
+
+
+@register("directory_latest", O.with_ctes(f"SELECT {_DIR_COLS} FROM tuttidocenti", D_CTE))
+def q_directory_latest(spark, sf_dir):
+    """Q9: 5-table chain + latest course per lecturer (J4 + W1)."""
+    return _directory(spark, sf_dir)
+
+
+_LECT_TIES = ", ".join(f"{c} NULLS FIRST" for c in CONTACT_COLUMNS if c not in ("prof_id", "insegnamento_id"))
+_DIR_AS_CONTACT = ("SELECT uni_cod, '' AS facolta, materia_ssd_cod, materia_nome, insegnamento_prof, "
+                   "insegnamento_prof_www, prof_id, insegnamento_id, '' AS email, '' AS indirizzo, '' AS citta, "
+                   "'' AS telefono, '' AS note, '' AS isbn, '' AS titolo, '' AS data, 0 AS src FROM tuttidocenti")
+_ADO_AS_CONTACT = ("SELECT uni_cod, facolta, materia_ssd_cod, '' AS materia_nome, insegnamento_prof, "
+                   "insegnamento_prof_www, prof_id, insegnamento_id, '' AS email, '' AS indirizzo, '' AS citta, "
+                   "'' AS telefono, '' AS note, '' AS isbn, '' AS titolo, '' AS data, 1 AS src FROM adozioni")
+
+
+@register("lecturers_union_dedupe", O.with_ctes(f"""
+SELECT {_cols(CONTACT_COLUMNS)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY prof_id, insegnamento_id ORDER BY src, {_LECT_TIES}) AS rn
+  FROM ({_DIR_AS_CONTACT} WHERE materia_ssd_cod IN ('ECONOMY', 'PROMO')
+        UNION ALL {_ADO_AS_CONTACT}) u) t WHERE rn = 1""", A_CTE, D_CTE))
+def q_lecturers_union_dedupe(spark, sf_dir):
+    """Q4 mode 1: directory filter U adoption lecturers, directory row first."""
+    return dirs.select_lecturers(_directory(spark, sf_dir), td.adoptions(spark, sf_dir), 1,
+                                 [("materia_ssd_cod", ["ECONOMY", "PROMO"])])
+
+
+@register("lecturers_from_adoptions", O.with_ctes(f"""
+SELECT {_cols(CONTACT_COLUMNS)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY prof_id, insegnamento_id ORDER BY src, {_LECT_TIES}) AS rn
+  FROM ({_ADO_AS_CONTACT}) u) t WHERE rn = 1""", A_CTE))
+def q_lecturers_from_adoptions(spark, sf_dir):
+    """Q4 mode 0: adoption lecturers only, one per (prof_id, course)."""
+    return dirs.select_lecturers(_directory(spark, sf_dir), td.adoptions(spark, sf_dir), 0)
+
+
+_KEY_A = O.name_key_sql("a.insegnamento_prof")
+_KEY_D = O.name_key_sql("insegnamento_prof")
+
+
+@register("name_resolution", O.with_ctes(f"""
+SELECT {_cols('a.' + c for c in ADOPTION_COLUMNS if c not in ('prof_id', 'insegnamento_id'))},
+       COALESCE(d.prof_id, 0) AS prof_id, COALESCE(d.insegnamento_id, 0) AS insegnamento_id
+FROM adozioni a LEFT JOIN (SELECT {_KEY_D} AS k, prof_id, insegnamento_id FROM tuttidocenti) d
+  ON {_KEY_A} = d.k""", A_CTE, D_CTE))
+def q_name_resolution(spark, sf_dir):
+    """J2 + C2: adoptions take directory ids by order-free name key."""
+    return resolve_adoptions(td.adoptions(spark, sf_dir), _directory(spark, sf_dir))
+
+
+_KEY_C = O.name_key_sql("c.insegnamento_prof")
+
+
+@register("contact_resolution", O.with_ctes(f"""
+SELECT c.record_id, {_cols('c.' + c for c in CONTACT_COLUMNS if c not in ('prof_id', 'insegnamento_id'))},
+       d.prof_id AS prof_id, d.insegnamento_id AS insegnamento_id
+FROM docenti_router c LEFT JOIN (SELECT {_KEY_D} AS k, prof_id, insegnamento_id FROM tuttidocenti) d
+  ON {_KEY_C} = d.k""", C_CTE, D_CTE))
+def q_contact_resolution(spark, sf_dir):
+    """Contacts take directory ids by name key (NULL when unmatched)."""
+    return resolve_contacts(td.contacts(spark, sf_dir), _directory(spark, sf_dir))
+
+
+@register("union_courses", O.with_ctes(f"""
+SELECT uni_cod, materia_nome FROM adozioni a WHERE {_KEY_A} = {O.name_key_sql("'" + ONE_LECTURER + "'")}
+UNION
+SELECT uni_cod, materia_nome FROM tuttidocenti WHERE {_KEY_D} = {O.name_key_sql("'" + ONE_LECTURER + "'")}""",
+                                        A_CTE, D_CTE))
+def q_union_courses(spark, sf_dir):
+    """Q10 + U3: courses of a lecturer in adoptions and directory (UNION)."""
+    from cattedra.plans.reports import courses_of_lecturer
+    return courses_of_lecturer(td.adoptions(spark, sf_dir), _directory(spark, sf_dir), ONE_LECTURER)
+
+
+# ------------------------------------------------------------ changes (M)
+_CONTACT_TIES = ", ".join(f"{c} NULLS FIRST" for c in CONTACT_COLUMNS if c not in ("uni_cod", "prof_id",
+                                                                                   "insegnamento_prof"))
+
+
+@register("upsert_contacts", O.with_ctes(f"""
+SELECT {_cols(CONTACT_COLUMNS)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY uni_cod, prof_id
+           ORDER BY insegnamento_prof ASC NULLS LAST, src DESC, record_id DESC NULLS LAST, {_CONTACT_TIES}) AS rn
+  FROM (SELECT {_cols(CONTACT_COLUMNS)}, CAST(NULL AS BIGINT) AS record_id, 0 AS src
+        FROM ({_DIR_AS_CONTACT}) n
+        UNION ALL SELECT {_cols(CONTACT_COLUMNS)}, record_id, 1 AS src FROM docenti_router) u) t
+WHERE rn = 1""", C_CTE, D_CTE))
+def q_upsert_contacts(spark, sf_dir):
+    """M1: directory rows upserted into contacts on (uni_cod, prof_id)."""
+    new = dirs.directory_as_contacts(_directory(spark, sf_dir))
+    return chg.upsert(new, td.contacts(spark, sf_dir)).select(*CONTACT_COLUMNS)
+
+
+@register("delete_contacts", O.with_ctes("""
+SELECT * FROM docenti_router d
+WHERE NOT EXISTS (SELECT 1 FROM docenti_router x WHERE x.isbn IS NULL AND x.record_id = d.record_id)""", C_CTE))
+def q_delete_contacts(spark, sf_dir):
+    """M3: delete the contacts listed by id (those without a sample copy)."""
+    c = td.contacts(spark, sf_dir)
+    return chg.delete_by_id(c, c.filter(F.col("isbn").isNull()).select("record_id"))
+
+
+_UPD_COLS = _cols("COALESCE(ch.email, d.email) AS email" if c == "email" else
+                  "COALESCE(ch.note, d.note) AS note" if c == "note" else f"d.{c}"
+                  for c in ["record_id", *CONTACT_COLUMNS])
+
+
+@register("update_contacts", O.with_ctes(f"""
+SELECT {_UPD_COLS} FROM docenti_router d
+LEFT JOIN (SELECT record_id, 'da inviare' AS note, upper(email) AS email FROM docenti_router
+           WHERE isbn IS NULL) ch ON d.record_id = ch.record_id""", C_CTE))
+def q_update_contacts(spark, sf_dir):
+    """M2/M6: sparse change map by id (note and e-mail of some contacts)."""
+    c = td.contacts(spark, sf_dir)
+    changes = c.filter(F.col("isbn").isNull()).select(
+        "record_id", F.lit("da inviare").alias("note"), F.upper("email").alias("email"))
+    return chg.update_by_id(c, changes)
+
+
+_ROWS_SQL = ("SELECT uni_cod, facolta, materia_ssd_cod, materia_nome, insegnamento_prof, insegnamento_prof_www, "
+             "prof_id, insegnamento_id, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS indirizzo, "
+             "CAST(NULL AS VARCHAR) AS citta, CAST(NULL AS VARCHAR) AS telefono, CAST(NULL AS VARCHAR) AS note, "
+             "isbn, titolo, CAST(NULL AS VARCHAR) AS data FROM adozioni")
+
+
+@register("append_new", O.with_ctes(f"""
+SELECT record_id, {_cols(CONTACT_COLUMNS)} FROM docenti_router
+UNION ALL
+SELECT DISTINCT CAST(NULL AS BIGINT) AS record_id, {_cols('r.' + c for c in CONTACT_COLUMNS)}
+FROM ({_ROWS_SQL}) r WHERE NOT EXISTS (
+  SELECT 1 FROM docenti_router d WHERE d.uni_cod IS NOT DISTINCT FROM r.uni_cod
+    AND d.prof_id IS NOT DISTINCT FROM r.prof_id AND d.insegnamento_id IS NOT DISTINCT FROM r.insegnamento_id
+    AND d.isbn IS NOT DISTINCT FROM r.isbn)""", A_CTE, C_CTE))
+def q_append_new(spark, sf_dir):
+    """M5 (D1): append adoption lecturers as contacts, only new natural keys."""
+    c = td.contacts(spark, sf_dir)
+    a = td.adoptions(spark, sf_dir)
+    rows = a.select(*[F.col(x) if x not in ("email", "indirizzo", "citta", "telefono", "note", "data")
+                      else F.lit(None).cast("string").alias(x) for x in CONTACT_COLUMNS])
+    rows = rows.withColumn("record_id", F.lit(None).cast("bigint"))
+    return chg.append_new(c, rows)
+
+
+@register("audience", O.with_ctes(f"""
+SELECT uni_cod, materia_ssd_cod, insegnamento_prof, prof_id, insegnamento_id, email,
+       '{AUDIENCE_NAME}' AS nome, CAST(NULL AS VARCHAR) AS note, DATE '{AUDIENCE_DATE.isoformat()}' AS data
+FROM docenti_router WHERE materia_ssd_cod = 'ECONOMY' AND contains(lower(insegnamento_prof), 'supplier 00000000')""",
+                                 C_CTE))
+def q_audience(spark, sf_dir):
+    """Q7 + K5: filtered contacts as a named mailing audience."""
+    c = sel.where_params(td.contacts(spark, sf_dir),
+                         [("materia_ssd_cod", ["ECONOMY"]), ("insegnamento_prof", "Supplier 00000000"),
+                          ("citta", ""), ("isbn", None)])
+    return chg.audience(c, AUDIENCE_NAME, AUDIENCE_DATE)
+
+
+# --------------------------------------------------------- drill-downs (Q6)
+_L5 = _cols(lst.LISTINGS["dashboard_adoptions"])
+
+
+@register("drilldown_lecturer", O.with_ctes(f"""
+SELECT {_L5} FROM adozioni WHERE insegnamento_prof = '{ONE_LECTURER}' AND a_a = 1998""", A_CTE))
+def q_drilldown_lecturer(spark, sf_dir):
+    """Q6: a lecturer's adoptions in the academic year of a given date."""
+    from cattedra.plans.reports import drilldown
+    return drilldown(td.adoptions(spark, sf_dir), "insegnamento_prof", ONE_LECTURER, DRILL_LECTURER_DATE)
+
+
+@register("drilldown_book", O.with_ctes(f"""
+SELECT {_L5} FROM adozioni WHERE isbn = '{ONE_BOOK}' AND a_a = 1997""", A_CTE))
+def q_drilldown_book(spark, sf_dir):
+    """Q6: a book's adoptions in the academic year of a given date."""
+    from cattedra.plans.reports import drilldown
+    return drilldown(td.adoptions(spark, sf_dir), "isbn", ONE_BOOK, DRILL_BOOK_DATE)
+
+
+# ----------------------------------------------------- scalar functions (C)
+def _isbn10_spark():
+    return F.lpad(F.col("p_partkey").cast("string"), 10, "0")
+
+
+def _hyphenated(s):
+    return F.concat_ws("-", s.substr(1, 1), s.substr(2, 3), s.substr(5, 5), s.substr(10, 1))
+
+
+_ISBN10 = "lpad(CAST(p_partkey AS VARCHAR), 10, '0')"
+_BODY10 = f"('978' || substr({_ISBN10}, 1, 9))"
+_ISBN13_SQL = f"({_BODY10} || {O.check_digit_sql(_BODY10, 12)})"
+
+
+@register("isbn13", f"""
+SELECT p_partkey, {_ISBN10} AS isbn10, {_ISBN13_SQL} AS isbn13, {_ISBN13_SQL} AS isbn13_from_hyphenated,
+       true AS valid
+FROM part""")
+def q_isbn13(spark, sf_dir):
+    """C3 + C15: ISBN-10 (bare and hyphenated) to ISBN-13 with check digit."""
+    p = td.table(spark, sf_dir, "part")
+    ten = _isbn10_spark()
+    out = p.select("p_partkey", ten.alias("isbn10"), isbn13(ten).alias("isbn13"),
+                   isbn13(_hyphenated(ten)).alias("isbn13_from_hyphenated"))
+    return out.withColumn("valid", isbn13_valid("isbn13"))
+
+
+_RAW_SQL = (f"CASE WHEN p_size <= 12 THEN {_ISBN10} "
+            f"WHEN p_size <= 25 THEN substr({_ISBN10},1,1) || '-' || substr({_ISBN10},2,3) || '-' || "
+            f"substr({_ISBN10},5,5) || '-' || substr({_ISBN10},10,1) "
+            f"WHEN p_size <= 38 THEN {_ISBN13_SQL} ELSE '97800000' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') END")
+
+
+def _raw_isbn_spark():
+    ten = _isbn10_spark()
+    return (F.when(F.col("p_size") <= 12, ten).when(F.col("p_size") <= 25, _hyphenated(ten))
+            .when(F.col("p_size") <= 38, isbn13(ten))
+            .otherwise(F.concat(F.lit("97800000"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))))
+
+
+_NORM = f"(CASE WHEN p_size <= 25 THEN {_ISBN13_SQL} ELSE raw END)"
+_VALID = f"(regexp_matches({_NORM}, '^[0-9]{{13}}$') AND substr({_NORM}, 13, 1) = {O.check_digit_sql(_NORM, 12)})"
+
+
+@register("isbn_quality", f"""
+SELECT p_brand, count(*) AS n_books,
+       CAST(sum(CASE WHEN {_NORM} <> raw THEN 1 ELSE 0 END) AS BIGINT) AS n_converted,
+       CAST(sum(CASE WHEN {_VALID} THEN 1 ELSE 0 END) AS BIGINT) AS n_valid,
+       CAST(sum(CASE WHEN {_VALID} THEN 0 ELSE 1 END) AS BIGINT) AS n_invalid
+FROM (SELECT p_brand, p_size, p_partkey, {_RAW_SQL} AS raw FROM part) t GROUP BY p_brand""")
+def q_isbn_quality(spark, sf_dir):
+    """Q11 + C15: normalise raw ISBNs, then converted/valid/invalid per publisher."""
+    from cattedra.plans.reports import isbn_quality
+    p = td.table(spark, sf_dir, "part").select("p_brand", _raw_isbn_spark().alias("raw"))
+    return isbn_quality(p, "raw", "p_brand")
+
+
+_STRIP_RAW = (f"'ISBN: ' || substr({_ISBN10},1,1) || '-' || substr({_ISBN10},2,3) || '-' || "
+              f"substr({_ISBN10},5,5) || '-' || substr({_ISBN10},10,1) || '.'")
+
+
+@register("isbn_strip", f"""
+SELECT p_partkey, regexp_replace(raw, '[!-/:-\\[\\-`{{-~]', '', 'g') AS isbn_stripped,
+       TRY_CAST(trim(regexp_replace(raw, '[!-/:-\\[\\-`{{-~]', '', 'g')) AS BIGINT) AS isbn_number,
+       CAST(0 AS BIGINT) AS blank_number
+FROM (SELECT p_partkey, {_STRIP_RAW} AS raw FROM part) t""")
+def q_isbn_strip(spark, sf_dir):
+    """C4 + C5: punctuation strip of uploaded ISBNs and the numeric form."""
+    p = td.table(spark, sf_dir, "part")
+    raw = F.concat(F.lit("ISBN: "), _hyphenated(_isbn10_spark()), F.lit("."))
+    return p.select("p_partkey", isbn_strip(raw).alias("isbn_stripped"),
+                    isbn_to_number(raw).alias("isbn_number"),
+                    isbn_to_number(F.lit("")).alias("blank_number"))
+
+
+_NAME_VARIANTS_SQL = """
+SELECT s.s_suppkey,
+       upper(n.n_name) || ', ' || upper(translate(s.s_name, '#', ' ')) AS v_upper,
+       lower(translate(s.s_name, '#', ' ')) || ' (supplente)' AS v_note,
+       'd''' || lower(n.n_name) || ' maria-rosa' AS v_apostrophe,
+       'Docente ' || s.s_name AS v_docente,
+       'prof. non ancora assegnato ' || n.n_name AS v_not_assigned,
+       '000000 00000 ' || CAST(s.s_suppkey AS VARCHAR) AS v_zero,
+       ' - ' || lower(s.s_name) || ' - ' AS v_dash
+FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey"""
+_VARIANTS = ["v_upper", "v_note", "v_apostrophe", "v_docente", "v_not_assigned", "v_zero", "v_dash"]
+
+
+@register("clean_names", f"""
+SELECT s_suppkey, {_cols(O.clean_name_sql(v) + ' AS ' + v for v in _VARIANTS)},
+       {O.title_sql('v_apostrophe')} AS title_case
+FROM ({_NAME_VARIANTS_SQL}) t""")
+def q_clean_names(spark, sf_dir):
+    """C1 + C9: lecturer-name cleaning over name variants of every supplier."""
+    s = td.table(spark, sf_dir, "supplier")
+    n = td.table(spark, sf_dir, "nation")
+    v = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(
+        "s_suppkey",
+        F.concat(F.upper("n_name"), F.lit(", "), F.upper(F.translate("s_name", "#", " "))).alias("v_upper"),
+        F.concat(F.lower(F.translate("s_name", "#", " ")), F.lit(" (supplente)")).alias("v_note"),
+        F.concat(F.lit("d'"), F.lower("n_name"), F.lit(" maria-rosa")).alias("v_apostrophe"),
+        F.concat(F.lit("Docente "), F.col("s_name")).alias("v_docente"),
+        F.concat(F.lit("prof. non ancora assegnato "), F.col("n_name")).alias("v_not_assigned"),
+        F.concat(F.lit("000000 00000 "), F.col("s_suppkey").cast("string")).alias("v_zero"),
+        F.concat(F.lit(" - "), F.lower("s_name"), F.lit(" - ")).alias("v_dash"),
+    )
+    return v.select("s_suppkey", *[clean_prof_name(c).alias(c) for c in _VARIANTS],
+                    py_title("v_apostrophe").alias("title_case"))
+
+
+@register("academic_year", """
+SELECT o_orderkey, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 9 THEN 1 ELSE 0 END AS INTEGER)
+       AS academic_year
+FROM orders""")
+def q_academic_year(spark, sf_dir):
+    """C11: academic year of each order date."""
+    o = td.table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", academic_year("o_orderdate").alias("academic_year"))
+
+
+@register("lenient_int", """
+SELECT l_orderkey, l_linenumber,
+       COALESCE(TRY_CAST(regexp_extract(CAST(l_linenumber AS VARCHAR) || '.' || CAST(l_partkey AS VARCHAR),
+                '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0) AS from_decimal,
+       COALESCE(TRY_CAST(regexp_extract(' +' || CAST(l_suppkey AS VARCHAR) || 'x', '^\\s*([+-]?\\d+)', 1)
+                AS BIGINT), 0) AS from_suffixed,
+       COALESCE(TRY_CAST(regexp_extract(CASE WHEN l_returnflag = 'A' THEN '' ELSE l_returnflag END,
+                '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0) AS from_text
+FROM lineitem""")
+def q_lenient_int(spark, sf_dir):
+    """SQLite integer cast of text (leading integer, else 0)."""
+    li = td.table(spark, sf_dir, "lineitem")
+    t1 = F.concat(F.col("l_linenumber").cast("string"), F.lit("."), F.col("l_partkey").cast("string"))
+    t2 = F.concat(F.lit(" +"), F.col("l_suppkey").cast("string"), F.lit("x"))
+    t3 = F.when(F.col("l_returnflag") == "A", F.lit("")).otherwise(F.col("l_returnflag"))
+    return li.select("l_orderkey", "l_linenumber", sqlite_int(t1).alias("from_decimal"),
+                     sqlite_int(t2).alias("from_suffixed"), sqlite_int(t3).alias("from_text"))
+
+
+@register("tenant_key", """
+SELECT user_id, md5(CAST(user_id AS VARCHAR)) AS tenant_key, count(*) AS n_events FROM events GROUP BY user_id""")
+def q_tenant_key(spark, sf_dir):
+    """C12 + K9: md5 tenant key per tenant with its row count."""
+    ev = td.table(spark, sf_dir, "events")
+    return ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events")) \
+        .select("user_id", tenant_key("user_id").alias("tenant_key"), "n_events")
+
+
+# ------------------------------------------------------------- the log (W)
+@register("log_steps", O.with_ctes("""
+SELECT event_id, tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY date, event_id) - 1 AS q
+FROM msg""", L_CTE))
+def q_log_steps(spark, sf_dir):
+    """Step number of each log row within its tenant (skew-safe numbering)."""
+    log = td.log_events(spark, sf_dir).select("event_id", "tenant_id", "date")
+    return with_group_index(log, ["tenant_id"], ["date", "event_id"], "q").select("event_id", "tenant_id", "q")
+
+
+@register("log_latest", O.with_ctes("""
+SELECT tenant_id, event_id AS last_event_id, message AS last_message, n AS next_q FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY date DESC, event_id DESC) AS rn,
+         count(*) OVER (PARTITION BY tenant_id) AS n FROM msg) t WHERE rn = 1""", L_CTE))
+def q_log_latest(spark, sf_dir):
+    """The newest log row per tenant and the next step number."""
+    from cattedra.plans.reports import latest_log_entry
+    return latest_log_entry(td.log_events(spark, sf_dir))
+
+
+# ------------------------------------------------------------- ad hoc (Q8)
+@register("adhoc_sql", O.with_ctes(f"""
+SELECT uni_cod, a_a, COUNT(*) AS n_rows, CAST(SUM(laurea_matricole) AS BIGINT) AS studenti
+FROM adozioni WHERE a_a >= {ADHOC_YEAR} GROUP BY uni_cod, a_a""", A_CTE))
+def q_adhoc_sql(spark, sf_dir):
+    """Q8: user SQL over the tenant's tables, with a parameter marker."""
+    from cattedra.plans.adhoc import run_sql
+    return run_sql(spark, ADHOC_SQL, {"adozioni": td.adoptions(spark, sf_dir)}, {"y": ADHOC_YEAR}).frame
+
+
+@register("universities_by_year", O.with_ctes("""
+SELECT uni_cod, 'Universita ' || upper(substr(uni_cod, 1, 1)) || lower(substr(uni_cod, 2)) AS uni_nome,
+       max(a_a) AS max
+FROM adozioni GROUP BY uni_cod HAVING max(a_a) >= 1998""", A_CTE))
+def q_universities_by_year(spark, sf_dir):
+    """Universities with data up to the year asked (max >= a_a)."""
+    from cattedra.sources.paged import universities_with_year
+    return universities_with_year(td.universities(spark, sf_dir), 1998)
