@@ -712,3 +712,173 @@ def q_universities_by_year(spark, sf_dir):
     """Universities with data up to the year asked (max >= a_a)."""
     from cattedra.sources.paged import universities_with_year
     return universities_with_year(td.universities(spark, sf_dir), 1998)
+
+
+# ------------------------------------------- sources, sinks and streams (S, K, G)
+# These queries land data that Spark derives from the given tables (CSV files,
+# JSON pages, a tenant-partitioned store) in a fresh folder under the shared
+# checkpoint dir, then read it back through the library's loaders.
+def _scratch(spark, name):
+    from cattedra.session import scratch_path
+    return scratch_path(spark, name)
+
+
+@register("csv_load", O.with_ctes(f"""
+SELECT {_cols('a.' + c for c in ADOPTION_COLUMNS if c not in ('prof_id', 'insegnamento_id'))},
+       COALESCE(d.prof_id, 0) AS prof_id, COALESCE(d.insegnamento_id, 0) AS insegnamento_id
+FROM adozioni a LEFT JOIN (SELECT {_KEY_D} AS k, prof_id, insegnamento_id FROM tuttidocenti) d
+  ON {_KEY_A} = d.k""", A_CTE, D_CTE))
+def q_csv_load(spark, sf_dir):
+    """S1 + K1: adoptions exported as CSV, loaded back: cleaned (P1-P4, C1) and
+    resolved against the directory (J2)."""
+    from cattedra.sources.files import load_adoptions_csv
+    from cattedra.sources.store import export_csv
+    path = _scratch(spark, "adoptions-csv")
+    export_csv(td.adoptions(spark, sf_dir), path)
+    return load_adoptions_csv(spark, path, _directory(spark, sf_dir))
+
+
+@register("paged_source", O.with_ctes(f"SELECT DISTINCT {_ALL_A} FROM adozioni", A_CTE))
+def q_paged_source(spark, sf_dir):
+    """S5-S7 + A6: adoptions landed as linked JSON pages of 1,000 records per
+    university, read back (explode), conformed, cleaned, de-duplicated."""
+    from cattedra.sources.files import load_api_pages
+    from cattedra.sources.paged import broken_chains, read_pages, records, write_pages
+    path = _scratch(spark, "pages")
+    write_pages(td.adoptions(spark, sf_dir), path)
+    pages = read_pages(spark, path)
+    if not broken_chains(pages).isEmpty():
+        raise RuntimeError("incomplete page chain")
+    return load_api_pages(records(pages))
+
+
+_CONTACT_UPLOAD = ", ".join(
+    "CAST(COALESCE(TRY_CAST(c.isbn AS BIGINT), 0) AS VARCHAR) AS isbn" if c == "isbn" else
+    f"COALESCE(CAST(d.{c} AS VARCHAR), '') AS {c}" if c in ("prof_id", "insegnamento_id") else
+    f"COALESCE(c.{c}, '') AS {c}" for c in CONTACT_COLUMNS)
+
+
+@register("contacts_upload", O.with_ctes(f"""
+SELECT {_CONTACT_UPLOAD}
+FROM docenti_router c LEFT JOIN (SELECT {_KEY_D} AS k, prof_id, insegnamento_id FROM tuttidocenti) d
+  ON {_KEY_C} = d.k""", C_CTE, D_CTE))
+def q_contacts_upload(spark, sf_dir):
+    """S3 (replace): contacts CSV with isbn strip (C4, C5), name cleaning (C1),
+    ids by name (J1), NULL text -> '' (P8)."""
+    from cattedra.sources.files import load_contacts, read_csv
+    from cattedra.sources.store import export_csv
+    path = _scratch(spark, "contacts-csv")
+    export_csv(td.contacts(spark, sf_dir).select(*CONTACT_COLUMNS), path)
+    out = load_contacts(read_csv(spark, path), _directory(spark, sf_dir), "replace")
+    return out.select(*[F.col(c).cast("string").alias(c) if c in ("prof_id", "insegnamento_id") else F.col(c)
+                        for c in CONTACT_COLUMNS]).na.fill("", ["prof_id", "insegnamento_id"])
+
+
+@register("tenant_store", """
+SELECT event_id, user_id, event_type, value, md5(CAST(user_id AS VARCHAR)) AS tenant
+FROM events WHERE user_id = 7""")
+def q_tenant_store(spark, sf_dir):
+    """K9: events stored partitioned by md5(tenant); one tenant read back with
+    partition pruning."""
+    from cattedra.sources.store import read_tenant, write_tenants
+    path = _scratch(spark, "tenants")
+    write_tenants(td.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"),
+                  path, "user_id", mode="errorifexists")
+    return read_tenant(spark, path, 7).select("event_id", "user_id", "event_type", "value", "tenant")
+
+
+@register("log_feed_stream", O.with_ctes("""
+SELECT event_id, tenant_id, date, message FROM msg""", L_CTE))
+def q_log_feed_stream(spark, sf_dir):
+    """G1 + T7: the log as a file stream (availableNow), read newest first."""
+    from cattedra.streaming.log_feed import read_feed, start_log_feed
+    src = _scratch(spark, "log-src")
+    td.log_events(spark, sf_dir).select("event_id", "tenant_id", "date", "message") \
+        .repartition(4, "tenant_id").write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    sink, ckpt = _scratch(spark, "log-sink"), _scratch(spark, "log-ckpt")
+    q = start_log_feed(spark, src, schema, sink, ckpt, available_now=True, max_files_per_trigger=2)
+    q.awaitTermination()
+    return read_feed(spark, sink)
+
+
+@register("incremental_load_stream", O.with_ctes(f"SELECT {_ALL_A} FROM adozioni", A_CTE))
+def q_incremental_load_stream(spark, sf_dir):
+    """Adoption CSV files landed per year and loaded incrementally, each
+    file once, cleaned and de-duplicated per micro-batch."""
+    from cattedra.sources.store import export_csv
+    from cattedra.streaming.incremental import read_loaded, start_incremental_load
+    landing = _scratch(spark, "landing")
+    export_csv(td.adoptions(spark, sf_dir).repartition("a_a"), landing)
+    sink, ckpt = _scratch(spark, "loaded"), _scratch(spark, "load-ckpt")
+    q = start_incremental_load(spark, landing, sink, ckpt, available_now=True, max_files_per_trigger=2)
+    q.awaitTermination()
+    return read_loaded(spark, sink)
+
+
+# ------------------------------------------------------- more changes and reports
+@register("lecturers_directory_filter", O.with_ctes(f"""
+SELECT {_cols(CONTACT_COLUMNS)} FROM ({_DIR_AS_CONTACT}
+  WHERE materia_ssd_cod IN ('ECONOMY', 'PROMO') AND contains(lower(insegnamento_prof), '0000000')) t""", D_CTE))
+def q_lecturers_directory_filter(spark, sf_dir):
+    """Q4 mode 2: directory rows matching the form, in the contact layout."""
+    return dirs.select_lecturers(_directory(spark, sf_dir), td.adoptions(spark, sf_dir), 2,
+                                 [("materia_ssd_cod", ["ECONOMY", "PROMO"]), ("insegnamento_prof", "0000000"),
+                                  ("prof_id", ""), ("uni_cod", [""])])
+
+
+@register("merge_directory", O.with_ctes(f"""
+SELECT {_DIR_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY prof_id ORDER BY src,
+           {", ".join(c + " NULLS FIRST" for c in ["uni_cod", "insegnamento_prof", "insegnamento_id",
+                                                    "insegnamento_prof_www", "materia_ssd_cod", "materia_nome"])})
+           AS rn
+  FROM (SELECT {_DIR_COLS}, 0 AS src FROM tuttidocenti WHERE materia_ssd_cod = 'ECONOMY'
+        UNION ALL
+        SELECT prof_id, uni_cod, insegnamento_prof, insegnamento_id, insegnamento_prof_www, materia_ssd_cod,
+               materia_nome, 1 AS src
+        FROM adozioni) u) t WHERE rn = 1""", A_CTE, D_CTE))
+def q_merge_directory(spark, sf_dir):
+    """M8: "update and add": new directory rows replace old ones on prof_id."""
+    directory = _directory(spark, sf_dir)
+    new = directory.filter(F.col("materia_ssd_cod") == "ECONOMY")
+    old = td.adoptions(spark, sf_dir).select(*dirs.DIRECTORY_COLUMNS)
+    return chg.merge_directory(new, old).drop("record_id").select(*dirs.DIRECTORY_COLUMNS)
+
+
+@register("insert_contacts", O.with_ctes(f"""
+SELECT record_id, {_cols(CONTACT_COLUMNS)} FROM docenti_router
+UNION ALL
+SELECT CAST(NULL AS BIGINT), {_cols(CONTACT_COLUMNS)} FROM ({_DIR_AS_CONTACT}) n
+WHERE insegnamento_prof IS NOT NULL AND trim(insegnamento_prof) <> ''""", C_CTE, D_CTE))
+def q_insert_contacts(spark, sf_dir):
+    """M4: insert contacts (the name is mandatory)."""
+    new = dirs.directory_as_contacts(_directory(spark, sf_dir)).withColumn("record_id", F.lit(None).cast("bigint"))
+    return chg.insert_rows(td.contacts(spark, sf_dir), new)
+
+
+@register("append_upload", O.with_ctes(f"""
+SELECT {_cols(CONTACT_COLUMNS)} FROM docenti_router
+UNION ALL SELECT {_cols(CONTACT_COLUMNS)} FROM ({_DIR_AS_CONTACT}) n""", C_CTE, D_CTE))
+def q_append_upload(spark, sf_dir):
+    """M7: resolved upload U selected lecturers, in the contact layout."""
+    selected = dirs.directory_as_contacts(_directory(spark, sf_dir))
+    return chg.append_upload(td.contacts(spark, sf_dir), selected)
+
+
+_SAMPLE_ORDER = ", ".join(f"{c} NULLS FIRST" for c in CONTACT_COLUMNS)
+
+
+@register("sample_copy_page", O.with_ctes(f"""
+SELECT * FROM (
+  SELECT {_cols(c if c != 'isbn' else "coalesce(isbn, 'Nessun saggio') AS isbn" for c in CONTACT_COLUMNS)}
+  FROM (SELECT *, row_number() OVER (PARTITION BY insegnamento_prof, isbn ORDER BY record_id) AS rn
+        FROM docenti_router) t WHERE rn = 1) r
+ORDER BY insegnamento_prof NULLS FIRST, {", ".join(f"{c} NULLS FIRST" for c in CONTACT_COLUMNS
+                                                  if c != "insegnamento_prof")}
+LIMIT 20 OFFSET 40""", C_CTE))
+def q_sample_copy_page(spark, sf_dir):
+    """Q5: sample-copy dashboard, page 3 of 20 rows ordered by lecturer."""
+    from cattedra.plans.reports import sample_copy_dashboard
+    selected = dirs.directory_as_contacts(_directory(spark, sf_dir))
+    return sample_copy_dashboard(td.contacts(spark, sf_dir), selected, 3).page.rows

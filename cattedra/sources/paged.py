@@ -84,10 +84,10 @@ def write_pages(adoptions: DataFrame, path: str, page_size: int = API_PAGE_SIZE,
     paged = numbered.withColumn("_page", F.floor(F.col("_i") / page_size).cast("bigint"))
     grouped = paged.groupBy("uni_cod", "_page").agg(
         F.collect_list(F.struct(*[F.col(c) for c in wide.columns])).alias(PAGE_DATA_FIELD))
-    n_pages = paged.groupBy("uni_cod").agg(F.max("_page").alias("_last"))
+    n_pages = paged.groupBy(F.col("uni_cod").alias("_u")).agg(F.max("_page").alias("_last"))
     url = lambda p: F.concat_ws("/", F.lit(url_prefix), F.coalesce(F.col("uni_cod"), F.lit("")),
                                 p.cast("string"))
-    out = grouped.join(n_pages, grouped.uni_cod.eqNullSafe(n_pages.uni_cod)).select(
+    out = grouped.join(n_pages, grouped["uni_cod"].eqNullSafe(n_pages["_u"])).select(
         url(F.col("_page")).alias("page_url"), F.col(PAGE_DATA_FIELD),
         F.when(F.col("_page") == F.col("_last"), F.lit(LAST_PAGE_MARK))
          .otherwise(url(F.col("_page") + 1)).alias(PAGE_NEXT_FIELD))
