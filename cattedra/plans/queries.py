@@ -290,8 +290,11 @@ _COURSE_ORDER = ", ".join(f"{c} NULLS FIRST" for c in lst.LISTINGS["courses"])
 
 
 @register("page_3", O.with_ctes(f"""
-SELECT * FROM (SELECT DISTINCT {_cols(lst.LISTINGS['books'])} FROM adozioni) b
-ORDER BY {_BOOK_ORDER} LIMIT 100 OFFSET 200""", A_CTE))
+SELECT {_cols(lst.LISTINGS['books'])} FROM (
+  SELECT *, row_number() OVER (ORDER BY {_BOOK_ORDER}) - 1 AS rn, count(*) OVER () AS n
+  FROM (SELECT DISTINCT {_cols(lst.LISTINGS['books'])} FROM adozioni) b) t
+WHERE rn >= (least(3, greatest(1, CAST(ceil(n / 100.0) AS BIGINT))) - 1) * 100
+  AND rn < least(3, greatest(1, CAST(ceil(n / 100.0) AS BIGINT))) * 100""", A_CTE))
 def q_page_3(spark, sf_dir):
     """T5: page 3 of the book listing (100 per page), per-task top-K."""
     return lst.page(lst.listing(td.adoptions(spark, sf_dir), "books"), 3).rows
