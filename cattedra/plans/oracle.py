@@ -21,7 +21,7 @@ ADOPTIONS_CTE = """adozioni AS (
          CAST(NULL AS VARCHAR) AS testo_uso, CAST(NULL AS VARCHAR) AS testo_freq,
          CAST(l.l_quantity AS BIGINT) * 3 AS laurea_iscritti,
          CAST(l.l_quantity AS BIGINT) AS laurea_matricole,
-         l.l_suppkey AS prof_id, l.l_orderkey AS insegnamento_id
+         l.l_suppkey AS prof_id, l.l_orderkey * 8 + l.l_linenumber AS insegnamento_id
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
@@ -34,7 +34,7 @@ CONTACTS_CTE = """docenti_router AS (
          n.n_name AS uni_cod, l.l_returnflag AS facolta, p.p_type AS materia_ssd_cod,
          p.p_name AS materia_nome, translate(s.s_name, '#', ' ') AS insegnamento_prof,
          'prof/' || CAST(l.l_suppkey AS VARCHAR) AS insegnamento_prof_www,
-         l.l_suppkey AS prof_id, l.l_orderkey AS insegnamento_id,
+         l.l_suppkey AS prof_id, l.l_orderkey * 8 + l.l_linenumber AS insegnamento_id,
          lower(translate(s.s_name, '#', '.')) || '@uni.example' AS email,
          CAST(NULL AS VARCHAR) AS indirizzo, n.n_name AS citta, CAST(NULL AS VARCHAR) AS telefono,
          l.l_linestatus AS note,
@@ -51,9 +51,9 @@ DIRECTORY_CTE = """dir_chain AS (
   FROM (SELECT s.s_suppkey AS prof_id, n.n_name AS uni_cod,
                string_split(s.s_name, '#')[2] || ' ' || string_split(s.s_name, '#')[1] AS prof_nome
         FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey) w
-  JOIN (SELECT DISTINCT l_suppkey AS prof_id, l_orderkey AS insegnamento_id FROM lineitem) ip
+  JOIN (SELECT l_suppkey AS prof_id, l_orderkey * 8 + l_linenumber AS insegnamento_id FROM lineitem) ip
     ON w.prof_id = ip.prof_id
-  JOIN (SELECT DISTINCT l_orderkey AS insegnamento_id, l_partkey AS materia_id,
+  JOIN (SELECT l_orderkey * 8 + l_linenumber AS insegnamento_id, l_partkey AS materia_id,
                'corso/' || CAST(l_orderkey AS VARCHAR) AS insegnamento_prof_www FROM lineitem) i
     ON ip.insegnamento_id = i.insegnamento_id
   JOIN (SELECT p_partkey AS materia_id, p_type AS materia_ssd_cod FROM part) ms ON i.materia_id = ms.materia_id

@@ -19,8 +19,29 @@ TABLE_NAMES = ("region nation customer supplier part orders lineitem events docu
                "embeddings pages benchmark labels conversations").split()
 
 
+# Fact-sized tables and the key they are spread on when under-split.
+SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id",
+               "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that yields fewer splits than the cluster has cores.
+
+    A single-row-group file is read by one task, and everything up to the
+    first shuffle (here: a chain of broadcast joins) would run in that task.
+    A large input already has at least as many splits as cores, and then
+    nothing is added: no extra shuffle of the big table at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = SPREAD_KEYS.get(name)
+    return spread(df, key) if key else df
 
 
 def _directory_name(s_name):
@@ -33,6 +54,11 @@ def _adoption_name(s_name):
     return F.translate(s_name, "#", " ")
 
 
+def _course_id():
+    """A course is one line item: one lecturer, one subject."""
+    return F.col("l_orderkey") * 8 + F.col("l_linenumber")
+
+
 def adoptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders")
@@ -73,7 +99,7 @@ def adoptions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "laurea_iscritti": qty * 3,
         "laurea_matricole": qty,
         "prof_id": F.col("l_suppkey"),
-        "insegnamento_id": F.col("l_orderkey"),
+        "insegnamento_id": _course_id(),
     }
     return joined.select(*[cols[c].alias(c) for c in ADOPTION_COLUMNS])
 
@@ -89,11 +115,10 @@ def directory_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                             _directory_name(F.col("s_name")).alias("prof_nome"),
                             F.split("s_name", "#").alias("prof_array")))
     insegnamento_prof_id = li.select(F.col("l_suppkey").alias("prof_id"),
-                                     F.col("l_orderkey").alias("insegnamento_id")).distinct()
+                                     _course_id().alias("insegnamento_id"))
     insegnamenti = li.select(
-        F.col("l_orderkey").alias("insegnamento_id"), F.col("l_partkey").alias("materia_id"),
-        F.concat(F.lit("corso/"), F.col("l_orderkey").cast("string")).alias("insegnamento_prof_www"),
-    ).distinct()
+        _course_id().alias("insegnamento_id"), F.col("l_partkey").alias("materia_id"),
+        F.concat(F.lit("corso/"), F.col("l_orderkey").cast("string")).alias("insegnamento_prof_www"))
     materia_ssd = p.select(F.col("p_partkey").alias("materia_id"), F.col("p_type").alias("materia_ssd_cod"))
     materie = p.select(F.col("p_partkey").alias("materia_id"), F.col("p_name").alias("materia_nome"))
     return {"work_prof_id": work_prof_id, "insegnamento_prof_id": insegnamento_prof_id,
@@ -120,7 +145,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "insegnamento_prof": _adoption_name(F.col("s_name")),
         "insegnamento_prof_www": F.concat(F.lit("prof/"), F.col("l_suppkey").cast("string")),
         "prof_id": F.col("l_suppkey"),
-        "insegnamento_id": F.col("l_orderkey"),
+        "insegnamento_id": _course_id(),
         "email": F.concat(F.lower(F.translate("s_name", "#", ".")), F.lit("@uni.example")),
         "indirizzo": F.lit(None).cast("string"),
         "citta": F.col("n_name"),
@@ -131,7 +156,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "titolo": F.col("p_name"),
         "data": F.to_date("l_shipdate").cast("string"),
     }
-    record_id = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("record_id")
+    record_id = _course_id().alias("record_id")
     return joined.select(record_id, *[cols[c].alias(c) for c in CONTACT_COLUMNS])
 
 
