@@ -148,15 +148,16 @@ def courses_of_lecturer(adoptions: DataFrame, directory: DataFrame, name: str) -
 # ----------------------------------------------------------------- Q11
 def isbn_quality(df: DataFrame, isbn_col: str, group_col: str) -> DataFrame:
     """Q11 + C15: canonical 13 digits, then converted / valid / invalid counts."""
-    norm = isbn13(isbn_col)
-    converted = F.coalesce(norm != F.col(isbn_col), F.lit(False))
-    valid = isbn13_valid(norm)
+    # project the normalised value and the flags once, then aggregate them
+    norm = df.select(group_col, F.col(isbn_col).alias("_raw"), isbn13(isbn_col).alias("_norm"))
+    flags = norm.select(group_col, F.coalesce(F.col("_norm") != F.col("_raw"), F.lit(False)).alias("_conv"),
+                        isbn13_valid("_norm").alias("_valid"))
     one = F.lit(1)
-    return df.groupBy(group_col).agg(
+    return flags.groupBy(group_col).agg(
         F.count(one).alias("n_books"),
-        F.sum(F.when(converted, one).otherwise(0)).alias("n_converted"),
-        F.sum(F.when(valid, one).otherwise(0)).alias("n_valid"),
-        F.sum(F.when(valid, 0).otherwise(one)).alias("n_invalid"),
+        F.sum(F.when(F.col("_conv"), one).otherwise(0)).alias("n_converted"),
+        F.sum(F.when(F.col("_valid"), one).otherwise(0)).alias("n_valid"),
+        F.sum(F.when(F.col("_valid"), 0).otherwise(one)).alias("n_invalid"),
     )
 
 

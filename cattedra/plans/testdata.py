@@ -38,10 +38,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(target, key)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = SPREAD_KEYS.get(name)
-    return spread(df, key) if key else df
+# Inputs registered once per session, like catalog tables: the file listing,
+# footer read and split decision are not repeated for every query.
+_REGISTERED: dict[tuple[str, str], DataFrame] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if refresh or key not in _REGISTERED:
+        df = spark.read.parquet(path)
+        spread_key = SPREAD_KEYS.get(name)
+        _REGISTERED[key] = spread(df, spread_key) if spread_key else df
+    return _REGISTERED[key]
 
 
 def _directory_name(s_name):
