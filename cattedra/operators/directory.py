@@ -23,9 +23,13 @@ LECTURER_COLUMNS = ["uni_cod", "facolta", "materia_ssd_cod", "materia_nome", "in
 
 def directory_chain(work_prof_id: DataFrame, insegnamento_prof_id: DataFrame, insegnamenti: DataFrame,
                     materia_ssd: DataFrame, materie: DataFrame) -> DataFrame:
-    """Lecturer -> course -> subject -> sector, four inner equi-joins."""
-    return (work_prof_id.join(insegnamento_prof_id, "prof_id")
-            .join(insegnamenti, "insegnamento_id")
+    """Lecturer -> course -> subject -> sector, four inner equi-joins.
+
+    Written fact-first: the course assignments (the large side) stream through
+    the joins and the lecturer, sector and subject tables are the build sides,
+    so the work spreads over the large side's partitions."""
+    return (insegnamento_prof_id.join(insegnamenti, "insegnamento_id")
+            .join(work_prof_id, "prof_id")
             .join(materia_ssd, "materia_id")
             .join(materie, "materia_id")
             .select("prof_id", "uni_cod", F.col("prof_nome").alias("insegnamento_prof"),
