@@ -126,6 +126,14 @@ def sample_copy_dashboard(contacts: DataFrame, selected: DataFrame, page: Any =
                                lst.page(rows, page, lst.CONTACT_PAGE_SIZE, ["insegnamento_prof"]))
 
 
+def select_contacts(contacts: DataFrame, selected: DataFrame, names: Sequence[str]) -> DataFrame:
+    """rows of the contacts (or of the selected lecturers when there are no
+    contacts yet) whose lecturer is one of ``names``; the caller appends them
+    to the contacts (K2 append) and exports them (K1)."""
+    src = sel.active_set(selected, contacts)
+    return sel.select_by(src, "insegnamento_prof", list(names))
+
+
 # ----------------------------------------------------------------- Q6
 def drilldown(adoptions: DataFrame, column: str, value: str, on: str) -> DataFrame:
     """Q6: adoptions of one lecturer or one book in the academic year of the
