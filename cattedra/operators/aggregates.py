@@ -50,13 +50,39 @@ def summary_counts(df: DataFrame, columns: list[str] = SUMMARY_COLUMNS) -> DataF
     return df.agg(*aggs)
 
 
-def distinct_values(df: DataFrame, columns: list[str] = SUMMARY_VALUE_LIST_COLUMNS) -> DataFrame:
+# A joined value list is one string in one task: only for code columns whose
+# domain is bounded (universities, subject sectors). Larger domains are refused
+# (use ``distinct_value_rows``, which stays distributed).
+MAX_LISTED_VALUES = 10_000
+
+
+class DomainTooLarge(ValueError):
+    pass
+
+
+def distinct_value_rows(df: DataFrame, columns: list[str] = SUMMARY_VALUE_LIST_COLUMNS) -> DataFrame:
+    """A3/C14, distributed form: one row per (column, distinct value)."""
+    parts = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+             .where(F.col("value").isNotNull()).distinct() for c in columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def distinct_values(df: DataFrame, columns: list[str] = SUMMARY_VALUE_LIST_COLUMNS,
+                    max_values: int = MAX_LISTED_VALUES) -> DataFrame:
     """A3/C14: per code column, the number of distinct values and their sorted
-    list joined by ``', '``. Meant for bounded code domains (universities,
-    subject sectors); the values are de-duplicated before the list is built."""
+    list joined by ``', '``. The values are de-duplicated before the list is
+    built, and the domain size is checked first (one aggregate action), so the
+    single list per column has a proven bound."""
+    rows = distinct_value_rows(df, columns)
+    largest = rows.groupBy("column").count().agg(F.max("count")).first()[0] or 0
+    if largest > max_values:
+        raise DomainTooLarge(f"{largest} distinct values exceed the list bound {max_values}")
     parts = []
     for c in columns:
-        vals = df.select(F.col(c).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
+        vals = rows.where(F.col("column") == F.lit(c)).select("value")
         parts.append(vals.agg(F.lit(c).alias("column"), F.count("value").alias("n_values"),
                               joined_values("value").alias("values")))
     out = parts[0]

@@ -815,7 +815,7 @@ def q_incremental_load_stream(spark, sf_dir):
     landing = _scratch(spark, "landing")
     export_csv(td.adoptions(spark, sf_dir).repartition("a_a"), landing)
     sink, ckpt = _scratch(spark, "loaded"), _scratch(spark, "load-ckpt")
-    q = start_incremental_load(spark, landing, sink, ckpt, available_now=True, max_files_per_trigger=2)
+    q = start_incremental_load(spark, landing, sink, ckpt, available_now=True, max_files_per_trigger=4)
     q.awaitTermination()
     return read_loaded(spark, sink)
 

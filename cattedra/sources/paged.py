@@ -80,7 +80,10 @@ def write_pages(adoptions: DataFrame, path: str, page_size: int = API_PAGE_SIZE,
     single-task window, grouped ``page_size`` per page (a bounded group), and
     each page links to the next; the last one has ``''``."""
     wide = conform(adoptions, all_string(struct_for(ADOPTION_COLUMNS + WIDE_EXTRA_COLUMNS)))
-    numbered = with_group_index(wide, ["uni_cod"], [F.col(c) for c in wide.columns], "_i")
+    # order by a row hash first (cheap comparisons); all columns after it keep
+    # the order total, so a recomputed task numbers its rows the same way
+    order = [F.xxhash64(*[F.col(c) for c in wide.columns]), *[F.col(c) for c in wide.columns]]
+    numbered = with_group_index(wide, ["uni_cod"], order, "_i")
     paged = numbered.withColumn("_page", F.floor(F.col("_i") / page_size).cast("bigint"))
     grouped = paged.groupBy("uni_cod", "_page").agg(
         F.collect_list(F.struct(*[F.col(c) for c in wide.columns])).alias(PAGE_DATA_FIELD))

@@ -264,3 +264,11 @@ def test_conform_missing_extra_and_unknown(spark):
     assert (r.a_a, r.prof_id, r.isbn) == (2024, 12, None)
     with pytest.raises(ValueError):
         conform(df, "nope")
+
+
+def test_distinct_values_bound(spark):
+    df = ado(spark, [("U1", 2024, "F", str(i), 1, "t", "a", "c", "e", "x", f"S{i}", 1, 1) for i in range(30)])
+    with pytest.raises(agg.DomainTooLarge):
+        agg.distinct_values(df, ["materia_ssd_cod"], max_values=10)
+    assert agg.distinct_value_rows(df, ["materia_ssd_cod"]).count() == 30
+    assert agg.distinct_values(df, ["uni_cod"], max_values=10).collect()[0]["values"] == "U1"
