@@ -66,14 +66,16 @@ def clean_prof_name(c: Column | str) -> Column:
 def name_key(c: Column | str, empty_as_null: bool = True) -> Column:
     """Order-free name key: whitespace tokens, sorted, joined by a space.
 
-    ``sorted`` compares code points; ``array_sort`` on strings compares UTF-8
-    bytes, which orders the same way. With ``empty_as_null`` an empty name gets a
-    NULL key so blank names never match each other (D3).
+    ``sorted`` compares code points; ``sort_array`` on strings compares UTF-8
+    bytes, which orders the same way. Stripping both ends first means the
+    split yields no empty tokens, so no lambda is needed and the whole key
+    stays in generated code. With ``empty_as_null`` an empty name gets a NULL
+    key so blank names never match each other (D3).
     """
-    tokens = F.filter(F.split(as_col(c), r"(?U)[\s\x{1c}-\x{1f}]+"), lambda t: t != F.lit(""))
-    key = F.array_join(F.array_sort(tokens), " ")
+    tokens = F.split(py_strip(c), rf"(?U){_PY_SPACE}+")
+    key = F.array_join(F.sort_array(tokens), " ")
     if empty_as_null:
-        return F.when(key == F.lit(""), F.lit(None).cast("string")).otherwise(key)
+        return F.nullif(key, F.lit(""))
     return key
 
 

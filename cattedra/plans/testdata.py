@@ -32,12 +32,23 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     A large input already has at least as many splits as cores, and then
     nothing is added: no extra shuffle of the big table at scale.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without an RDD API: leave the scan as is
+        return df
+    if splits >= target:
         return df
     return df.repartition(target, key)
 
 
+def _session_key(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 # Inputs registered once per session, like catalog tables: the file listing,
 # footer read and split decision are not repeated for every query.
 _REGISTERED: dict[tuple[str, str], DataFrame] = {}
@@ -45,7 +56,7 @@ _REGISTERED: dict[tuple[str, str], DataFrame] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    key = (_session_key(spark), path)
     if refresh or key not in _REGISTERED:
         df = spark.read.parquet(path)
         spread_key = SPREAD_KEYS.get(name)
@@ -204,7 +215,7 @@ _LANDED: dict[tuple[str, str, str], DataFrame] = {}
 def _land(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list[str] | None = None,
           sort_by: list[str] | None = None) -> DataFrame:
     from cattedra.session import scratch_path
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = (_session_key(spark), sf_dir.rstrip("/"), name)
     if key not in _LANDED:
         df = build(spark, sf_dir)
         columns = df.columns

@@ -57,7 +57,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from the session; only when it is unset (tests on a laptop) a fresh
     scratch folder is created and set.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext on this client: use the setting
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir must name the shared folder") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
