@@ -21,8 +21,10 @@ def new_adoptions(df: DataFrame, year: int, key: Sequence[str] = NEW_ADOPTION_KE
     (D12). With the default key a kept book whose enrolment changed is new.
     """
     cols = list(key)
-    cur = df.filter(F.col(year_col) == F.lit(int(year))).select(*cols)
-    prev = df.filter(F.col(year_col) == F.lit(int(year) - 1)).select(*cols)
+    # de-duplicate each side first: repeated tuples collapse in the map-side
+    # partial aggregation instead of reaching one anti-join partition
+    cur = df.filter(F.col(year_col) == F.lit(int(year))).select(*cols).distinct()
+    prev = df.filter(F.col(year_col) == F.lit(int(year) - 1)).select(*cols).distinct()
     return cur.subtract(prev)
 
 
