@@ -22,12 +22,21 @@ def _cols(order: Sequence[Column | str]) -> list[Column]:
 
 
 def _ranged(df: DataFrame, order: Sequence[Column | str], num_partitions: int | None) -> DataFrame:
+    """Range-partitioned, sorted rows with their partition id and local position.
+
+    Numbering needs two passes over these rows (counts, then offsets joined
+    back). They are checkpointed once to the shared checkpoint folder with the
+    positions fixed, so the range shuffle and sort run once, not per pass, and
+    a lost executor cannot renumber anything."""
+    from cattedra.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = _cols(order)
     ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     mid = F.monotonically_increasing_id()
-    return ranged.withColumn("_mid", mid).select(
+    positioned = ranged.withColumn("_mid", mid).select(
         "*", F.shiftright("_mid", 33).alias("_pid"), F.col("_mid").bitwiseAND(_LOW_BITS).alias("_local"))
+    return positioned.checkpoint(eager=True)
 
 
 def with_global_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_index",
