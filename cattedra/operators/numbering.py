@@ -30,9 +30,10 @@ def _ranged(df: DataFrame, order: Sequence[Column | str], num_partitions: int |
     a lost executor cannot renumber anything."""
     from cattedra.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = _cols(order)
-    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # without an explicit count AQE may coalesce neighbouring ranges (order is kept)
+    ranged = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
+    ranged = ranged.sortWithinPartitions(*cols)
     mid = F.monotonically_increasing_id()
     positioned = ranged.withColumn("_mid", mid).select(
         "*", F.shiftright("_mid", 33).alias("_pid"), F.col("_mid").bitwiseAND(_LOW_BITS).alias("_local"))
