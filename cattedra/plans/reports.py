@@ -15,8 +15,7 @@ from cattedra.operators import aggregates as agg
 from cattedra.operators import listings as lst
 from cattedra.operators import select as sel
 from cattedra.operators import setops
-from cattedra.operators.dedup import asc, keep_first
-from cattedra.schemas import LOG, SELECTION_COLUMNS, conform
+from cattedra.schemas import LOG, conform
 from cattedra.session import scratch_path
 
 
@@ -185,11 +184,5 @@ def log_feed(log: DataFrame) -> DataFrame:
     return lst.newest_first(log, "date")
 
 
-def lecturer_first_rows(df: DataFrame) -> DataFrame:
-    """A7 helper: first row per (prof_id, insegnamento_id) by source rank."""
-    return keep_first(df, ["prof_id", "insegnamento_id"], [asc("_src")]).drop("_src")
-
-
 __all__ = ["SelectionSession", "Dashboard", "dashboard", "new_adoption_report", "sample_copy_dashboard",
-           "drilldown", "courses_of_lecturer", "isbn_quality", "latest_log_entry", "log_feed",
-           "SELECTION_COLUMNS"]
+           "select_contacts", "drilldown", "courses_of_lecturer", "isbn_quality", "latest_log_entry", "log_feed"]

@@ -68,6 +68,12 @@ def load_adoptions(pages: DataFrame) -> DataFrame:
     return conform(records(pages), "adozioni")
 
 
+def read_universities(spark: SparkSession, path: str) -> DataFrame:
+    """The landed university list ``{"data": [{uni_cod, uni_nome, max}]}``."""
+    wrapped = T.StructType([T.StructField(PAGE_DATA_FIELD, T.ArrayType(UNIVERSITY_SCHEMA))])
+    return spark.read.schema(wrapped).json(path).select(F.explode(PAGE_DATA_FIELD).alias("u")).select("u.*")
+
+
 def universities_with_year(universities: DataFrame, year: int) -> DataFrame:
     """Universities whose latest year is at least ``year``."""
     return universities.filter(F.col("max") >= F.lit(int(year)))

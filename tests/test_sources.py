@@ -161,3 +161,10 @@ def test_incremental_load_each_file_once(spark, scratch):
     q = start_incremental_load(spark, landing, sink, ckpt, available_now=True)
     q.awaitTermination()
     assert read_loaded(spark, sink).count() == 3
+
+
+def test_university_list_by_year(spark, scratch):
+    write_text(scratch, "unis.json", json.dumps({"data": [{"uni_cod": "U1", "uni_nome": "Uno", "max": 2024},
+                                                          {"uni_cod": "U2", "uni_nome": "Due", "max": 2021}]}) + "\n")
+    unis = paged.read_universities(spark, scratch)
+    assert rows(paged.universities_with_year(unis, 2023), "uni_cod") == [("U1",)]
