@@ -123,3 +123,16 @@ def test_sort_merge_paths_match_oracle(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_keep_first_is_partially_aggregated_before_the_shuffle(spark):
+    """A hot key must be reduced map-side: the pick is an aggregation with a
+    partial step below the exchange, not a window over the whole group."""
+    from __spark_entry__ import queries
+    for name in ("first_contact_per_pair", "directory_latest", "upsert_contacts"):
+        text = plan_text(queries()[name](spark, SMOKE))
+        assert "Window" not in text, name
+        lines = [ln for ln in text.splitlines() if "Aggregate" in ln or "Exchange hashpartitioning" in ln]
+        kinds = ["X" if "Exchange" in ln else ("P" if "partial_min" in ln else "F") for ln in lines]
+        # final aggregate, then the exchange, then the partial aggregate (plan text is top-down)
+        assert "".join(kinds).find("FXP") >= 0, (name, kinds)
