@@ -168,3 +168,21 @@ def test_university_list_by_year(spark, scratch):
                                                           {"uni_cod": "U2", "uni_nome": "Due", "max": 2021}]}) + "\n")
     unis = paged.read_universities(spark, scratch)
     assert rows(paged.universities_with_year(unis, 2023), "uni_cod") == [("U1",)]
+
+
+def test_paged_data_source_walks_chains_per_university(spark, scratch):
+    """The live source: one input partition per university, each walking its
+    page chain. Pages are files reached through file:// URLs (no server)."""
+    base = f"file://{scratch}/p_"
+    rec = lambda u, i: {"uni_cod": u, "isbn": str(i), "a_a": "2024"}
+    write_text(scratch, "p_uni_cod=A", json.dumps({"data": [rec("A", 1), rec("A", 2)],
+                                                   "next_page_url": f"file://{scratch}/A_2"}))
+    write_text(scratch, "A_2", json.dumps({"data": [rec("A", 3)], "next_page_url": ""}))
+    write_text(scratch, "p_uni_cod=B", json.dumps({"data": [], "next_page_url": ""}))
+    write_text(scratch, "p_uni_cod=C", json.dumps({"data": [rec("C", 9)], "next_page_url": ""}))
+    paged.register_paged_source(spark)
+    df = (spark.read.format("paged_adoptions").option("url", base)
+          .option("universities", json.dumps(["A", "B", "C"])).load())
+    assert df.rdd.getNumPartitions() == 3
+    assert rows(df, "uni_cod", "isbn") == [("A", "1"), ("A", "2"), ("A", "3"), ("C", "9")]
+    assert conform(df, "adozioni").filter("a_a = 2024").count() == 4
