@@ -41,8 +41,12 @@ def py_title(c: Column | str) -> Column:
     ``initcap`` alone only capitalises after spaces (``D'angelo``); splitting at
     every non-letter -> letter boundary first gives ``D'Angelo``, ``Maria-Rosa``.
     """
-    pieces = F.split(as_col(c), r"(?<=\P{L})(?=\p{L})")
-    return F.array_join(F.transform(pieces, lambda p: F.initcap(p)), "")
+    col = as_col(c)
+    pieces = F.split(col, r"(?<=\P{L})(?=\p{L})")
+    by_pieces = F.array_join(F.transform(pieces, lambda p: F.initcap(p)), "")
+    # initcap already equals title() unless a letter follows a non-letter other
+    # than a space; only those names take the (lambda) piecewise path
+    return F.when(col.rlike(r"[^\p{L} ]\p{L}"), by_pieces).otherwise(F.initcap(col))
 
 
 def clean_prof_name(c: Column | str) -> Column:
