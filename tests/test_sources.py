@@ -186,3 +186,17 @@ def test_paged_data_source_walks_chains_per_university(spark, scratch):
     assert df.rdd.getNumPartitions() == 3
     assert rows(df, "uni_cod", "isbn") == [("A", "1"), ("A", "2"), ("A", "3"), ("C", "9")]
     assert conform(df, "adozioni").filter("a_a = 2024").count() == 4
+
+
+def test_spread_only_when_under_split(spark, scratch):
+    from cattedra.plans.testdata import spread
+    n = spark.sparkContext.defaultParallelism
+    many = os.path.join(scratch, "many")
+    spark.range(0, 10_000).repartition(n * 2).write.parquet(many)
+    big = spark.read.parquet(many)
+    assert spread(big, "id") is big              # enough splits: no extra shuffle
+    one = os.path.join(scratch, "one")
+    spark.range(0, 10_000).coalesce(1).write.parquet(one)
+    small = spark.read.parquet(one)
+    spread_small = spread(small, "id")
+    assert spread_small is not small and spread_small.rdd.getNumPartitions() == n
