@@ -62,10 +62,10 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """State by coordinate; the bias is a coordinate of its own without L1."""
 
-    alpha: float = 0.5
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 4.0
-    l2: float = 1.0
+    l1: float = 5.0
+    l2: float = 0.1
     z: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS))
     n: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS))
     bias_z: float = 0.0
