@@ -64,13 +64,18 @@ class ByteLevel:
         special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         ranks = {bytes(map(byte_of.__getitem__, s)): i for s, i in vocab.items() if s not in special}
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
+        self.path, self.library = path, None  # most workers never need the library's own, larger tables
+
+    def exact(self) -> Tokenizer:
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library
 
     def encode(self, text: str) -> np.ndarray:
         if unsettled(text):
-            return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.asarray(self.exact().encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
