@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cattedra.llm.common import lower_text, ship, slices, write_shared
 
-BLOCK, BLOCK_DOCS, HOT, K = 1 << 21, 1 << 16, 1 << 20, 5
+BLOCK, BLOCK_DOCS, HOT, K = 1 << 20, 1 << 16, 1 << 20, 5
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Keys of the end token and of the start of a text: no word holds a blank.
 END, START = xxhash.xxh64_intdigest("\n"), np.uint64(1) << np.uint64(62)
@@ -393,7 +393,7 @@ def train_and_score(df: DataFrame, learn: str, doc_id: str = "doc_id", text: str
     made = write_shared(make_blocks(rows, word_buckets, block_tokens), "blocks", ["kind"])
     blocks = made.where("kind = 'block'")
     grouped = made.where("kind = 'words'").groupBy("bucket", F.lit(word_buckets).alias("n"))
-    words = write_shared(grouped.applyInArrow(_add_words(hot), _SQL), "words", ["kind"])
+    words = write_shared(grouped.applyInArrow(_add_words(hot), _SQL), "words", ["kind"], few=True)
     # totals and the ids of hot words: a few numbers from each bucket
     stats = words.where("kind = 'table'").select("c", "d").collect()
     total = np.sum([np.frombuffer(r.c, np.int64) for r in stats], axis=0).tolist() if stats else [0] * (K + 3)
@@ -402,7 +402,7 @@ def train_and_score(df: DataFrame, learn: str, doc_id: str = "doc_id", text: str
     to_block = words.where("kind = 'answer'").withColumn("kind", F.lit("answer-1"))
 
     sent = blocks.groupBy("block").cogroup(to_block.groupBy("block")).applyInArrow(_send_pairs(train_docs, buckets, hot), _SQL)
-    pairs = write_shared(sent.groupBy("bucket").applyInArrow(_add_pairs(level), _SQL), "pairs", ["kind"])
+    pairs = write_shared(sent.groupBy("bucket").applyInArrow(_add_pairs(level), _SQL), "pairs", ["kind"], few=True)
     table = pairs.where("kind = 'table'")
     ones = [np.frombuffer(r.e, np.int64) for r in table.select(F.substring("e", 1, 8 * (K + 1)).alias("e")).collect()]
     d = discounts(np.sum(ones, axis=0).tolist() if ones else [0] * (K + 1))
