@@ -114,7 +114,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(leaf[t].astype(np.int32)),
                                                   batch.column(0), batch.column(1)], names=["tree", "leaf", "rep", "v"])
 
-    index = write_shared(classes.select("rep", "v").mapInArrow(place, "tree int, leaf int, rep long, v array<double>"), "index")
+    index = write_shared(classes.select("rep", "v").mapInArrow(place, "tree int, leaf int, rep long, v array<double>"), "index", few=True)
     sizes = np.zeros((trees, 1 << depth), np.int64)
     for r in index.groupBy("tree", "leaf").count().collect():  # one row per leaf
         sizes[r.tree, r.leaf] = r["count"]
@@ -131,7 +131,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
                                                   batch.column(1).take(pa.array(at))], names=["tree", "leaf", "rep", "v"])
 
     queries = classes.where("is_query").select("rep", "v")
-    probes = write_shared(queries.mapInArrow(probe, "tree int, leaf int, rep long, v array<double>"), "probes")
+    probes = write_shared(queries.mapInArrow(probe, "tree int, leaf int, rep long, v array<double>"), "probes", few=True)
     asked = probes.groupBy("tree", "leaf").count().collect()
     # cells of a leaf: one row per leaf, at most trees * 2^depth
     cells = spark.createDataFrame([(r.tree, r.leaf, int(-(-sizes[r.tree, r.leaf] // CELL_VECTORS)) or 1,

@@ -117,7 +117,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec
 
     ordered = (classes.select("rep", "v").mapInArrow(coded, "code long, rep long, v array<double>")
                .repartitionByRange("code", "rep").sortWithinPartitions("code", "rep"))
-    ranges = write_shared(ordered.mapInArrow(packed, "n long, reps binary, v binary"), "ranges")
+    ranges = write_shared(ordered.mapInArrow(packed, "n long, reps binary, v binary"), "ranges", few=True)
     lanes = max(1, min(64, ranges.count()))
     ranges = ranges.withColumn("lane", F.pmod(F.xxhash64("reps"), F.lit(lanes)).cast("int"))
 
@@ -134,7 +134,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec
                                                   "asks": [part.column(0).to_numpy().astype("<i8").tobytes()]})
 
     queries = classes.where("is_query").select("rep", "v")
-    chunks = write_shared(queries.mapInArrow(chunked, "q binary, floors binary, asks binary"), "chunks")
+    chunks = write_shared(queries.mapInArrow(chunked, "q binary, floors binary, asks binary"), "chunks", few=True)
     chunks = chunks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     width = points.shape[1]
 

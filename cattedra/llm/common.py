@@ -36,10 +36,19 @@ def lower_text(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
-def write_shared(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut lineage: write ``df`` to a fresh folder under the shared checkpoint folder and read it back."""
+def fewer_files(df: DataFrame) -> DataFrame:
+    """At most four tasks for each core, or an eighth of the shuffle partitions: for tables much smaller than the input,
+    whose many tiny files would cost more than they hold."""
+    spark = df.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, shuffled // 8))
+
+
+def write_shared(df: DataFrame, name: str, partition_by: list[str] | None = None, few: bool = False) -> DataFrame:
+    """Cut lineage: write ``df`` to a fresh folder under the shared checkpoint folder and read it back.
+    ``few``: see ``fewer_files``."""
     path = scratch_path(df.sparkSession, name)
-    writer = df.write.mode("overwrite")
+    writer = (fewer_files(df) if few else df).write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cattedra.llm.common import BLANKS, ascii_lower, no_clash, remove_shared, write_shared
+from cattedra.llm.common import BLANKS, ascii_lower, fewer_files, no_clash, remove_shared, write_shared
 from cattedra.session import scratch_path
 
 _RUN = "h1 long, h2 long, n_docs long"
@@ -44,7 +44,7 @@ def _hashes(text: Column, min_key: int) -> Column:
 class LineRuns:
     """The levelled runs, in a shared folder."""
 
-    def __init__(self, spark: SparkSession, min_docs: int = 10, min_key: int = 1, fanout: int = 3):
+    def __init__(self, spark: SparkSession, min_docs: int = 10, min_key: int = 1, fanout: int = 2):
         self.spark, self.min_docs, self.min_key, self.fanout = spark, min_docs, min_key, fanout
         self.folder = scratch_path(spark, "line-runs")
         self.levels: list[list[str]] = []
@@ -56,7 +56,7 @@ class LineRuns:
     def _store(self, run: DataFrame, level: int) -> None:
         path = f"{self.folder}/level-{level}/run-{self.made}"
         self.made += 1
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
+        fewer_files(run).sortWithinPartitions("h1", "h2").write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
@@ -84,7 +84,7 @@ class LineRuns:
         if not stored:
             return self.spark.createDataFrame([], "h1 long, h2 long")
         many = self._read(stored).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= self.min_docs)
-        return write_shared(many.select("h1", "h2"), "common-lines")
+        return write_shared(many.select("h1", "h2"), "common-lines", few=True)
 
 
 def batches_of(df: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> list[DataFrame]:
@@ -121,7 +121,7 @@ def drop_common_lines(df: DataFrame, common: DataFrame, doc_id: str = "doc_id",
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_key: int = 1,
-                batches: int = 4, fanout: int = 3) -> DataFrame:
+                batches: int = 3, fanout: int = 2) -> DataFrame:
     """Drop the lines found in ``min_docs`` documents or more, from every document."""
     runs = LineRuns(df.sparkSession, min_docs, min_key, fanout)
     for batch in batches_of(df, batches, doc_id):

@@ -40,7 +40,7 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row per source
     table = F.array(*[F.lit(float(w)) for w in weights])
     per = write_shared(per.withColumn("weight", F.element_at(table, (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))),
-                       "sources")
+                       "sources", few=True)
     cap, level = F.col("source_size") * F.lit(float(most)), 0.0
     total = float(share) * float(per.agg(F.sum("source_size")).first()[0] or 0)
     while True:
@@ -125,7 +125,7 @@ def mix(df: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, mos
     alike = rows.groupBy("doc_id", "source", "size", "text_key").agg(F.count(F.lit(1)).alias("n"))
     units = alike.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
     units = units.withColumn("unit_key", F.xxhash64("doc_id", "text_key", "nth"))
-    targets = write_shared(source_targets(rows.select("source", "size"), list(weights), share, most), "targets")
+    targets = write_shared(source_targets(rows.select("source", "size"), list(weights), share, most), "targets", few=True)
 
     per = targets.select(F.col("source").alias("s"), "source_size", "target", "n_docs")
     per = F.broadcast(per) if per.count() <= MOST_BROADCAST else per
@@ -139,11 +139,11 @@ def mix(df: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, mos
     chunks = targets.agg(F.max(F.ceil(F.col("n_docs") / CHUNK))).first()[0] or 0
     done = []
     while chunks > 1:
-        flown = write_shared(_flown(left, land=False), "flight")
+        flown = write_shared(_flown(left, land=False), "flight", few=True)
         done.append(flown.where("pick >= 0"))
         chunks = -(-chunks * 2 // CHUNK)  # each chunk has left two units at most
         left = flown.where("pick < 0").withColumn("chunk", F.pmod(F.xxhash64(F.lit(chunks), "unit_key"), F.lit(chunks)))
-    done.append(write_shared(_flown(left.withColumn("chunk", F.lit(0).cast("long")), land=True), "landing"))
+    done.append(write_shared(_flown(left.withColumn("chunk", F.lit(0).cast("long")), land=True), "landing", few=True))
     flown = done[0]
     for more in done[1:]:
         flown = flown.unionByName(more)
@@ -162,7 +162,7 @@ def take(df: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "t
     wanted = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
                            F.col("text_key").alias("__text")).agg(F.sum("copies").alias("__copies"),
                                                                   F.count(F.lit(1)).alias("__rows"))
-    wanted = write_shared(wanted.where("__copies > 0"), "wanted")
+    wanted = write_shared(wanted.where("__copies > 0"), "wanted", few=True)
     on = (F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
           & F.col(source).eqNullSafe(F.col("__source")))
     taken = rows.join(wanted.where("__rows = 1"), on).select(*names, "__copies")

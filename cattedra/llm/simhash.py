@@ -137,20 +137,20 @@ def links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for every end of the edges (a, b): root is the smallest fp of its component, as a signed long."""
-    edges = write_shared(edges, "links")
-    both = write_shared(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links-both")
+    edges = write_shared(edges, "links", few=True)
+    both = write_shared(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links-both", few=True)
     labels = write_shared(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-                          .select(F.col("a").alias("fp"), "root"), "labels")
+                          .select(F.col("a").alias("fp"), "root"), "labels", few=True)
     while True:
         # smallest label among neighbours
         near = (both.join(labels, both["b"] == labels["fp"]).groupBy("a").agg(F.min("root").alias("near")))
         lower = labels.join(near, labels["fp"] == near["a"]).select("fp", F.col("root").alias("was"),
                                                                     F.least("root", "near").alias("root"))
-        lower = write_shared(lower, "labels")
+        lower = write_shared(lower, "labels", few=True)
         # pointer jumping: the label of the label
         up = lower.select(F.col("fp").alias("p"), F.col("root").alias("up"))
         jumped = write_shared(lower.join(up, lower["root"] == up["p"]).select("fp", "was", F.least("root", "up").alias("root")),
-                              "labels")
+                              "labels", few=True)
         moved = not jumped.where("root < was").isEmpty()
         labels = jumped.select("fp", "root")
         if not moved:
@@ -166,14 +166,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                      F.col(text).alias("text"))
     prints = write_shared(with_fingerprint(rows, "text", shingle).select("doc_id", "text_key", "fp"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    classes = write_shared(prints.groupBy("fp").agg(first), "classes")
+    classes = write_shared(prints.groupBy("fp").agg(first), "classes", few=True)
     roots = components(links(classes, max_bits)).withColumnRenamed("fp", "f")
     named = write_shared(classes.join(roots, F.col("fp") == F.col("f"), "left")
-                         .select("fp", "first", F.coalesce("root", "fp").alias("root")), "class-roots")
+                         .select("fp", "first", F.coalesce("root", "fp").alias("root")), "class-roots", few=True)
     least = named.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least"))
     per_class = write_shared(named.join(least, F.col("root") == F.col("r")).select(
         F.col("fp").alias("f"), F.col("least.doc_id").alias("component_id"), F.col("least.text_key").alias("stays_key")),
-        "class-components")
+        "class-components", few=True)
     return prints.join(per_class, F.col("fp") == F.col("f")).drop("f")
 
 
@@ -182,7 +182,7 @@ def keep_one(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
     other columns)."""
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("stays_key")))
     stays = write_shared(stays.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
-                         .agg(F.count(F.lit(1)).alias("__rows")), "stays")
+                         .agg(F.count(F.lit(1)).alias("__rows")), "stays", few=True)
     rows = df.withColumn("__key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     on = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
     out = rows.join(stays.where("__rows = 1"), on, "left_semi").select(*df.columns)

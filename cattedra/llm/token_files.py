@@ -208,7 +208,7 @@ def write_tokens(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{name}"], "n_docs": [n_docs],
                                           "n_ids": [n_ids]})
 
-    manifest = write_shared(ranged.mapInArrow(run, "part long, path string, n_docs long, n_ids long"), "manifest")
+    manifest = write_shared(ranged.mapInArrow(run, "part long, path string, n_docs long, n_ids long"), "manifest", few=True)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

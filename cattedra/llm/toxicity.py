@@ -134,7 +134,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: s
                  pa.array([packed[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())],
                 names=["label", "key", "at"])
 
-    examples = write_shared(joined.mapInArrow(distinct, "label int, key long, at binary"), "toxicity-sample")
+    examples = write_shared(joined.mapInArrow(distinct, "label int, key long, at binary"), "toxicity-sample", few=True)
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "at"], kind="stable")  # a hash order: the same on every run

@@ -36,15 +36,15 @@ def classes_of(rows: DataFrame, keep: int, every: int) -> tuple[DataFrame, DataF
     """(classes, members of query ids): classes has rep (smallest id), ids (the ``keep`` smallest, ascending),
     is_query and v; the second has query_id and rep. Both are stored."""
     keyed = rows.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit("v"), "v"))
-    keyed = write_shared(keyed.groupBy("k1", "k2", "vec_id").agg(F.first("v").alias("v")), "vectors")
+    keyed = write_shared(keyed.groupBy("k1", "k2", "vec_id").agg(F.first("v").alias("v")), "vectors", few=True)
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))  # limited before the shuffle
     small = keyed.select("k1", "k2", "vec_id", "v", nth.alias("nth")).where(F.col("nth") <= keep)
     asks = keyed.groupBy("k1", "k2").agg(F.max(F.col("vec_id") % every == 0).alias("is_query"))
     classes = small.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"),
                                             F.first("v").alias("v")).join(asks, ["k1", "k2"])
-    classes = write_shared(classes.select("k1", "k2", "rep", "ids", "is_query", "v"), "classes")
+    classes = write_shared(classes.select("k1", "k2", "rep", "ids", "is_query", "v"), "classes", few=True)
     members = keyed.where(F.col("vec_id") % every == 0).select("k1", "k2", F.col("vec_id").alias("query_id"))
-    members = write_shared(members.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("query_id", "rep"), "queries")
+    members = write_shared(members.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("query_id", "rep"), "queries", few=True)
     return classes.drop("k1", "k2"), members
 
 
