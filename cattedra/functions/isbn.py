@@ -60,7 +60,7 @@ def isbn13(c: Column | str) -> Column:
 def isbn13_valid(c: Column | str) -> Column:
     """13 digits, no hyphens or spaces, and a correct check digit."""
     s = as_col(c)
-    ok_form = s.rlike(r"^\d{13}$")
+    ok_form = s.rlike(r"^\d{13}\z")
     return F.coalesce(ok_form & (s.substr(13, 1) == ean13_check_digit(s)), F.lit(False))
 
 

@@ -82,12 +82,3 @@ def json_keys(c: Column | str) -> Column:
 def json_values(c: Column | str) -> Column:
     """Values of a JSON array of strings (``json_each`` ... ``value``)."""
     return F.from_json(as_col(c), T.ArrayType(T.StringType()))
-
-
-def joined_values(c: Column | str, sep: str = ", ") -> Column:
-    """C14 aggregate: sorted distinct values joined by ``sep``.
-
-    Only for code columns with a bounded domain (universities, sectors): the
-    set is built with partial aggregation, but its final size is the domain.
-    """
-    return F.array_join(F.array_sort(F.collect_set(as_col(c))), sep)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cattedra.functions.scalars import isbn_or_label, joined_values, space_concat, sqlite_int_of
+from cattedra.functions.scalars import isbn_or_label, space_concat, sqlite_int_of
 from cattedra.operators.dedup import asc, keep_first
 
 # --- Fixed values: column sets of the summary and of the per-book student count. ---
@@ -41,27 +41,21 @@ def students_one_book(df: DataFrame, isbn: str) -> DataFrame:
 def summary_counts(df: DataFrame, columns: list[str] = SUMMARY_COLUMNS) -> DataFrame:
     """A3: non-null count and distinct count per column, one row.
 
-    NULLs are not values (D10): ``count`` and ``count_distinct`` skip them.
+    NULLs are not values (D10). Each column is counted by value first (a partial aggregate over one pruned column), so
+    no row is copied once per distinct count.
     """
-    aggs = []
+    rows = None
     for c in columns:
-        aggs.append(F.count(c).alias(f"{c}_count"))
-        aggs.append(F.count_distinct(c).alias(f"{c}_unique"))
-    return df.agg(*aggs)
+        per_value = df.where(F.col(c).isNotNull()).groupBy(c).count()
+        one = per_value.agg(F.lit(c).alias("column"), F.coalesce(F.sum("count"), F.lit(0)).alias("n"),
+                            F.count(F.lit(1)).alias("distinct"))
+        rows = one if rows is None else rows.unionByName(one)
+    of = lambda c, n: F.max(F.when(F.col("column") == c, F.col(n)))  # noqa: E731 - one row for each column
+    return rows.agg(*[of(c, n).alias(f"{c}_{label}") for c in columns for n, label in (("n", "count"), ("distinct", "unique"))])
 
 
-# A joined value list is one string in one task: only for code columns whose
-# domain is bounded (universities, subject sectors). Larger domains are refused
-# (use ``distinct_value_rows``, which stays distributed).
-MAX_LISTED_VALUES = 10_000
-
-
-class DomainTooLarge(ValueError):
-    pass
-
-
-def distinct_value_rows(df: DataFrame, columns: list[str] = SUMMARY_VALUE_LIST_COLUMNS) -> DataFrame:
-    """A3/C14, distributed form: one row per (column, distinct value)."""
+def distinct_values(df: DataFrame, columns: list[str] = SUMMARY_VALUE_LIST_COLUMNS) -> DataFrame:
+    """A3/C14: one row per (column, distinct value), for domains of any size."""
     parts = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
              .where(F.col("value").isNotNull()).distinct() for c in columns]
     out = parts[0]
@@ -70,31 +64,10 @@ def distinct_value_rows(df: DataFrame, columns: list[str] = SUMMARY_VALUE_LIST_C
     return out
 
 
-def distinct_values(df: DataFrame, columns: list[str] = SUMMARY_VALUE_LIST_COLUMNS,
-                    max_values: int = MAX_LISTED_VALUES) -> DataFrame:
-    """A3/C14: per code column, the number of distinct values and their sorted
-    list joined by ``', '``. The values are de-duplicated before the list is
-    built, and the domain size is checked first (one aggregate action), so the
-    single list per column has a proven bound."""
-    rows = distinct_value_rows(df, columns)
-    largest = rows.groupBy("column").count().agg(F.max("count")).first()[0] or 0
-    if largest > max_values:
-        raise DomainTooLarge(f"{largest} distinct values exceed the list bound {max_values}")
-    parts = []
-    for c in columns:
-        vals = rows.where(F.col("column") == F.lit(c)).select("value")
-        parts.append(vals.agg(F.lit(c).alias("column"), F.count("value").alias("n_values"),
-                              joined_values("value").alias("values")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def first_contact_per_pair(contacts: DataFrame, order_col: str = "record_id") -> DataFrame:
-    """A4: one contact per (insegnamento_prof, isbn), the first by record id;
-    a missing isbn shows as 'Nessun saggio'. NULLs form one group."""
-    first = keep_first(contacts, ["insegnamento_prof", "isbn"], [asc(order_col)])
+    """A4: one contact per (insegnamento_prof, isbn), the first by record id (rows without
+    an id come last); a missing isbn shows as 'Nessun saggio'. NULLs form one group."""
+    first = keep_first(contacts, ["insegnamento_prof", "isbn"], [asc(order_col, nulls_last=True)])
     return first.withColumn("isbn", isbn_or_label("isbn"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cattedra.operators.dedup import asc, desc, keep_first
+from cattedra.operators.numbering import with_global_index
 from cattedra.schemas import CONTACT_COLUMNS, MAILING_COLUMNS
 
 UPSERT_KEY = ["uni_cod", "prof_id"]
@@ -48,14 +49,39 @@ def upsert(new: DataFrame, old: DataFrame, key: Sequence[str] = UPSERT_KEY, mode
     return keep_first(both, list(key), order).drop("_src")
 
 
-def update_by_id(df: DataFrame, changes: DataFrame, key: str = "record_id") -> DataFrame:
-    """M2/M6: apply a sparse change map. ``changes`` has ``key`` plus any subset
-    of the columns; a NULL in a change column leaves the value as it was."""
+class DuplicateChange(ValueError):
+    """More than one change for one row id."""
+
+
+def assign_ids(df: DataFrame, rows: DataFrame, key: str = "record_id") -> DataFrame:
+    """``rows`` with ids for those that have none: the largest id of ``df`` (or of ``rows``) plus their place in the order
+    of all columns, numbered over range partitions. A frame without the id column passes unchanged."""
+    if key not in df.columns:
+        return rows
+    named = rows if key in rows.columns else rows.withColumn(key, F.lit(None).cast("bigint"))
+    top = max([x for f in (df, named) for x in [f.agg(F.max(key)).first()[0]] if x is not None], default=0)
+    order = [F.col(c).asc_nulls_first() for c in named.columns if c != key]
+    fresh = with_global_index(named.where(F.col(key).isNull()), order, "_place")
+    fresh = fresh.withColumn(key, F.col("_place") + F.lit(top + 1)).drop("_place")
+    return named.where(F.col(key).isNotNull()).unionByName(fresh)
+
+
+def update_by_id(df: DataFrame, changes: DataFrame, key: str = "record_id",
+                 set_columns: Sequence[str] = ()) -> DataFrame:
+    """M2/M6: apply changes by id. ``changes`` has ``key`` plus any subset of the columns. Columns in ``set_columns``
+    are set as given, NULL included (a whole-row edit lists them all); in the others a NULL leaves the value as it
+    was. Two changes for one id are refused."""
+    if not changes.groupBy(key).count().where("count > 1").isEmpty():
+        raise DuplicateChange(f"more than one change for one {key}")
     cols = [c for c in changes.columns if c != key and c in df.columns]
-    ch = changes.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in cols])
+    ch = changes.select(F.col(key), F.lit(True).alias("_changed"), *[F.col(c).alias(f"_new_{c}") for c in cols])
     joined = df.join(ch, key, "left")
-    return joined.select(*[F.coalesce(F.col(f"_new_{c}").cast(df.schema[c].dataType), F.col(c)).alias(c)
-                           if c in cols else F.col(c) for c in df.columns])
+
+    def value(c: str):
+        new = F.col(f"_new_{c}").cast(df.schema[c].dataType)
+        return F.when(F.col("_changed"), new).otherwise(F.col(c)) if c in set_columns else F.coalesce(new, F.col(c))
+
+    return joined.select(*[value(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def delete_by_id(df: DataFrame, ids: DataFrame, key: str = "record_id") -> DataFrame:
@@ -64,9 +90,9 @@ def delete_by_id(df: DataFrame, ids: DataFrame, key: str = "record_id") -> DataF
 
 
 def insert_rows(df: DataFrame, rows: DataFrame, required: str = "insegnamento_prof") -> DataFrame:
-    """M4: append rows; a row without the mandatory name is rejected."""
+    """M4: append rows under new ids; a row without the mandatory name is rejected."""
     ok = rows.filter(F.col(required).isNotNull() & (F.trim(F.col(required)) != ""))
-    return df.unionByName(ok.select(*df.columns))
+    return df.unionByName(assign_ids(df, ok).select(*df.columns))
 
 
 def append_new(df: DataFrame, rows: DataFrame, key: Sequence[str] = CONTACT_NATURAL_KEY) -> DataFrame:
@@ -78,14 +104,20 @@ def append_new(df: DataFrame, rows: DataFrame, key: Sequence[str] = CONTACT_NATU
         c = F.col(f"_r.{k}").eqNullSafe(F.col(f"_d.{k}"))
         cond = c if cond is None else cond & c
     fresh = r.join(d, cond, "left_anti").select("_r.*")
-    return df.unionByName(fresh.select(*df.columns))
+    return df.unionByName(assign_ids(df, fresh).select(*df.columns))
 
 
 def append_upload(resolved_upload: DataFrame, selected: DataFrame) -> DataFrame:
-    """M7: resolved upload U selected lecturers, in the contact layout."""
+    """M7: resolved upload U selected lecturers, in the contact layout (``with_ids`` numbers them for storing)."""
     return resolved_upload.select(*CONTACT_COLUMNS).unionByName(selected.select(*CONTACT_COLUMNS))
 
 
+def with_ids(rows: DataFrame, key: str = "record_id") -> DataFrame:
+    """``rows`` with an id each, so that they can be edited and deleted; ids already there stay."""
+    named = rows if key in rows.columns else rows.withColumn(key, F.lit(None).cast("bigint"))
+    return assign_ids(named, named, key)
+
+
 def merge_directory(new: DataFrame, old: DataFrame, key: str = "prof_id") -> DataFrame:
     """M8: directory "update and add": new rows replace old ones on ``key``."""
     return upsert(new, old, [key], mode="new_wins")

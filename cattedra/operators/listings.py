@@ -10,8 +10,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cattedra.operators.numbering import with_global_index
-
 # --- Fixed values: listing column sets, page sizes, preview sizes. ---
 LISTINGS: dict[str, list[str]] = {
     "adoptions": ["uni_cod", "laurea_nome", "materia_nome", "materia_ssd_cod", "insegnamento_prof",
@@ -38,9 +36,10 @@ CONTACT_PAGE_SIZE = 20
 PREVIEW_SIZES = (5, 10, 20)
 # --- end of fixed values ---
 
-# Pages whose end lies beyond this many rows are cut by exact row numbers
-# instead of a per-partition top-K (which keeps offset+size rows per task).
-TOP_K_PAGE_LIMIT = 100_000
+# A page is cut out of a range of the order that holds about this many rows.
+RANGE_ROWS = 50_000
+# Cuts of a range at each narrowing; bounds what a narrowing brings to the driver.
+RANGE_CUTS = 32
 
 
 def listing(df: DataFrame, name: str) -> DataFrame:
@@ -78,36 +77,60 @@ class Page:
 
 
 def page_number(requested: Any, num_pages: int) -> int:
-    """T5: non-integer -> 1, below 1 or beyond the end -> last page."""
+    """T5: what is no whole number means the first page; numbers outside 1..last mean the last one."""
     try:
-        n = int(requested)
+        wanted = int(requested)
     except (TypeError, ValueError):
         return 1
-    if n < 1 or (n > num_pages and n != 1):
-        return num_pages
-    return n
-
-
-def page_slice(df: DataFrame, order: Sequence[Column], number: int, size: int,
-               top_k_limit: int = TOP_K_PAGE_LIMIT) -> DataFrame:
-    """Rows ``(number-1)*size .. number*size-1`` of ``df`` in ``order``."""
-    start = (number - 1) * size
-    if start + size <= top_k_limit:
-        # TakeOrderedAndProject: each task keeps only its best start+size rows
-        return df.orderBy(*order).offset(start).limit(size)
-    indexed = with_global_index(df, order, "_row")
-    return indexed.filter((F.col("_row") >= start) & (F.col("_row") < start + size)) \
-        .orderBy("_row").drop("_row")
+    return wanted if wanted in range(1, num_pages + 1) else num_pages
+
+
+def _literal_key(df: DataFrame, columns: Sequence[str], values: Sequence[Any]) -> Column:
+    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(columns, values)])
+
+
+def page_slice(df: DataFrame, first: Sequence[str], number: int, size: int, count: int | None = None) -> DataFrame:
+    """Rows ``(number-1)*size .. number*size-1`` of ``df`` ordered by ``first``, then by every other column.
+
+    One way for every page: the range of the order that holds the page is narrowed by counting rows below a few dozen
+    sampled keys (one aggregate, no sort), until it is small; only that range is sorted. Keys are compared as
+    structs, in which NULL comes first, as in the order.
+    """
+    columns = [*first, *[c for c in df.columns if c not in first]]
+    key = F.struct(*[F.col(c) for c in columns])
+    start, below = (number - 1) * size, 0
+    rows, held = df, df.count() if count is None else count
+    while held > RANGE_ROWS + size:
+        # a hash decides what is sampled, so the sample is spread over the range
+        share = max(1, held // (64 * RANGE_CUTS))
+        sample = (rows.where(F.pmod(F.xxhash64(F.lit(held), *columns), F.lit(share)) == 0).select(*columns)
+                  .limit(256 * RANGE_CUTS).distinct().orderBy(*[F.col(c).asc_nulls_first() for c in columns]).collect())
+        cuts = [_literal_key(df, columns, r) for r in sample[::max(1, len(sample) // RANGE_CUTS)]]
+        if not cuts:
+            break
+        under = rows.agg(*[F.count(F.when(key < cut, 1)).alias(f"c{i}") for i, cut in enumerate(cuts)]).first()
+        low = max((n, i) for i, n in [(-1, 0), *enumerate(under)] if below + n <= start)
+        high = min(((n, i) for i, n in enumerate(under) if below + n >= start + size), default=None)
+        if low[1] >= 0:
+            rows = rows.where(key >= cuts[low[1]])
+        if high:
+            rows = rows.where(key < cuts[high[1]])
+        narrowed = (high[0] if high else held) - low[0]
+        below += low[0]
+        if narrowed >= held:
+            break
+        held = narrowed
+    return rows.orderBy(*[F.col(c).asc_nulls_first() for c in columns]).offset(max(0, start - below)).limit(size).select(*df.columns)
 
 
 def page(df: DataFrame, number: Any = 1, size: int = PAGE_SIZE,
-         order: Sequence[str | Column] = ()) -> Page:
+         order: Sequence[str] = ()) -> Page:
     """T5: one page of a listing plus the paging facts. ``count`` is the one
     action; the page rows stay lazy."""
     count = df.count()
     num_pages = math.ceil(max(1, count) / size)
     n = page_number(number, num_pages)
-    rows = page_slice(df, total_order(df, order), n, size)
+    rows = page_slice(df, list(order), n, size, count)
     return Page(rows, n, num_pages, count)
 
 

@@ -66,7 +66,7 @@ def select_by(df: DataFrame, column: str, keys: Sequence[Any] | DataFrame) -> Da
     """
     if isinstance(keys, DataFrame):
         kcol = keys.columns[0]
-        k = keys.select(F.col(kcol).cast(df.schema[column].dataType).alias("_key")).distinct()
+        k = keys.select(F.col(kcol).cast("string").try_cast(df.schema[column].dataType.simpleString()).alias("_key")).distinct()
         return df.join(k, df[column] == k["_key"], "left_semi")
     return df.filter(_isin(df, column, keys))
 
@@ -79,32 +79,21 @@ def keys_from_json(spark: SparkSession, payload: str, part: str = "keys") -> Dat
     return src.select(F.explode(fn(F.col("j"))).alias("key"))
 
 
+def _listed(name: str, value: Any) -> list[Any]:
+    """The values a parameter allows: list parameters are trimmed, comma lists split first."""
+    values = list(value) if isinstance(value, (list, tuple)) else [value]
+    if name in COMMA_LIST_PARAMS:
+        values = [part for v in values for part in str(v).split(",")]
+    trimmed = name in COMMA_LIST_PARAMS or name in MULTI_VALUE_PARAMS
+    return [str(v).strip() if trimmed else v for v in values]
+
+
 def param_predicates(df: DataFrame, params: Sequence[tuple[str, Any]],
                      contains: Sequence[str] = CONTAINS_PARAMS) -> list[Column]:
-    """One predicate per non-blank ``(param, value)``."""
-    preds: list[Column] = []
-    for name, value in params:
-        if is_blank(value):
-            continue
-        if name in MULTI_VALUE_PARAMS:
-            values = [value] if isinstance(value, str) else list(value)
-            if len(values) > 1:
-                preds.append(_isin(df, name, [v.strip() for v in values]))
-            else:
-                preds.append(F.col(name) == _typed_lit(df, name, values[0]))
-        elif name in contains:
-            preds.append(contains_ci(name, str(value)))
-        elif name in COMMA_LIST_PARAMS:
-            values = str(value).split(",")
-            if len(values) > 1:
-                preds.append(_isin(df, name, [v.strip() for v in values]))
-            else:
-                preds.append(F.col(name) == _typed_lit(df, name, value))
-        elif isinstance(value, (list, tuple)):
-            preds.append(_isin(df, name, value))
-        else:
-            preds.append(F.col(name) == _typed_lit(df, name, value))
-    return preds
+    """One predicate per non-blank ``(param, value)``: a substring match or a value list."""
+    given = [(name, value) for name, value in params if not is_blank(value)]
+    return [contains_ci(name, str(value)) if name in contains else _isin(df, name, _listed(name, value))
+            for name, value in given]
 
 
 def where_params(df: DataFrame, params: Sequence[tuple[str, Any]],

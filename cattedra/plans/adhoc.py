@@ -1,9 +1,9 @@
 """Ad-hoc SQL over a tenant's tables (Q8).
 
 The statement runs through ``spark.sql`` with named parameter markers (no
-string interpolation of values) on temporary views. Only one query statement
-is allowed (commands would run eagerly inside ``spark.sql``, so they are refused
-before). An error becomes a message, as in the reference.
+string interpolation of values) on temporary views. Only one query over these
+views is allowed: the parsed plan may hold no command, no other relation (paths,
+other views, catalog tables) and no function that reaches into the JVM. An error becomes a message, as in the reference.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ NO_DATA = "Nessun dato trovato"
 QUERY_ERROR = "Nessun dato trovato o errore nella query"
 # --- end of fixed values ---
 
-# Statement words that change state; ``spark.sql`` runs such commands eagerly,
-# so they are refused before the text reaches the session.
-_COMMAND_WORDS = re.compile(
-    r"\b(INSERT|DELETE|UPDATE|MERGE|DROP|CREATE|ALTER|TRUNCATE|CACHE|UNCACHE|REFRESH|SET|RESET|"
-    r"ADD|LOAD|MSCK|REPAIR|USE|GRANT|REVOKE)\b", re.IGNORECASE)
-_QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`")
+# Nodes that only commands have in a parsed plan.
+_COMMAND = re.compile(r"(?m)^[\s:+\-]*'?(\w*Command|InsertInto\w*|\w+Statement|(?:Create|Replace|Drop|Alter|Rename|Cache|"
+                      r"Uncache|Refresh|Truncate|Repair|Recover|Delete|Update|Merge|Show|Describe|Set|Add|Load|Use|"
+                      r"Analyze|Comment|Call|Declare|Execute)\w*)\b")
+_RELATION = re.compile(r"'(?:UnresolvedRelation|UnresolvedTableOrView|UnresolvedTable) \[([^\]]*)\]")
+_CTE = re.compile(r"(?m)CTE \[([^\]]*)\]")
+# Functions that reach into the JVM or read what is no view.
+_REACHING = re.compile(r"'(?:reflect|java_method|try_reflect|input_file_name|read_files|input_file_block_start)\(", re.IGNORECASE)
 
 
 @dataclass
@@ -35,19 +37,33 @@ class AdhocResult:
     message: str = ""
 
 
+def _allowed(plan: str, views: set[str]) -> bool:
+    """Whether a parsed plan is a query over the given views alone."""
+    if _COMMAND.search(plan) or _REACHING.search(plan):
+        return False
+    local = {name.strip().lower() for found in _CTE.findall(plan) for name in found.split(",")}
+    return all(name.strip().lower() in views | local for name in _RELATION.findall(plan))
+
+
 def run_sql(spark: SparkSession, text: str, views: dict[str, DataFrame],
             args: dict[str, Any] | None = None) -> AdhocResult:
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    stripped = text.strip().rstrip(";")
-    head = stripped.split(None, 1)[0].upper() if stripped else ""
-    if head not in ("SELECT", "WITH", "VALUES", "TABLE", "FROM") or \
-            _COMMAND_WORDS.search(_QUOTED.sub("''", stripped)) or ";" in stripped:
-        return AdhocResult(None, [], 0, QUERY_ERROR)
+    """Run one query over ``views``, which are temporary views for this call only.
+
+    The text is explained first, which runs nothing; what the parser made of it decides whether it is run."""
     try:
-        frame = spark.sql(stripped, args=args or {})
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        query = text.strip().rstrip(";")
+        explained = spark.sql("EXPLAIN EXTENDED " + query, args=args or {}).first()[0]
+        parsed = explained.partition("== Parsed Logical Plan ==")[2].partition("== Analyzed Logical Plan ==")[0]
+        if not _allowed(parsed, {v.lower() for v in views}):
+            return AdhocResult(None, [], 0, QUERY_ERROR)
+        frame = spark.sql(query, args=args or {})
     except Exception:  # noqa: BLE001 - the reference turns every error into a message
         return AdhocResult(None, [], 0, QUERY_ERROR)
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)  # the frame is resolved by now
     return AdhocResult(frame, frame.columns, len(frame.columns))
 
 

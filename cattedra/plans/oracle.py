@@ -112,3 +112,27 @@ def clean_name_sql(expr: str) -> str:
              f"Assegnazione|^[0\\s]+')")
     body = f"trim(replace(replace({step1}, ', ', ' '), ',', ' '))"
     return f"CASE WHEN {expr} IS NULL THEN NULL WHEN {blank} THEN '' ELSE {title_sql(body)} END"
+
+
+#: ``testdata.dirty_adoptions`` and what the loaders make of it (``pulite``); needs ADOPTIONS_CTE before it.
+DIRTY_CTE = """sporche AS (
+  SELECT * REPLACE (
+    CASE insegnamento_id % 10 WHEN 0 THEN 'Docente da definire' WHEN 1 THEN NULL
+         WHEN 2 THEN insegnamento_prof || ' (supplente)' ELSE insegnamento_prof END AS insegnamento_prof,
+    CASE WHEN insegnamento_id % 7 = 0 THEN materia_ssd_cod || ';MAT/05' ELSE materia_ssd_cod END AS materia_ssd_cod,
+    CASE WHEN insegnamento_id % 3 <> 0 THEN prof_id END AS prof_id,
+    CASE insegnamento_id % 5 WHEN 0 THEN 'Il "nuovo" ' || titolo || ', vol. 1' || chr(10) || 'bis'
+         WHEN 1 THEN '  ' || titolo || ' ' WHEN 2 THEN '' ELSE titolo END AS titolo)
+  FROM adozioni),
+pulite AS (
+  SELECT * REPLACE (
+    CASE WHEN insegnamento_prof IS NULL OR insegnamento_prof LIKE '%definire%' THEN ''
+         ELSE trim(split_part(insegnamento_prof, '(', 1)) END AS insegnamento_prof,
+    replace(materia_ssd_cod, ';', ' ') AS materia_ssd_cod, coalesce(prof_id, 0) AS prof_id)
+  FROM sporche)"""
+
+#: ``testdata.dirty_directory`` without its nameless row, which matches nothing; needs DIRECTORY_CTE before it.
+DIRTY_DIRECTORY_CTE = """elenco AS (
+  SELECT prof_id, insegnamento_prof, insegnamento_id FROM tuttidocenti
+  UNION ALL
+  SELECT prof_id + 1000000, insegnamento_prof, insegnamento_id FROM tuttidocenti WHERE prof_id % 10 = 0)"""

@@ -1,7 +1,8 @@
 """Registered queries: one per operator family of the inventory.
 
 Each query takes ``(spark, sf_dir)``, reads the driver's tables through the
-test-data mapping and returns a lazy DataFrame over the whole tables.
+test-data mapping and returns a DataFrame over the whole tables (queries of
+sources and sinks land files first).
 Parameters are fixed values (years, keys, dates) so results are reproducible;
 nothing reads the clock. Each query sits next to its DuckDB oracle SQL.
 """
@@ -85,20 +86,19 @@ def _directory(spark, sf_dir):
 
 # ------------------------------------------------------------ reports (A)
 @register("students_per_book", O.with_ctes("""
-SELECT tbl1.isbn, tbl2.titolo, tbl2.autore, tbl2.editore, tbl1.studenti
-FROM (SELECT isbn, CAST(sum(CAST(studenti AS BIGINT)) AS BIGINT) AS studenti
-      FROM (SELECT DISTINCT uni_cod, laurea_nome, isbn, laurea_matricole AS studenti FROM adozioni) cts
-      GROUP BY isbn) tbl1
-JOIN (SELECT DISTINCT isbn, titolo, autori || ' ' || curatori AS autore, editore FROM adozioni) tbl2
-  ON tbl1.isbn = tbl2.isbn""", A_CTE))
+SELECT b.isbn, titolo, autore, editore, studenti
+FROM (SELECT isbn, titolo, autori || ' ' || curatori AS autore, editore FROM adozioni GROUP BY ALL) AS b
+JOIN (SELECT isbn, CAST(sum(enrolled) AS BIGINT) AS studenti
+      FROM (SELECT isbn, uni_cod, laurea_nome, laurea_matricole AS enrolled FROM adozioni GROUP BY ALL) AS degree
+      GROUP BY isbn) AS per_book ON per_book.isbn = b.isbn""", A_CTE))
 def q_students_per_book(spark, sf_dir):
     """A1 + J3: students per book over all adoptions."""
     return agg.students_per_book(td.adoptions(spark, sf_dir))
 
 
 @register("students_one_book", O.with_ctes(f"""
-SELECT CAST(SUM(laurea_matricole) AS BIGINT) AS totale_studenti
-FROM (SELECT DISTINCT laurea_nome, laurea_matricole FROM adozioni WHERE isbn = '{ONE_BOOK}') s""", A_CTE))
+SELECT CAST(sum(enrolled) AS BIGINT) AS totale_studenti
+FROM (SELECT laurea_nome, laurea_matricole AS enrolled FROM adozioni WHERE isbn = '{ONE_BOOK}' GROUP BY ALL) AS degree""", A_CTE))
 def q_students_one_book(spark, sf_dir):
     """A5: students for one book."""
     return agg.students_one_book(td.adoptions(spark, sf_dir), ONE_BOOK)
@@ -117,16 +117,13 @@ def q_summary_counts(spark, sf_dir):
 
 
 @register("distinct_values", O.with_ctes("""
-SELECT 'uni_cod' AS column_name, count(*) AS n_values, string_agg(v, ', ' ORDER BY v) AS value_list
-FROM (SELECT DISTINCT CAST(uni_cod AS VARCHAR) AS v FROM adozioni WHERE uni_cod IS NOT NULL) a
+SELECT DISTINCT 'uni_cod' AS column_name, CAST(uni_cod AS VARCHAR) AS value FROM adozioni WHERE uni_cod IS NOT NULL
 UNION ALL
-SELECT 'materia_ssd_cod', count(*), string_agg(v, ', ' ORDER BY v)
-FROM (SELECT DISTINCT CAST(materia_ssd_cod AS VARCHAR) AS v FROM adozioni WHERE materia_ssd_cod IS NOT NULL) b""",
+SELECT DISTINCT 'materia_ssd_cod', CAST(materia_ssd_cod AS VARCHAR) FROM adozioni WHERE materia_ssd_cod IS NOT NULL""",
                                         A_CTE))
 def q_distinct_values(spark, sf_dir):
-    """A3/C14: value lists of the summary (bounded code domains)."""
-    out = agg.distinct_values(td.adoptions(spark, sf_dir))
-    return out.select(F.col("column").alias("column_name"), "n_values", F.col("values").alias("value_list"))
+    """A3/C14: the distinct values of the summary's code columns, one row each."""
+    return agg.distinct_values(td.adoptions(spark, sf_dir)).withColumnRenamed("column", "column_name")
 
 
 @register("first_contact_per_pair", O.with_ctes(f"""
@@ -297,7 +294,7 @@ SELECT {_cols(lst.LISTINGS['books'])} FROM (
 WHERE rn >= (least(3, greatest(1, CAST(ceil(n / 100.0) AS BIGINT))) - 1) * 100
   AND rn < least(3, greatest(1, CAST(ceil(n / 100.0) AS BIGINT))) * 100""", A_CTE))
 def q_page_3(spark, sf_dir):
-    """T5: page 3 of the book listing (100 per page), per-task top-K."""
+    """T5: page 3 of the book listing (100 per page)."""
     return lst.page(lst.listing(td.adoptions(spark, sf_dir), "books"), 3).rows
 
 
@@ -305,9 +302,9 @@ def q_page_3(spark, sf_dir):
 SELECT * FROM (SELECT DISTINCT {_cols(lst.LISTINGS['courses'])} FROM adozioni) b
 ORDER BY {_COURSE_ORDER} LIMIT 100 OFFSET 1000""", A_CTE))
 def q_page_indexed(spark, sf_dir):
-    """T5 deep-page path: exact global row numbers, no single-task window."""
+    """T5: page 11 of the course listing."""
     courses = lst.listing(td.adoptions(spark, sf_dir), "courses")
-    return lst.page_slice(courses, lst.total_order(courses), 11, 100, top_k_limit=0)
+    return lst.page_slice(courses, [], 11, 100)
 
 
 @register("preview_5", O.with_ctes(f"""
@@ -400,8 +397,8 @@ SELECT {_cols('a.' + c for c in ADOPTION_COLUMNS if c not in ('prof_id', 'insegn
 FROM adozioni a LEFT JOIN (SELECT {_KEY_D} AS k, prof_id, insegnamento_id FROM tuttidocenti) d
   ON {_KEY_A} = d.k""", A_CTE, D_CTE))
 def q_name_resolution(spark, sf_dir):
-    """J2 + C2: adoptions take directory ids by order-free name key."""
-    return resolve_adoptions(td.adoptions(spark, sf_dir), _directory(spark, sf_dir))
+    """J2 + C2: adoptions take directory ids by order-free name key, over their own."""
+    return resolve_adoptions(td.adoptions(spark, sf_dir), _directory(spark, sf_dir), overwrite_ids=True)
 
 
 _KEY_C = O.name_key_sql("c.insegnamento_prof")
@@ -413,8 +410,8 @@ SELECT c.record_id, {_cols('c.' + c for c in CONTACT_COLUMNS if c not in ('prof_
 FROM docenti_router c LEFT JOIN (SELECT {_KEY_D} AS k, prof_id, insegnamento_id FROM tuttidocenti) d
   ON {_KEY_C} = d.k""", C_CTE, D_CTE))
 def q_contact_resolution(spark, sf_dir):
-    """Contacts take directory ids by name key (NULL when unmatched)."""
-    return resolve_contacts(td.contacts(spark, sf_dir), _directory(spark, sf_dir))
+    """Contacts take directory ids by name key, over their own (NULL when unmatched)."""
+    return resolve_contacts(td.contacts(spark, sf_dir), _directory(spark, sf_dir), overwrite_ids=True)
 
 
 @register("union_courses", O.with_ctes(f"""
@@ -473,6 +470,7 @@ def q_update_contacts(spark, sf_dir):
     return chg.update_by_id(c, changes)
 
 
+_ID_ORDER = ", ".join(f"{c} NULLS FIRST" for c in CONTACT_COLUMNS)
 _ROWS_SQL = ("SELECT uni_cod, facolta, materia_ssd_cod, materia_nome, insegnamento_prof, insegnamento_prof_www, "
              "prof_id, insegnamento_id, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS indirizzo, "
              "CAST(NULL AS VARCHAR) AS citta, CAST(NULL AS VARCHAR) AS telefono, CAST(NULL AS VARCHAR) AS note, "
@@ -482,8 +480,8 @@ _ROWS_SQL = ("SELECT uni_cod, facolta, materia_ssd_cod, materia_nome, insegnamen
 @register("append_new", O.with_ctes(f"""
 SELECT record_id, {_cols(CONTACT_COLUMNS)} FROM docenti_router
 UNION ALL
-SELECT DISTINCT CAST(NULL AS BIGINT) AS record_id, {_cols('r.' + c for c in CONTACT_COLUMNS)}
-FROM ({_ROWS_SQL}) r WHERE NOT EXISTS (
+SELECT (SELECT max(record_id) FROM docenti_router) + row_number() OVER (ORDER BY {_ID_ORDER}) AS record_id, {_cols(CONTACT_COLUMNS)}
+FROM (SELECT DISTINCT * FROM ({_ROWS_SQL})) r WHERE NOT EXISTS (
   SELECT 1 FROM docenti_router d WHERE d.uni_cod IS NOT DISTINCT FROM r.uni_cod
     AND d.prof_id IS NOT DISTINCT FROM r.prof_id AND d.insegnamento_id IS NOT DISTINCT FROM r.insegnamento_id
     AND d.isbn IS NOT DISTINCT FROM r.isbn)""", A_CTE, C_CTE))
@@ -727,33 +725,57 @@ def _scratch(spark, name):
     return scratch_path(spark, name)
 
 
+_KEY_P = O.name_key_sql("p.insegnamento_prof")
+
+
 @register("csv_load", O.with_ctes(f"""
-SELECT {_cols('a.' + c for c in ADOPTION_COLUMNS if c not in ('prof_id', 'insegnamento_id'))},
-       COALESCE(d.prof_id, 0) AS prof_id, COALESCE(d.insegnamento_id, 0) AS insegnamento_id
-FROM adozioni a LEFT JOIN (SELECT {_KEY_D} AS k, prof_id, insegnamento_id FROM tuttidocenti) d
-  ON {_KEY_A} = d.k""", A_CTE, D_CTE))
+SELECT {_cols('p.' + c for c in ADOPTION_COLUMNS if c not in ('prof_id', 'insegnamento_id'))},
+       CASE WHEN p.prof_id <> 0 THEN p.prof_id ELSE COALESCE(e.prof_id, 0) END AS prof_id, p.insegnamento_id
+FROM pulite p LEFT JOIN (SELECT {_KEY_D} AS k, prof_id, insegnamento_id FROM elenco) e
+  ON {_KEY_P} = e.k""", A_CTE, D_CTE, O.DIRTY_CTE, O.DIRTY_DIRECTORY_CTE))
 def q_csv_load(spark, sf_dir):
-    """S1 + K1: adoptions exported as CSV, loaded back: cleaned (P1-P4, C1) and
-    resolved against the directory (J2)."""
+    """S1 + K1: dirty adoptions exported as CSV, loaded back: cleaned (P1-P4, C1), missing ids from the directory (J2),
+    where some names stand at two universities."""
     from cattedra.sources.files import load_adoptions_csv
     from cattedra.sources.store import export_csv
     path = _scratch(spark, "adoptions-csv")
-    export_csv(td.adoptions(spark, sf_dir), path)
-    return load_adoptions_csv(spark, path, _directory(spark, sf_dir))
+    export_csv(td.dirty_adoptions(spark, sf_dir), path)
+    return load_adoptions_csv(spark, path, td.dirty_directory(spark, sf_dir))
+
+
+@register("directory_csv", O.with_ctes("""
+SELECT prof_id, uni_cod, insegnamento_prof, insegnamento_id, insegnamento_prof_www, materia_ssd_cod, materia_nome
+FROM tuttidocenti""", D_CTE))
+def q_directory_csv(spark, sf_dir):
+    """The directory as a file, loaded back."""
+    from cattedra.sources.files import load_directory_csv
+    from cattedra.sources.store import export_csv
+    path = _scratch(spark, "directory-csv")
+    export_csv(_directory(spark, sf_dir).select(*dirs.DIRECTORY_COLUMNS), path)
+    return load_directory_csv(spark, path).select(*dirs.DIRECTORY_COLUMNS)
+
+
+@register("wide_csv", O.with_ctes(f"SELECT {_cols('CAST(' + c + ' AS VARCHAR) AS ' + c for c in ADOPTION_COLUMNS)}, "
+                                  "CAST(NULL AS VARCHAR) AS prezzo FROM sporche", A_CTE, O.DIRTY_CTE))
+def q_wide_csv(spark, sf_dir):
+    """K3: dirty adoptions in the 39-column layout, every cell as it was."""
+    from cattedra.sources.files import read_csv
+    from cattedra.sources.store import export_wide_csv
+    path = _scratch(spark, "wide-csv")
+    export_wide_csv(td.dirty_adoptions(spark, sf_dir), path)
+    return read_csv(spark, path).select(*ADOPTION_COLUMNS, "prezzo")
 
 
-@register("paged_source", O.with_ctes(f"SELECT DISTINCT {_ALL_A} FROM adozioni", A_CTE))
+@register("paged_source", O.with_ctes(f"SELECT DISTINCT {_ALL_A} FROM pulite", A_CTE, O.DIRTY_CTE))
 def q_paged_source(spark, sf_dir):
-    """S5-S7 + A6: adoptions landed as linked JSON pages of 1,000 records per
-    university, read back (explode), conformed, cleaned, de-duplicated."""
+    """S5-S7 + A6: dirty adoptions, some of them twice, landed as linked JSON pages of 1,000 records per university,
+    read back (explode), conformed, cleaned, de-duplicated."""
     from cattedra.sources.files import load_api_pages
-    from cattedra.sources.paged import broken_chains, read_pages, records, write_pages
+    from cattedra.sources.paged import checked_pages, read_pages, records
     path = _scratch(spark, "pages")
-    write_pages(td.adoptions(spark, sf_dir), path)
-    pages = read_pages(spark, path)
-    if not broken_chains(pages).isEmpty():
-        raise RuntimeError("incomplete page chain")
-    return load_api_pages(records(pages))
+    dirty = td.dirty_adoptions(spark, sf_dir)
+    td.write_pages(dirty.unionByName(dirty.where("insegnamento_id % 4 = 0")), path)
+    return load_api_pages(records(checked_pages(read_pages(spark, path, one_per_line=True))))
 
 
 _CONTACT_UPLOAD = ", ".join(
@@ -773,7 +795,7 @@ def q_contacts_upload(spark, sf_dir):
     from cattedra.sources.store import export_csv
     path = _scratch(spark, "contacts-csv")
     export_csv(td.contacts(spark, sf_dir).select(*CONTACT_COLUMNS), path)
-    out = load_contacts(read_csv(spark, path), _directory(spark, sf_dir), "replace")
+    out = load_contacts(read_csv(spark, path), _directory(spark, sf_dir), "replace", overwrite_ids=True)
     return out.select(*[F.col(c).cast("string").alias(c) if c in ("prof_id", "insegnamento_id") else F.col(c)
                         for c in CONTACT_COLUMNS]).na.fill("", ["prof_id", "insegnamento_id"])
 
@@ -797,8 +819,7 @@ def q_log_feed_stream(spark, sf_dir):
     """G1 + T7: the log as a file stream (availableNow), read newest first."""
     from cattedra.streaming.log_feed import read_feed, start_log_feed
     src = _scratch(spark, "log-src")
-    td.log_events(spark, sf_dir).select("event_id", "tenant_id", "date", "message") \
-        .repartition(4, "tenant_id").write.parquet(src)
+    td.log_events(spark, sf_dir).select("event_id", "tenant_id", "date", "message").write.parquet(src)
     schema = spark.read.parquet(src).schema
     sink, ckpt = _scratch(spark, "log-sink"), _scratch(spark, "log-ckpt")
     q = start_log_feed(spark, src, schema, sink, ckpt, available_now=True, max_files_per_trigger=2)
@@ -806,14 +827,14 @@ def q_log_feed_stream(spark, sf_dir):
     return read_feed(spark, sink)
 
 
-@register("incremental_load_stream", O.with_ctes(f"SELECT {_ALL_A} FROM adozioni", A_CTE))
+@register("incremental_load_stream", O.with_ctes(f"SELECT {_ALL_A} FROM pulite", A_CTE, O.DIRTY_CTE))
 def q_incremental_load_stream(spark, sf_dir):
-    """Adoption CSV files landed per year and loaded incrementally, each
+    """Dirty adoption CSV files, landed by year and course, loaded incrementally, each
     file once, cleaned and de-duplicated per micro-batch."""
     from cattedra.sources.store import export_csv
     from cattedra.streaming.incremental import read_loaded, start_incremental_load
     landing = _scratch(spark, "landing")
-    export_csv(td.adoptions(spark, sf_dir).repartition("a_a"), landing)
+    export_csv(td.dirty_adoptions(spark, sf_dir).repartitionByRange("a_a", "insegnamento_id"), landing)
     sink, ckpt = _scratch(spark, "loaded"), _scratch(spark, "load-ckpt")
     q = start_incremental_load(spark, landing, sink, ckpt, available_now=True, max_files_per_trigger=4)
     q.awaitTermination()
@@ -853,7 +874,7 @@ def q_merge_directory(spark, sf_dir):
 @register("insert_contacts", O.with_ctes(f"""
 SELECT record_id, {_cols(CONTACT_COLUMNS)} FROM docenti_router
 UNION ALL
-SELECT CAST(NULL AS BIGINT), {_cols(CONTACT_COLUMNS)} FROM ({_DIR_AS_CONTACT}) n
+SELECT (SELECT max(record_id) FROM docenti_router) + row_number() OVER (ORDER BY {_ID_ORDER}) AS record_id, {_cols(CONTACT_COLUMNS)} FROM ({_DIR_AS_CONTACT}) n
 WHERE insegnamento_prof IS NOT NULL AND trim(insegnamento_prof) <> ''""", C_CTE, D_CTE))
 def q_insert_contacts(spark, sf_dir):
     """M4: insert contacts (the name is mandatory)."""
@@ -861,6 +882,61 @@ def q_insert_contacts(spark, sf_dir):
     return chg.insert_rows(td.contacts(spark, sf_dir), new)
 
 
+@register("edit_chain", O.with_ctes(f"""
+SELECT * FROM (
+  SELECT record_id, coalesce(isbn, 'Nessun saggio') AS isbn, insegnamento_prof, email,
+         row_number() OVER (PARTITION BY insegnamento_prof, isbn ORDER BY record_id) AS rn
+  FROM (SELECT record_id, isbn, insegnamento_prof, CASE WHEN nuovo AND materia_ssd_cod = 'ECONOMY' THEN NULL
+                                                        WHEN nuovo THEN 'nuovo@uni.example' ELSE email END AS email
+        FROM (SELECT record_id, isbn, insegnamento_prof, email, materia_ssd_cod, false AS nuovo FROM docenti_router
+              UNION ALL
+              SELECT (SELECT max(record_id) FROM docenti_router) + row_number() OVER (ORDER BY {_ID_ORDER}),
+                     isbn, insegnamento_prof, email, materia_ssd_cod, true
+              FROM ({_DIR_AS_CONTACT}) n WHERE trim(insegnamento_prof) <> '') a
+        WHERE NOT (nuovo AND materia_ssd_cod = 'PROMO')) e) f WHERE rn = 1""".replace("SELECT * FROM (", "SELECT record_id, isbn, insegnamento_prof, email FROM (", 1), C_CTE, D_CTE))
+def q_edit_chain(spark, sf_dir):
+    """M4 + M2 + M3 + A4: insert contacts, edit and delete the new ones by their new ids, first contact per pair."""
+    old = td.contacts(spark, sf_dir)
+    top = old.agg(F.max("record_id")).first()[0]
+    now = chg.insert_rows(old, dirs.directory_as_contacts(_directory(spark, sf_dir)).withColumn("record_id", F.lit(None).cast("bigint")))
+    fresh = now.where(F.col("record_id") > top)
+    edits = fresh.select("record_id", F.when(F.col("materia_ssd_cod") != "ECONOMY", "nuovo@uni.example").alias("email"))
+    now = chg.update_by_id(now, edits, set_columns=["email"])
+    now = chg.delete_by_id(now, fresh.where("materia_ssd_cod = 'PROMO'"))
+    return agg.first_contact_per_pair(now).select("record_id", "isbn", "insegnamento_prof", "email")
+
+
+@register("dashboard_summary", O.with_ctes("""
+SELECT 'adoptions' AS part, count(*) AS n FROM (SELECT DISTINCT a_a, uni_cod, laurea_nome, materia_nome, materia_ssd_cod,
+  insegnamento_prof, isbn, titolo, editore, testo_obb, laurea_matricole FROM attive)
+UNION ALL SELECT 'lecturers', count(*) FROM (SELECT DISTINCT prof_id, materia_ssd_cod, insegnamento_prof,
+  insegnamento_prof_www, uni_cod, sede, facolta FROM attive)
+UNION ALL SELECT 'books', count(*) FROM (SELECT DISTINCT isbn, titolo, autori || ' ' || curatori, editore FROM attive
+  WHERE isbn IS NOT NULL)
+UNION ALL SELECT 'universities', count(DISTINCT uni_cod) FROM attive
+UNION ALL SELECT 'values', count(DISTINCT uni_cod) + count(DISTINCT materia_ssd_cod) FROM attive""", A_CTE,
+    "attive AS (SELECT * FROM adozioni WHERE uni_cod IN ('NATION_1', 'NATION_7', 'NATION_12'))"))
+def q_dashboard_summary(spark, sf_dir):
+    """Q1 + Q2: the dashboard of a selection, rows of each of its parts."""
+    from cattedra.plans.reports import SelectionSession, dashboard
+    session = SelectionSession(spark, td.adoptions(spark, sf_dir))
+    session.step("uni_cod", ["NATION_1", "NATION_7", "NATION_12"])
+    d = dashboard(session.active())
+    count = lambda name, df: df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
+    out = count("adoptions", d.adoptions)
+    for name, df in (("lecturers", d.lecturers), ("books", d.students), ("values", d.values)):
+        out = out.unionByName(count(name, df))
+    return out.unionByName(d.summary.select(F.lit("universities").alias("part"), F.col("uni_cod_unique").alias("n")))
+
+
+@register("search_last_query", O.with_ctes(f"""
+SELECT {_ALL_A} FROM adozioni WHERE contains(lower(concat_ws(chr(31), {_cols(f'CAST({c} AS VARCHAR)' for c in ADOPTION_COLUMNS)})), 'blue')""",
+                                           A_CTE))
+def q_search_last_query(spark, sf_dir):
+    """the last query's rows that hold the needle in any column."""
+    return sel.search_last_query(td.adoptions(spark, sf_dir), "blue")
+
+
 @register("append_upload", O.with_ctes(f"""
 SELECT {_cols(CONTACT_COLUMNS)} FROM docenti_router
 UNION ALL SELECT {_cols(CONTACT_COLUMNS)} FROM ({_DIR_AS_CONTACT}) n""", C_CTE, D_CTE))
@@ -900,12 +976,11 @@ def q_select_contacts_by_name(spark, sf_dir):
 
 
 @register("students_per_book_one", O.with_ctes(f"""
-SELECT tbl1.isbn, tbl2.titolo, tbl2.autore, tbl2.editore, tbl1.studenti
-FROM (SELECT isbn, CAST(sum(CAST(studenti AS BIGINT)) AS BIGINT) AS studenti
-      FROM (SELECT DISTINCT uni_cod, laurea_nome, isbn, laurea_matricole AS studenti FROM adozioni) cts
-      GROUP BY isbn) tbl1
-JOIN (SELECT DISTINCT isbn, titolo, autori || ' ' || curatori AS autore, editore FROM adozioni) tbl2
-  ON tbl1.isbn = tbl2.isbn WHERE tbl1.isbn = '{ONE_BOOK}'""", A_CTE))
+SELECT b.isbn, titolo, autore, editore, studenti
+FROM (SELECT isbn, titolo, autori || ' ' || curatori AS autore, editore FROM adozioni GROUP BY ALL) AS b
+JOIN (SELECT isbn, CAST(sum(enrolled) AS BIGINT) AS studenti
+      FROM (SELECT isbn, uni_cod, laurea_nome, laurea_matricole AS enrolled FROM adozioni GROUP BY ALL) AS degree
+      GROUP BY isbn) AS per_book ON per_book.isbn = b.isbn WHERE b.isbn = '{ONE_BOOK}'""", A_CTE))
 def q_students_per_book_one(spark, sf_dir):
     """The per-book student report for one isbn (the filter reaches both
     sides of the join and the scan)."""

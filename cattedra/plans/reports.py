@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +43,9 @@ class SelectionSession:
 
     def _log(self, message: str, when: datetime | None = None) -> None:
         q = len(self.log_rows)
-        self.log_rows.append((when or datetime(2000, 1, 1), message, q))
+        # steps without a time follow the last one by a second each, so newest-first is the step order
+        last = self.log_rows[-1][0] if self.log_rows else datetime(2000, 1, 1)
+        self.log_rows.append((when or last + timedelta(seconds=1), message, q))
 
     def log(self) -> DataFrame:
         return self.spark.createDataFrame(self.log_rows, LOG)

@@ -13,35 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cattedra.schemas import ADOPTION_COLUMNS, CONTACT_COLUMNS
+from cattedra.operators.numbering import with_group_index
+from cattedra.schemas import ADOPTION_COLUMNS, CONTACT_COLUMNS, WIDE_EXTRA_COLUMNS, all_string, conform, struct_for
 
 TABLE_NAMES = ("region nation customer supplier part orders lineitem events documents "
                "embeddings pages benchmark labels conversations").split()
 
 
-# Fact-sized tables and the key they are spread on when under-split.
-SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id",
-               "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer splits than the cluster has cores.
-
-    A single-row-group file is read by one task, and everything up to the
-    first shuffle (here: a chain of broadcast joins) would run in that task.
-    A large input already has at least as many splits as cores, and then
-    nothing is added: no extra shuffle of the big table at scale.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without an RDD API: leave the scan as is
-        return df
-    if splits >= target:
-        return df
-    return df.repartition(target, key)
-
-
 def _session_key(spark: SparkSession) -> str:
     try:
         return spark.sparkContext.applicationId
@@ -58,9 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (_session_key(spark), path)
     if refresh or key not in _REGISTERED:
-        df = spark.read.parquet(path)
-        spread_key = SPREAD_KEYS.get(name)
-        _REGISTERED[key] = spread(df, spread_key) if spread_key else df
+        _REGISTERED[key] = spark.read.parquet(path)
     return _REGISTERED[key]
 
 
@@ -191,6 +167,27 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dirty_adoptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adoptions as files hold them: placeholder and missing names, a remark after the name, two sectors in one cell,
+    missing ids, titles with quotes, commas, line breaks and outer blanks. Restated in ``oracle.DIRTY_CTE``."""
+    n, title = F.col("insegnamento_id"), F.col("titolo")
+    return adoptions(spark, sf_dir).withColumns({
+        "insegnamento_prof": F.when(n % 10 == 0, "Docente da definire").when(n % 10 == 1, F.lit(None))
+        .when(n % 10 == 2, F.concat("insegnamento_prof", F.lit(" (supplente)"))).otherwise(F.col("insegnamento_prof")),
+        "materia_ssd_cod": F.when(n % 7 == 0, F.concat("materia_ssd_cod", F.lit(";MAT/05"))).otherwise(F.col("materia_ssd_cod")),
+        "prof_id": F.when(n % 3 != 0, F.col("prof_id")),
+        "titolo": F.when(n % 5 == 0, F.concat(F.lit('Il "nuovo" '), title, F.lit(", vol. 1\nbis")))
+        .when(n % 5 == 1, F.concat(F.lit("  "), title, F.lit(" "))).when(n % 5 == 2, "").otherwise(title),
+    })
+
+
+def dirty_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory with every tenth lecturer at a second university, and one without a name."""
+    d = directory(spark, sf_dir)
+    second = d.where("prof_id % 10 = 0").withColumns({"prof_id": F.col("prof_id") + 1_000_000, "uni_cod": F.lit("ALTRA")})
+    return d.unionByName(second).unionByName(d.where("prof_id = 1").withColumn("insegnamento_prof", F.lit(" ")))
+
+
 def universities(spark: SparkSession, sf_dir: str, adoptions_df: DataFrame | None = None) -> DataFrame:
     """``universita``: code, name and the latest year with data."""
     ado = adoptions_df if adoptions_df is not None else adoptions(spark, sf_dir)
@@ -202,9 +199,9 @@ def universities(spark: SparkSession, sf_dir: str, adoptions_df: DataFrame | Non
 # The reference loads adoptions, contacts and the directory once into stored
 # tables and runs every report against them. Here the mapped tables are landed
 # once per session as Parquet under the shared checkpoint folder (this also
-# cuts lineage), adoptions partitioned by year and sorted by university and
-# book inside each file, so year filters prune folders and university/book
-# filters skip row groups by min/max statistics.
+# cuts lineage). Rows are range-partitioned and sorted, adoptions by year,
+# university and book: year filters prune folders, and each file holds a narrow
+# span of universities, so its min/max statistics skip it for others.
 _LANDED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -216,7 +213,8 @@ def _land(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list
         df = build(spark, sf_dir)
         columns = df.columns
         if sort_by:
-            df = df.sortWithinPartitions(*(partition_by or []), *sort_by)
+            order = [*(partition_by or []), *sort_by]
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         path = scratch_path(spark, f"landed-{name}")
         writer = df.write.mode("errorifexists")
         if partition_by:
@@ -228,6 +226,15 @@ def _land(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list
     return _LANDED[key]
 
 
+def refresh(sf_dir: str) -> None:
+    """Forget what was registered and landed for ``sf_dir``: the next use reads the tables as they are then."""
+    root = sf_dir.rstrip("/")
+    for key in [k for k in _LANDED if k[1] == root]:
+        del _LANDED[key]
+    for key in [k for k in _REGISTERED if k[1].startswith(root + "/")]:
+        del _REGISTERED[key]
+
+
 def adoptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The adoption table (``adozioni``), landed once per session."""
     return _land(spark, sf_dir, "adozioni", adoptions_view, ["a_a"], ["uni_cod", "isbn"])
@@ -243,3 +250,27 @@ def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cattedra.operators.directory import build_directory
     return _land(spark, sf_dir, "tuttidocenti", lambda s, d: build_directory(directory_sources(s, d)),
                  None, ["uni_cod", "insegnamento_prof"])
+
+
+def write_pages(adoptions: DataFrame, path: str, page_size: int = 1000,
+                url_prefix: str = "pages") -> None:
+    """Land a frame as service pages (the test fixture of S5, and K3's wide
+    writer in page form): rows are numbered per university without a
+    single-task window, grouped ``page_size`` per page (a bounded group), and
+    each page links to the next; the last one has ``''``."""
+    wide = conform(adoptions, all_string(struct_for(ADOPTION_COLUMNS + WIDE_EXTRA_COLUMNS)))
+    # order by a row hash first (cheap comparisons); all columns after it keep
+    # the order total, so a recomputed task numbers its rows the same way
+    order = [F.xxhash64(*[F.col(c) for c in wide.columns]), *[F.col(c) for c in wide.columns]]
+    numbered = with_group_index(wide, ["uni_cod"], order, "_i")
+    paged = numbered.withColumn("_page", F.floor(F.col("_i") / page_size).cast("bigint"))
+    grouped = paged.groupBy("uni_cod", "_page").agg(
+        F.collect_list(F.struct(*[F.col(c) for c in wide.columns])).alias("data"))
+    n_pages = paged.groupBy(F.col("uni_cod").alias("_u")).agg(F.max("_page").alias("_last"))
+    url = lambda p: F.concat_ws("/", F.lit(url_prefix), F.coalesce(F.col("uni_cod"), F.lit("")),
+                                p.cast("string"))
+    out = grouped.join(n_pages, grouped["uni_cod"].eqNullSafe(n_pages["_u"])).select(
+        url(F.col("_page")).alias("page_url"), F.col("data"),
+        F.when(F.col("_page") == F.col("_last"), F.lit(""))
+         .otherwise(url(F.col("_page") + 1)).alias("next_page_url"))
+    out.write.mode("errorifexists").json(path)

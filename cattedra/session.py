@@ -54,8 +54,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (tests on a laptop) a fresh
-    scratch folder is created and set.
+    Read from the session. Where it is unset a local master (tests, laptops) gets a
+    fresh scratch folder; a cluster is refused, as its executors would not see it.
     """
     try:
         sc = spark.sparkContext
@@ -70,7 +70,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="cattedra-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="cattedra-ckpt-")  # one machine: tests and laptops
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -3,9 +3,10 @@
 The remote service answers ``{"data": [...], "next_page_url": "..."}`` pages,
 1,000 records each, ``''`` on the last page. The rebuild reads *landed* pages
 (files written by any fetcher): ``spark.read.json`` with an explicit schema and
-``explode('data')``, one task per file, no driver-side concatenation. A page
-chain is checked with joins: every page but the first is the ``next`` of
-another, and every chain ends with ``''``.
+``explode('data')``, one task per file, no driver-side concatenation. Page
+chains are checked with joins, in both directions: every page that another
+points to is there, every page but a first one is pointed to, and every page
+says what follows (``''`` on the last).
 
 For a live service, ``PagedAdoptionsSource`` is a Python Data Source whose
 input partitions are the universities; each partition walks its own page
@@ -18,11 +19,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cattedra.operators.numbering import with_group_index
 from cattedra.schemas import ADOPTION_COLUMNS, WIDE_EXTRA_COLUMNS, all_string, conform, struct_for
 
 # --- Fixed values: page layout of the adoption service. ---
@@ -30,6 +31,7 @@ API_PAGE_SIZE = 1000
 PAGE_DATA_FIELD = "data"
 PAGE_NEXT_FIELD = "next_page_url"
 LAST_PAGE_MARK = ""
+FIRST_PAGE_MARK = "/0"     # how the url of a chain's first landed page ends
 # --- end of fixed values ---
 
 WIDE_RECORD = all_string(struct_for(ADOPTION_COLUMNS + WIDE_EXTRA_COLUMNS))
@@ -44,9 +46,14 @@ UNIVERSITY_SCHEMA = T.StructType([
 ])
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages, one JSON document per line (or ``multiLine`` files)."""
-    return spark.read.schema(PAGE_SCHEMA).json(path)
+class BadPages(ValueError):
+    """Landed pages that cannot be read, or whose chains are not whole."""
+
+
+def read_pages(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Landed pages, one JSON document per file, pretty-printed or not; ``one_per_line`` for files of many pages. A page
+    that is no JSON stops the read."""
+    return (spark.read.schema(PAGE_SCHEMA).option("mode", "FAILFAST").option("multiLine", not one_per_line).json(path))
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -54,12 +61,34 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(PAGE_DATA_FIELD).alias("r")).select("r.*")
 
 
-def broken_chains(pages: DataFrame) -> DataFrame:
-    """Pages whose ``next_page_url`` points at no landed page (an incomplete
-    download). Empty when every chain is complete."""
-    targets = pages.where(F.col(PAGE_NEXT_FIELD) != LAST_PAGE_MARK).select(
-        F.col(PAGE_NEXT_FIELD).alias("page_url"))
-    return targets.join(pages.select("page_url"), "page_url", "left_anti")
+def broken_chains(pages: DataFrame, first_pages: DataFrame | None = None) -> DataFrame:
+    """(page_url, problem) of what is wrong with the page chains; no row when all are whole.
+
+    ``no url``: a page without its own url; ``no end mark``: ``next_page_url`` is NULL (the last page has ``''``);
+    ``missing``: a page that another one points to, or a first page, is not there; ``unreached``: a page that no
+    other points to and that is no first page (``first_pages``: page_url; by default urls that end in ``/0``)."""
+    here = pages.select("page_url", F.col(PAGE_NEXT_FIELD).alias("next"))
+    targets = here.where(F.col("next") != LAST_PAGE_MARK).select(F.col("next").alias("page_url")).distinct()
+    firsts = (first_pages.select("page_url").distinct() if first_pages is not None
+              else here.where(F.col("page_url").endswith(FIRST_PAGE_MARK)).select("page_url").distinct())
+    urls = here.select("page_url").distinct()
+    found = [here.where(F.col("page_url").isNull()).select("page_url", F.lit("no url").alias("problem")),
+             here.where(F.col("next").isNull()).select("page_url", F.lit("no end mark").alias("problem")),
+             targets.union(firsts).distinct().join(urls, "page_url", "left_anti").withColumn("problem", F.lit("missing")),
+             urls.where(F.col("page_url").isNotNull()).join(targets, "page_url", "left_anti")
+             .join(firsts, "page_url", "left_anti").withColumn("problem", F.lit("unreached"))]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def checked_pages(pages: DataFrame, first_pages: DataFrame | None = None) -> DataFrame:
+    """``pages``, after a check that their chains are whole."""
+    wrong = broken_chains(pages, first_pages).limit(5).collect()
+    if wrong:
+        raise BadPages("; ".join(f"{r.page_url}: {r.problem}" for r in wrong))
+    return pages
 
 
 def load_adoptions(pages: DataFrame) -> DataFrame:
@@ -79,30 +108,6 @@ def universities_with_year(universities: DataFrame, year: int) -> DataFrame:
     return universities.filter(F.col("max") >= F.lit(int(year)))
 
 
-def write_pages(adoptions: DataFrame, path: str, page_size: int = API_PAGE_SIZE,
-                url_prefix: str = "pages") -> None:
-    """Land a frame as service pages (the test fixture of S5, and K3's wide
-    writer in page form): rows are numbered per university without a
-    single-task window, grouped ``page_size`` per page (a bounded group), and
-    each page links to the next; the last one has ``''``."""
-    wide = conform(adoptions, all_string(struct_for(ADOPTION_COLUMNS + WIDE_EXTRA_COLUMNS)))
-    # order by a row hash first (cheap comparisons); all columns after it keep
-    # the order total, so a recomputed task numbers its rows the same way
-    order = [F.xxhash64(*[F.col(c) for c in wide.columns]), *[F.col(c) for c in wide.columns]]
-    numbered = with_group_index(wide, ["uni_cod"], order, "_i")
-    paged = numbered.withColumn("_page", F.floor(F.col("_i") / page_size).cast("bigint"))
-    grouped = paged.groupBy("uni_cod", "_page").agg(
-        F.collect_list(F.struct(*[F.col(c) for c in wide.columns])).alias(PAGE_DATA_FIELD))
-    n_pages = paged.groupBy(F.col("uni_cod").alias("_u")).agg(F.max("_page").alias("_last"))
-    url = lambda p: F.concat_ws("/", F.lit(url_prefix), F.coalesce(F.col("uni_cod"), F.lit("")),
-                                p.cast("string"))
-    out = grouped.join(n_pages, grouped["uni_cod"].eqNullSafe(n_pages["_u"])).select(
-        url(F.col("_page")).alias("page_url"), F.col(PAGE_DATA_FIELD),
-        F.when(F.col("_page") == F.col("_last"), F.lit(LAST_PAGE_MARK))
-         .otherwise(url(F.col("_page") + 1)).alias(PAGE_NEXT_FIELD))
-    out.write.mode("errorifexists").json(path)
-
-
 # ---------------------------------------------------------------- live source
 try:  # Python Data Source API (Spark 4)
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -121,7 +126,8 @@ try:  # Python Data Source API (Spark 4)
             unis = json.loads(self.options.get("universities", "[]"))
             return [_UniPartition(u) for u in unis]
 
-        def read(self, partition) -> Iterator[tuple]:
+        def read(self, partition) -> Iterator[pa.RecordBatch]:
+            """One Arrow batch per page of the university's chain."""
             import urllib.parse
             import urllib.request
 
@@ -133,9 +139,13 @@ try:  # Python Data Source API (Spark 4)
             while url:
                 with urllib.request.urlopen(url, timeout=float(self.options.get("timeout", "60"))) as r:
                     page = json.loads(r.read().decode("utf-8"))
-                for rec in page.get(PAGE_DATA_FIELD) or []:
-                    yield tuple(None if rec.get(n) is None else str(rec.get(n)) for n in names)
-                url = page.get(PAGE_NEXT_FIELD) or LAST_PAGE_MARK
+                rows = page.get(PAGE_DATA_FIELD) or []
+                if rows:
+                    columns = [[None if r.get(n) is None else str(r[n]) for r in rows] for n in names]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
+                if page.get(PAGE_NEXT_FIELD) is None:
+                    raise BadPages(f"{url}: no end mark")
+                url = page[PAGE_NEXT_FIELD]
 
     class PagedAdoptionsSource(DataSource):
         """``spark.read.format('paged_adoptions').option('url', ...)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from cattedra.schemas import ADOPTIONS, ADOPTIONS_WIDE, all_string
-from cattedra.sources.files import clean_adoptions
+from cattedra.sources.files import CSV_DIALECT, clean_adoptions
 
 
 def start_incremental_load(spark: SparkSession, landing_dir: str, sink_path: str, checkpoint: str,
@@ -27,7 +27,7 @@ def start_incremental_load(spark: SparkSession, landing_dir: str, sink_path: str
     layout (``enforceSchema=false``) and a file in another order fails."""
     schema = all_string(ADOPTIONS_WIDE if layout == "wide" else ADOPTIONS)
     reader = (spark.readStream.schema(schema).option("header", True)
-              .option("sep", sep).option("enforceSchema", False))
+              .options(**CSV_DIALECT).option("sep", sep).option("enforceSchema", False).option("mode", "FAILFAST"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.csv(landing_dir)

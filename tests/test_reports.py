@@ -69,7 +69,16 @@ def test_adhoc_sql_queries_only(spark):
                 "SELECT * FROM missing_table"]:
         res = adhoc.run_sql(spark, bad, views)
         assert res.frame is None and res.message == adhoc.QUERY_ERROR
-    assert adhoc.run_sql(spark, "SELECT 'drop' AS w", views).frame is not None
+    for good in ["SELECT 'drop' AS w", "SELECT uni_cod AS load FROM adozioni WHERE titolo LIKE '%;%'",
+                 "WITH a AS (SELECT * FROM adozioni) SELECT count(*) AS n FROM a;",
+                 "SELECT n FROM (SELECT count(*) AS n FROM adozioni WHERE isbn IN (SELECT isbn FROM adozioni)) s"]:
+        assert adhoc.run_sql(spark, good, views).frame is not None, good
+    spark.range(3).createOrReplaceTempView("foreign_view")
+    for bad in ["SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`", "SELECT * FROM foreign_view",
+                "SELECT * FROM adozioni WHERE EXISTS (SELECT 1 FROM foreign_view)", "SET spark.x = 1", "SHOW TABLES",
+                "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') AS d", "CREATE TEMP VIEW v AS SELECT 1",
+                "INSERT INTO adozioni SELECT * FROM adozioni", "SELECT * FROM adozioni; SELECT 1", ""]:
+        assert adhoc.run_sql(spark, bad, views).frame is None, bad
     empty = adhoc.run_sql_checked(spark, "SELECT * FROM adozioni WHERE a_a = 1900", views)
     assert empty.message == adhoc.NO_DATA
 

@@ -14,7 +14,11 @@ from cattedra.streaming.log_feed import read_feed, start_log_feed
 from tests.conftest import rows
 
 
+from cattedra.plans import testdata  # noqa: E402
+
+
 def write_text(path, name, text):
+    path, name = os.path.split(os.path.join(path, name))
     os.makedirs(path, exist_ok=True)
     with open(os.path.join(path, name), "w", encoding="utf-8") as f:
         f.write(text)
@@ -29,7 +33,7 @@ def directory(spark):
 
 def test_adoption_csv_missing_extra_columns_and_semicolon(spark, scratch):
     text = ("uni_cod;a_a;insegnamento_prof;materia_ssd_cod;isbn;prof_id;extra\n"
-            "U1;2024;ROSSI, MARIO;MAT/01;MAT/02;9780306406157;;x\n"
+            'U1;2024;ROSSI, MARIO;"MAT/01;MAT/02";9780306406157;;x\n'
             "U1;2024;d'angelo maria-rosa (supplente);BIO/01;123;12.0;y\n"
             "U1;2024;Docente da definire;BIO/01;124;;z\n"
             "U1;2024;;BIO/01;125;;z\n")
@@ -37,8 +41,8 @@ def test_adoption_csv_missing_extra_columns_and_semicolon(spark, scratch):
     out = files.load_adoptions_csv(spark, path, directory(spark), sep=";")
     assert out.columns == ADOPTION_COLUMNS
     got = rows(out, "insegnamento_prof", "prof_id", "insegnamento_id", "materia_ssd_cod")
-    assert got == [("", 0, 0, "BIO/01"), ("", 0, 0, "BIO/01"), ("D'Angelo Maria-Rosa", 8, 80, "BIO/01"),
-                   ("Rossi Mario", 7, 70, "MAT/01")]
+    assert got == [("", 0, 0, "BIO/01"), ("", 0, 0, "BIO/01"), ("D'Angelo Maria-Rosa", 12, 80, "BIO/01"),
+                   ("Rossi Mario", 7, 70, "MAT/01 MAT/02")]
 
 
 def test_sector_semicolons_become_spaces(spark, scratch):
@@ -77,7 +81,7 @@ def test_paged_source_chains(spark, scratch):
               page("B/2", [rec("B", 4)], "")]                                        # 3 pages
     lines += [page("C/0", [], "")]                                                   # empty university
     write_text(scratch, "pages.json", "\n".join(lines) + "\n")
-    pages = paged.read_pages(spark, scratch)
+    pages = paged.read_pages(spark, scratch, one_per_line=True)
     assert paged.broken_chains(pages).count() == 0
     recs = paged.records(pages)
     assert recs.count() == 5
@@ -92,8 +96,8 @@ def test_write_pages_round_trip(spark, scratch):
     df = spark.range(0, 2500).select(F.when(F.col("id") < 2100, "U1").otherwise("U2").alias("uni_cod"),
                                      F.col("id").cast("string").alias("isbn"))
     out = os.path.join(scratch, "landed")
-    paged.write_pages(conform(df, "adozioni"), out, page_size=1000)
-    pages = paged.read_pages(spark, out)
+    testdata.write_pages(conform(df, "adozioni"), out, page_size=1000)
+    pages = paged.read_pages(spark, out, one_per_line=True)
     assert pages.count() == 4 and paged.broken_chains(pages).count() == 0
     assert max(len(r.data) for r in pages.collect()) <= 1000
     assert rows(paged.records(pages), "isbn") == rows(df, "isbn")
@@ -188,15 +192,55 @@ def test_paged_data_source_walks_chains_per_university(spark, scratch):
     assert conform(df, "adozioni").filter("a_a = 2024").count() == 4
 
 
-def test_spread_only_when_under_split(spark, scratch):
-    from cattedra.plans.testdata import spread
-    n = spark.sparkContext.defaultParallelism
-    many = os.path.join(scratch, "many")
-    spark.range(0, 10_000).repartition(n * 2).write.parquet(many)
-    big = spark.read.parquet(many)
-    assert spread(big, "id") is big              # enough splits: no extra shuffle
-    one = os.path.join(scratch, "one")
-    spark.range(0, 10_000).coalesce(1).write.parquet(one)
-    small = spark.read.parquet(one)
-    spread_small = spread(small, "id")
-    assert spread_small is not small and spread_small.rdd.getNumPartitions() == n
+def test_csv_cells_survive_export_and_reload(spark, scratch):
+    cells = ['Il "nuovo" testo, vol. 1', "  Rossi ", "two\nlines", "", None, '"', "back\\slash"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "k int, v string")
+    out = os.path.join(scratch, "cells")
+    store.export_csv(df, out)
+    assert {int(r.k): r.v for r in files.read_csv(spark, out).collect()} == dict(enumerate(cells))
+
+
+def test_csv_headers_and_ragged_rows(spark, scratch):
+    a, b = write_text(scratch, "a/1.csv", "x,y\n1,2\n"), write_text(scratch, "b/2.csv", "y,x\n4,3\n")
+    assert rows(files.read_csv(spark, [a, b]), "x", "y") == [("1", "2"), ("3", "4")]
+    write_text(scratch, "mixed/1.csv", "x,y\n1,2\n")
+    write_text(scratch, "mixed/2.csv", "y,x\n4,3\n")
+    with pytest.raises(Exception):
+        files.read_csv(spark, os.path.join(scratch, "mixed")).collect()
+    ragged = write_text(scratch, "r.csv", "x,y\n1,2\n1\n")
+    with pytest.raises(Exception):
+        files.read_csv(spark, ragged).collect()
+
+
+def test_page_chains_that_are_not_whole(spark, scratch):
+    def problems(*pages):
+        df = spark.createDataFrame(pages, "page_url string, next_page_url string")
+        return sorted((r.page_url, r.problem) for r in paged.broken_chains(df).collect())
+
+    assert problems(("A/0", "A/1"), ("A/1", "")) == []
+    assert problems(("A/0", "A/1")) == [("A/1", "missing")]
+    assert problems(("A/1", "")) == [("A/1", "unreached")]
+    assert problems(("A/0", None)) == [("A/0", "no end mark")]
+    with pytest.raises(paged.BadPages):
+        paged.checked_pages(spark.createDataFrame([("A/0", "A/1")], "page_url string, next_page_url string"))
+    pretty = write_text(scratch, "pretty/p.json", json.dumps(json.loads(page("A/0", [{"uni_cod": "A"}], "")), indent=1))
+    assert paged.records(paged.read_pages(spark, pretty)).count() == 1
+    bad = write_text(scratch, "bad/p.json", '{"page_url": "A/0", "data": [')
+    with pytest.raises(Exception):
+        paged.read_pages(spark, bad).collect()
+
+
+def test_checkpoint_folder_is_refused_on_a_cluster_without_one(monkeypatch):
+    from cattedra import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session)
