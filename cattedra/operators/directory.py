@@ -60,6 +60,25 @@ def build_directory(sources: dict[str, DataFrame], year_filter: Any = None) -> D
     return latest_course(chain)
 
 
+def courses_of_year(sources: dict[str, DataFrame], year: int) -> DataFrame:
+    """Ids of the courses that a degree of ``year`` teaches: course -> curriculum subject -> curriculum -> degree.
+    Distinct, so a course in several curricula is one row."""
+    degrees = sources["lauree"].where(F.col("laurea_aa") == F.lit(int(year))).select("laurea_id")
+    curricula = sources["curricula"].join(degrees, "laurea_id", "left_semi").select("curr_id")
+    subjects = sources["curricula_materie"].join(curricula, "curr_id", "left_semi").select("curr_materia_id")
+    return (sources["curr_materie_insegnamenti"].join(subjects, "curr_materia_id", "left_semi")
+            .select("insegnamento_id").distinct())
+
+
+def latest_course_of_year(sources: dict[str, DataFrame], year: int) -> DataFrame:
+    """Per lecturer the latest of the year's courses and its page; lecturers without one are left out."""
+    taught = sources["insegnamento_prof_id"].join(courses_of_year(sources, year), "insegnamento_id", "left_semi")
+    paged = taught.join(sources["insegnamenti"], "insegnamento_id", "left")
+    last = keep_first(paged.select("prof_id", "insegnamento_id", "insegnamento_prof_www"), ["prof_id"],
+                      [desc("insegnamento_id"), asc("insegnamento_prof_www")])
+    return sources["work_prof_id"].select("prof_id", "uni_cod", "prof_nome").join(last, "prof_id")
+
+
 def directory_as_contacts(directory: DataFrame) -> DataFrame:
     """Directory rows in the contact layout, contact fields ``''``."""
     d = directory.select(*[F.col(c) for c in DIRECTORY_COLUMNS])

@@ -460,13 +460,13 @@ _UPD_COLS = _cols("COALESCE(ch.email, d.email) AS email" if c == "email" else
 
 @register("update_contacts", O.with_ctes(f"""
 SELECT {_UPD_COLS} FROM docenti_router d
-LEFT JOIN (SELECT record_id, 'da inviare' AS note, upper(email) AS email FROM docenti_router
-           WHERE isbn IS NULL) ch ON d.record_id = ch.record_id""", C_CTE))
+LEFT JOIN (SELECT record_id, 'da inviare' AS note, min(upper(email)) AS email FROM docenti_router
+           WHERE isbn IS NULL GROUP BY record_id) ch ON d.record_id = ch.record_id""", C_CTE))
 def q_update_contacts(spark, sf_dir):
     """M2/M6: sparse change map by id (note and e-mail of some contacts)."""
     c = td.contacts(spark, sf_dir)
-    changes = c.filter(F.col("isbn").isNull()).select(
-        "record_id", F.lit("da inviare").alias("note"), F.upper("email").alias("email"))
+    changes = c.filter(F.col("isbn").isNull()).groupBy("record_id").agg(
+        F.lit("da inviare").alias("note"), F.min(F.upper("email")).alias("email"))  # one change for each id
     return chg.update_by_id(c, changes)
 
 
@@ -882,6 +882,48 @@ def q_insert_contacts(spark, sf_dir):
     return chg.insert_rows(td.contacts(spark, sf_dir), new)
 
 
+@register("directory_of_year", f"""
+SELECT s_suppkey AS prof_id, n_name AS uni_cod, split_part(s_name, '#', 2) || ' ' || split_part(s_name, '#', 1) AS prof_nome,
+       last AS insegnamento_id, 'corso/' || CAST(last // 8 AS VARCHAR) AS insegnamento_prof_www
+FROM (SELECT l_suppkey, max(l_orderkey * 8 + l_linenumber) AS last FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+      WHERE year(o_orderdate) = {YEAR} GROUP BY l_suppkey) t
+JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey""")
+def q_directory_of_year(spark, sf_dir):
+    """The latest course of one year per lecturer, through curricula and degrees."""
+    return dirs.latest_course_of_year(td.directory_sources(spark, sf_dir), YEAR)
+
+
+@register("stored_tables", O.with_ctes("""
+SELECT 'adozioni' AS name, 'stored' AS state, 2 * count(*) AS n FROM adozioni
+UNION ALL SELECT 'adozioni', 'snapshot', 2 * count(*) FROM adozioni
+UNION ALL SELECT 'adozioni', 'reset', 0
+UNION ALL SELECT 'adozioni_res', 'snapshot', count(*) FROM adozioni WHERE a_a = 1997
+UNION ALL SELECT 'adozioni_res', 'reset', 0
+UNION ALL SELECT 'tuttidocenti_res', 'snapshot', count(*) FROM tuttidocenti
+UNION ALL SELECT 'tuttidocenti_res', 'reset', count(*) FROM tuttidocenti
+UNION ALL SELECT 'msg', 'snapshot', 0
+UNION ALL SELECT 'msg', 'reset', 1""", A_CTE, D_CTE))
+def q_stored_tables(spark, sf_dir):
+    """K7 + K2 + K4 + K6: typed tables, filled in modes append and replace, copied, then reset to level adoptions."""
+    from cattedra.sources import store
+    root = _scratch(spark, "store")
+    paths = store.create_tables(spark, root, ("adozioni", "adozioni_res", "tuttidocenti_res", "msg"))
+    adoptions = td.adoptions(spark, sf_dir)
+    for _ in range(2):
+        store.save(adoptions, paths["adozioni"], "append", table="adozioni")
+    store.save(adoptions.where(F.col("a_a") == 1997), paths["adozioni_res"], "replace", table="adozioni_res")
+    store.save(dirs.directory_as_contacts(_directory(spark, sf_dir)), paths["tuttidocenti_res"], "replace",
+               table="tuttidocenti_res")
+    tables = {name: spark.read.parquet(path) for name, path in paths.items()}
+    copies, after = store.snapshot_and_reset(spark, "adoptions", tables, root, "19970101T000000")
+    count = lambda name, state, df: df.agg(F.lit(name).alias("name"), F.lit(state).alias("state"), F.count(F.lit(1)).alias("n"))
+    out = count("adozioni", "stored", tables["adozioni"])
+    for name in paths:
+        out = out.unionByName(count(name, "snapshot", spark.read.parquet(copies[name])))
+        out = out.unionByName(count(name, "reset", after[name]))
+    return out
+
+
 @register("edit_chain", O.with_ctes(f"""
 SELECT * FROM (
   SELECT record_id, coalesce(isbn, 'Nessun saggio') AS isbn, insegnamento_prof, email,

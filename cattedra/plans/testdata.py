@@ -118,8 +118,17 @@ def directory_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.concat(F.lit("corso/"), F.col("l_orderkey").cast("string")).alias("insegnamento_prof_www"))
     materia_ssd = p.select(F.col("p_partkey").alias("materia_id"), F.col("p_type").alias("materia_ssd_cod"))
     materie = p.select(F.col("p_partkey").alias("materia_id"), F.col("p_name").alias("materia_nome"))
+    # a curriculum is a customer's year, and so is its degree; a curriculum subject is an order
+    curriculum = F.col("o_custkey") * 10_000 + F.year("o_orderdate")
+    curricula_materie = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("curr_materia_id"),
+                                                              curriculum.alias("curr_id"))
+    curricula = curricula_materie.select("curr_id", F.col("curr_id").alias("laurea_id")).distinct()
+    lauree = curricula.select("laurea_id", (F.col("laurea_id") % 10_000).cast("int").alias("laurea_aa"))
+    curr_materie_insegnamenti = li.select(_course_id().alias("insegnamento_id"), F.col("l_orderkey").alias("curr_materia_id"))
     return {"work_prof_id": work_prof_id, "insegnamento_prof_id": insegnamento_prof_id,
-            "insegnamenti": insegnamenti, "materia_ssd": materia_ssd, "materie": materie}
+            "insegnamenti": insegnamenti, "materia_ssd": materia_ssd, "materie": materie,
+            "curr_materie_insegnamenti": curr_materie_insegnamenti, "curricula_materie": curricula_materie,
+            "curricula": curricula, "lauree": lauree}
 
 
 def contacts_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,18 @@ def test_directory_year_filter_before_window(spark):
     filtered = dirs.build_directory(src, year_filter=F.col("insegnamento_id") < 15)
     assert filtered.collect()[0].insegnamento_id == 10
     assert set(dirs.directory_as_contacts(filtered).columns) == set(CONTACT_COLUMNS)
+
+
+def test_latest_course_of_a_year_through_curricula(spark):
+    src = {
+        "work_prof_id": spark.createDataFrame([(1, "U", "A B"), (2, "U", "C D")], "prof_id long, uni_cod string, prof_nome string"),
+        "insegnamento_prof_id": spark.createDataFrame([(1, 10), (1, 20), (1, 30), (2, 40)], "prof_id long, insegnamento_id long"),
+        "insegnamenti": spark.createDataFrame([(10, "w10"), (20, "w20"), (30, "w30")], "insegnamento_id long, insegnamento_prof_www string"),
+        "curr_materie_insegnamenti": spark.createDataFrame([(10, 1), (20, 1), (20, 2), (30, 3), (40, 9)], "insegnamento_id long, curr_materia_id long"),
+        "curricula_materie": spark.createDataFrame([(1, 100), (2, 100), (3, 300)], "curr_materia_id long, curr_id long"),
+        "curricula": spark.createDataFrame([(100, 7), (300, 8)], "curr_id long, laurea_id long"),
+        "lauree": spark.createDataFrame([(7, 2024), (8, 2025)], "laurea_id long, laurea_aa int"),
+    }
+    assert rows(dirs.latest_course_of_year(src, 2024), "prof_id", "insegnamento_id", "insegnamento_prof_www") == [(1, 20, "w20")]
+    assert rows(dirs.latest_course_of_year(src, 2025), "prof_id", "insegnamento_id") == [(1, 30)]
+    assert dirs.latest_course_of_year(src, 1990).count() == 0
