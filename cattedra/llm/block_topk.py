@@ -7,7 +7,9 @@ positive and for negative query weights). A query's bound on a block is the sum
 fitting extreme; no vector of the block can score more.
 
 Queries come in chunks, each query with a floor: its k-th best score in a bounded sample of all vectors, which can only be
-too low. A chunk and a range meet once. There a query takes the blocks in the order of their bounds and scores them
+too low. A chunk and a range meet once, in the cell of a grid of lanes (of ranges) and sides (of chunks); both grow with the
+square root of what they hold, so that the cells, which are the tasks, grow with the number of vectors, and copies of ranges
+and chunks only with its root. There a query takes the blocks in the order of their bounds and scores them
 through the forward index until the next bound falls below its k-th score so far (or the floor). Bounds are exact, so
 the result is exact; ties are never cut off.
 
@@ -19,6 +21,8 @@ table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,8 +122,6 @@ def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec
     ordered = (classes.select("rep", "v").mapInArrow(coded, "code long, rep long, v array<double>")
                .repartitionByRange("code", "rep").sortWithinPartitions("code", "rep"))
     ranges = write_shared(ordered.mapInArrow(packed, "n long, reps binary, v binary"), "ranges", few=True)
-    lanes = max(1, min(64, ranges.count()))
-    ranges = ranges.withColumn("lane", F.pmod(F.xxhash64("reps"), F.lit(lanes)).cast("int"))
 
     def chunked(batches):
         for batch in batches:
@@ -135,7 +137,11 @@ def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec
 
     queries = classes.where("is_query").select("rep", "v")
     chunks = write_shared(queries.mapInArrow(chunked, "q binary, floors binary, asks binary"), "chunks", few=True)
-    chunks = chunks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    lanes, sides = (math.isqrt(max(1, part.count()) - 1) + 1 for part in (ranges, chunks))
+    held = ranges.withColumns({"lane": F.pmod(F.xxhash64("reps"), F.lit(lanes)).cast("int"),
+                               "side": F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))})
+    asked = chunks.withColumns({"side": F.pmod(F.xxhash64("asks"), F.lit(sides)).cast("int"),
+                                "lane": F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))})
     width = points.shape[1]
 
     def meet(batches):
@@ -145,7 +151,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec
                 ask = np.frombuffer(asks, "<i8")
                 got = index.search(np.frombuffer(q, "<i4").reshape(-1, width).astype(np.int64), np.frombuffer(floors, "<i8"), keep)
                 some = np.array([len(r) > 0 for r, _ in got])
-                yield found_rows(ask[some], [g for g in got if len(g[0])]).to_batches()[0]
+                yield from found_rows(ask[some], [g for g in got if len(g[0])]).to_batches()  # none if all is pruned
 
-    pairs = ranges.join(chunks, "lane").select("reps", "v", "q", "floors", "asks")
+    pairs = held.join(asked, ["lane", "side"]).select("reps", "v", "q", "floors", "asks")
     return answers(pairs.mapInArrow(meet, FOUND), classes, members, k, "long")

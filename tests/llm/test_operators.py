@@ -173,6 +173,15 @@ def test_block_topk(spark):
     assert block_topk.search(frame.limit(0)).count() == 0
 
 
+def test_block_topk_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(block_topk, "RANGE", 16)
+    monkeypatch.setattr(block_topk, "CHUNK", 2)
+    frame, rows, zero = _vectors(spark)
+    want = plain.nearest([*rows, zero], lambda v: np.floor(64 * v).astype(int), every=5)
+    got = _lists(block_topk.search(frame, every=5).collect())
+    assert got == {q: [(i, int(s)) for i, s in x] for q, x in want.items()}
+
+
 def test_block_bounds_prune_and_stay_exact():
     rng = np.random.default_rng(0)
     v = np.concatenate([rng.integers(-9, 9, (block_topk.BLOCK, 4)) + 200 * k for k in range(4)]).astype(np.int64)
