@@ -42,13 +42,14 @@ class HostNode:
 
 
 class PathNode:
-    """``ends``: last, possibly partial, segment of a rule -> (verdict, rule)."""
+    """``ends``: last, possibly partial, segment of a rule -> (verdict, rule); ``lengths``: theirs, longest first."""
 
-    __slots__ = ("segments", "ends")
+    __slots__ = ("segments", "ends", "lengths")
 
     def __init__(self):
         self.segments: dict[str, PathNode] = {}
         self.ends: dict[str, tuple[str, str]] = {}
+        self.lengths: list[int] = []
 
 
 def build_trie(rules: list[tuple[str, str, str]]) -> HostNode:
@@ -66,15 +67,16 @@ def build_trie(rules: list[tuple[str, str, str]]) -> HostNode:
             at = at.segments.setdefault(segment, PathNode())
         if at.ends.get(last, ("allow",))[0] != "block":
             at.ends[last] = (verdict, host + path)
+        if len(last) not in at.lengths:
+            at.lengths = sorted([*at.lengths, len(last)], reverse=True)
     return root
 
 
 def _longest_path(node: PathNode, segments: list[str]) -> tuple[str, str] | None:
     best = None
     for segment in segments:
-        hits = [end for end in node.ends if segment.startswith(end)]
-        if hits:
-            best = node.ends[max(hits, key=len)]
+        # one look for each length of rule that ends here, however many rules do
+        best = next((node.ends[segment[:n]] for n in node.lengths if segment[:n] in node.ends), best)
         node = node.segments.get(segment)
         if node is None:
             break

@@ -209,6 +209,18 @@ def test_url_parts(url, want):
     assert (host, path, hit and hit[1], hit[0] if hit else "deny") == want
 
 
+def test_longest_of_many_rules_at_one_node():
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("ab/") for _ in range(n))
+    rules = {(f"{h}com", "/" + some(rng.randint(0, 6))): rng.choice(["allow", "block"]) for h in ("", "x.") for _ in range(150)}
+    root = url_filter.build_trie([(v, h, p) for (h, p), v in rules.items()])
+    for _ in range(500):
+        host, path = rng.choice(["com", "x.com", "y.x.com"]), "/" + some(9)
+        fits = [(len(h + p), len(h), h + p, v) for (h, p), v in rules.items()
+                if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert url_filter.judge_url(root, host, path) == (max(fits)[3:] + max(fits)[2:3] if fits else None)
+
+
 def test_url_filter_frame(spark):
     rows = [(1, "http://a.com/", "clash"), (1, "http://a.com/", "clash"), (2, None, None), (None, "http://q.net/fr/" + "x" * 100_000, "h")]
     got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, host string"), URL_RULES)
