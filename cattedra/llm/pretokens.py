@@ -52,10 +52,13 @@ def unsettled(text: str) -> bool:
 class PretokenCoder:
     """Ids of whole texts, as little-endian bytes, with a bounded memo of pre-tokens.
 
-    ``encode_many`` gets new pre-tokens and returns the id bytes of each. When the memo passes ``limit`` it is
-    cut back to the pre-tokens of the current batch, so its memory is bounded and frequent ones stay.
+    ``encode_many`` gets new pre-tokens and returns the id bytes of each. Those over ``LONG`` characters are held for the
+    current batch only; when the memo passes ``limit`` it is cut back to the pre-tokens of the current batch. So its
+    memory is bounded, and frequent ones stay.
     """
 
+    LONG = 256
+
     def __init__(self, split: Callable[[str], list[str]], encode_many: Callable[[list[str]], Iterable[bytes]],
                  special: dict[str, bytes], limit: int = 600_000):
         self.split, self.encode_many, self.special, self.limit = split, encode_many, special, limit
@@ -82,6 +85,9 @@ class PretokenCoder:
             memo.update((x, self.special[x[8:]]) for x in new if x.startswith("\0special"))
         get = memo.__getitem__
         out = [b"".join(map(get, p)) for p in pieces]
+        for x in new:
+            if len(x) > self.LONG:
+                del memo[x]
         if len(memo) > self.limit:
-            self.memo = {x: memo[x] for x in seen}
+            self.memo = {x: memo[x] for x in seen if x in memo}
         return out

@@ -66,6 +66,13 @@ def test_bpe_round_trip(docs, none):
     assert bpe.round_trip(none, path).count() == 0
 
 
+def test_memo_holds_no_long_pretokens():
+    word = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    first = [x.tolist() for x in word.encode(["ab " + "x" * 5000, "x" * 5000])]
+    assert word.coder.memo.keys() == {"ab"}
+    assert [x.tolist() for x in word.encode(["ab " + "x" * 5000, "x" * 5000])] == first
+
+
 def test_merge_order_skips_stale_entries():
     merges = {(1, 2): (0, 10), (2, 3): (1, 11), (10, 3): (2, 12), (1, 1): (3, 13)}
     assert bpe.merge_symbols([1, 2, 3], merges) == [12]
