@@ -128,8 +128,8 @@ def make_blocks(df: DataFrame, buckets: int, block_tokens: int = BLOCK) -> DataF
                      pack(np.array([x is None for x in ids], np.uint8)), pack(np.array(learn, np.uint8)), pack(lens),
                      pack(places.astype(np.uint32)))]
             at = spans(words >> shift if buckets > 1 else np.zeros(len(words), np.uint64), buckets)
-            rows += [("words", block, k, pack(words[i:j]), pack(counts[i:j]), None, None, None)
-                     for k, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+            rows += [("words", block, int(k), pack(words[at[k]:at[k + 1]]), pack(counts[at[k]:at[k + 1]]), None, None, None)
+                     for k in np.flatnonzero(np.diff(at))]
             made, ids, learn, hashed, size = made + 1, [], [], [], 0
             return _blob_rows(rows, _BLOCK_SCHEMA)
 
@@ -246,11 +246,10 @@ def _send_pairs(train_docs: int, buckets: int, hot: int):
         step[start] = t.word[start]  # within a run words ascend
         run_at, pair_at = spans(t.bucket[start], buckets), spans(t.bucket, buckets)
         rows = []
-        for k in range(buckets):
+        for k in np.flatnonzero(np.diff(pair_at)):  # buckets that get anything
             (i, j), (p, q) = run_at[k:k + 2], pair_at[k:k + 2]
-            if q > p:
-                rows.append(("pairs", key[0].as_py(), k, pack(t.context[start[i:j]]), pack(length[i:j].astype(np.uint32)),
-                             pack(step[p:q]), pack(counts[p:q]), pack(t.word_count[p:q].astype(np.uint64))))
+            rows.append(("pairs", key[0].as_py(), int(k), pack(t.context[start[i:j]]), pack(length[i:j].astype(np.uint32)),
+                         pack(step[p:q]), pack(counts[p:q]), pack(t.word_count[p:q].astype(np.uint64))))
         return pa.Table.from_batches([_blob_rows(rows, _BLOCK_SCHEMA)] if rows else [], _BLOCK_SCHEMA)
 
     return run
