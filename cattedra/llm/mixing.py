@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cattedra.llm.common import WORD_PATTERN, ship, write_shared
+from cattedra.operators.numbering import with_global_index
 
 CHUNK = 512
 #: Sources up to this number are broadcast (about 100 bytes each).
@@ -37,10 +38,10 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     Weights repeat over the sources in code-point order, null last. Only sums come to the driver.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row per source
+    per = with_global_index(per, [F.col("source").asc_nulls_last()], "place")
     table = F.array(*[F.lit(float(w)) for w in weights])
-    per = write_shared(per.withColumn("weight", F.element_at(table, (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))),
-                       "sources", few=True)
+    weight = F.element_at(table, (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    per = write_shared(per.select("source", "source_size", "n_docs", weight.alias("weight")), "sources", few=True)
     cap, level = F.col("source_size") * F.lit(float(most)), 0.0
     total = float(share) * float(per.agg(F.sum("source_size")).first()[0] or 0)
     while True:
