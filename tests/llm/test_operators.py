@@ -372,3 +372,22 @@ def test_katz_without_training_rows(docs, none):
     got = katz.train_and_score(docs.withColumn("learn", F.lit(False)), "learn").collect()
     assert len(got) == len(ROWS) and all(r.n_known == 0 and r.score == 0 for r in got)
     assert katz.train_and_score(none.withColumn("learn", F.lit(True)), "learn").count() == 0
+
+
+def test_mixing_makes_up_for_long_documents_over_many_chunks(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for s, longs in (("a", [100_000]), ("b", [60_000, 90_000, 40_000]), ("c", [30_000])):
+        sizes = [*np.exp(rng.normal(5, 0.8, 2500)).astype(int).tolist(), *longs]
+        rows += [(f"{s}{i}", "w " * n, s) for i, n in enumerate(sizes)]
+    rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for share in (0.4, 0.9, 1.5):
+        got = mixing.mix(frame, share=share).collect()
+        assert len(got) == len(rows) and len({r.doc_id for r in got}) == len(rows)
+        for s in "abc":
+            own = [r for r in got if r.source == s]
+            target, whole = own[0].target, own[0].source_size
+            assert abs(sum(r.taken for r in own) - target) <= 2 * whole / mixing.LONG
+            copies = target / whole
+            assert all(int(copies) <= r.copies <= int(copies) + 1 for r in own)
