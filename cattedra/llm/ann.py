@@ -6,8 +6,8 @@ Each tree splits at the median of the projections on the difference of two rando
 turn inner products into angles, vectors get one more component that brings all to the largest norm; a query's is 0.
 
 A query puts the roots of all trees into one queue keyed by the smallest margin on the way there. It pops nodes, going down
-the near side first, and takes leaves until they hold ``share`` of all vectors (``LEAST`` times k + 1 at least, so that
-small tables are searched whole), counted over the trees. Index and
+the near side first, and takes leaves until they hold ``share`` of all vectors (k + 1 at least, so that k others are found),
+counted over the trees. Index and
 probes meet by (tree, leaf), large leaves and popular ones cut into cells of bounded size, and each cell scores its
 candidates in double precision on the original vectors.
 
@@ -30,7 +30,7 @@ from cattedra.llm.common import ship, write_shared
 from cattedra.llm.vectors import FOUND, answers, best, classes_of, found_rows, matrix, valid_vectors
 
 SAMPLE, TREES, DEPTH, SHARE = 4096, 4, 6, 0.4
-CELL_VECTORS, CELL_QUERIES, LEAST = 1024, 1024, 50
+CELL_VECTORS, CELL_QUERIES = 1024, 1024
 
 
 @dataclass
@@ -119,7 +119,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
     sizes = np.zeros((trees, 1 << depth), np.int64)
     for r in index.groupBy("tree", "leaf").count().collect():  # one row per leaf
         sizes[r.tree, r.leaf] = r["count"]
-    wanted = trees * max(share * n, min(n, LEAST * (k + 1)))  # small tables are searched whole
+    wanted = trees * max(share * n, min(n, k + 1))
 
     def probe(batches):
         for batch in batches:

@@ -391,3 +391,23 @@ def test_mixing_makes_up_for_long_documents_over_many_chunks(spark):
             assert abs(sum(r.taken for r in own) - target) <= 2 * whole / mixing.LONG
             copies = target / whole
             assert all(int(copies) <= r.copies <= int(copies) + 1 for r in own)
+
+
+def _recall(got, want):
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    return np.mean([len({i for i, _ in x} & {i for i, _ in want[q]}) / 20 for q, x in got.items()])
+
+
+@pytest.mark.parametrize("table", ["sf0.1", "generated"])
+def test_ann_recall_where_leaves_are_skipped(spark, table):
+    if table == "generated":
+        v = np.random.default_rng(4).normal(size=(5000, 32)).astype(np.float32)
+        rows = [(i, x.tolist()) for i, x in enumerate(v / np.linalg.norm(v, axis=1)[:, None])]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    else:
+        frame = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
+        rows = [(r.vec_id, r.embedding) for r in frame.collect()]
+    want = plain.nearest(rows, lambda v: v)
+    recall = _recall(_lists(ann.search(frame, share=0.4).collect()), want)
+    assert recall >= 0.95
+    assert _recall(_lists(ann.search(frame, share=0.1).collect()), want) < recall  # the share is what bounds the search
