@@ -11,15 +11,16 @@ counted over the trees. Index and
 probes meet by (tree, leaf), large leaves and popular ones cut into cells of bounded size, and each cell scores its
 candidates in double precision on the original vectors.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id or with
-another than the most frequent length. Rows alike in id and vector are one row. An empty table gives an empty result.
-Extra columns are ignored.
+Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id. Vectors
+of another length than the query's are no candidates: each length is searched by itself. Rows alike in id and vector are
+one row. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cattedra.llm.common import ship, write_shared
-from cattedra.llm.vectors import FOUND, answers, best, classes_of, found_rows, matrix, valid_vectors
+from cattedra.llm.vectors import FOUND, answers, best, by_length, classes_of, found_rows, matrix, valid_vectors
 
 SAMPLE, TREES, DEPTH, SHARE = 4096, 4, 6, 0.4
 CELL_VECTORS, CELL_QUERIES = 1024, 1024
@@ -95,9 +96,14 @@ def _lifted(v: np.ndarray, norm: float) -> np.ndarray:
 def search(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
            trees: int = TREES, depth: int = DEPTH, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by ``every`` its ``k`` nearest found among all others."""
-    spark = df.sparkSession
-    ship(spark)
+    ship(df.sparkSession)
     rows = valid_vectors(df, vec_id, vector).where(F.exists("v", lambda x: x != 0))
+    return reduce(DataFrame.unionByName, [_search(part, k, every, trees, depth, share, sample) for part in by_length(rows, every)])
+
+
+def _search(rows: DataFrame, k: int, every: int, trees: int, depth: int, share: float, sample: int) -> DataFrame:
+    """``search`` over valid vectors of one length."""
+    spark = rows.sparkSession
     classes, members = classes_of(rows, k + 1, every)
     n, norm = classes.agg(F.count(F.lit(1)), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
     part = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "rep"), 11) < int(min(1.0, sample / max(1, n)) * (1 << 53))

@@ -13,34 +13,67 @@ and chunks only with its root. There a query takes the blocks in the order of th
 through the forward index until the next bound falls below its k-th score so far (or the floor). Bounds are exact, so
 the result is exact; ties are never cut off.
 
-Components are floor(scale * x) with x as double. Vectors that are null or hold null or non-finite components, or whose
-scaled components exceed 2^27 (their products could leave the range of a long), take no part; nor do rows without an
-id or with another than the most frequent length. Zero vectors do. Rows alike in id and vector are one row. An empty
-table gives an empty result. Extra columns are ignored.
+Components are floor(scale * x) with x as double, of any size: products go through doubles where these are exact, else
+through longs, else through Python's integers. Beyond a long they are cut to the largest or smallest one; an answer with
+such a score stops the search. *Wide* vectors, with components that need more than 32 bits, are stored as doubles, in
+ranges of their own. Vectors that are null, empty, or hold null or non-finite components take no part; nor do rows without
+an id. Vectors of another length than the query's are no candidates: each length is searched by itself. Zero vectors take
+part. Rows alike in id and vector are one row. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cattedra.llm.common import ship, write_shared
-from cattedra.llm.vectors import FOUND, answers, best, classes_of, found_rows, matrix, valid_vectors
+from cattedra.llm.vectors import FOUND, answers, best, by_length, classes_of, found_rows, matrix, valid_vectors
 
 RANGE, BLOCK, CHUNK, SAMPLE, CODE_BITS = 2048, 128, 256, 4096, 8
-_SAFE = 1 << 27
+_MOST = (1 << 63) - 1
+
+
+def integers(v: np.ndarray) -> np.ndarray:
+    """Whole doubles as longs, or as Python integers if one is too large for a long."""
+    if np.abs(v).max(initial=0) < 2.0 ** 63:
+        return v.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in v.tolist()], dtype=object).reshape(v.shape)
+
+
+def packed_vectors(v: np.ndarray) -> bytes:
+    """Four bytes a component, or eight (doubles) if one needs more."""
+    return v.astype("<i4" if np.abs(v).max(initial=0) < 2.0 ** 31 else "<f8").tobytes()
+
+
+def unpacked_vectors(data: bytes, n: int, width: int) -> np.ndarray:
+    kind = "<i4" if len(data) == 4 * n * width else "<f8"
+    return integers(np.frombuffer(data, kind).reshape(n, width))
+
+
+def _top(v: np.ndarray) -> int:
+    return int(np.abs(v).max(initial=0)) or 1
 
 
 def exact_product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer inner products; through doubles, which are faster, where these are exact too."""
-    top = (np.abs(q).max(initial=0) or 1) * (np.abs(v).max(initial=0) or 1) * max(1, q.shape[1])
+    """Integer inner products; through doubles, which are faster, where these are exact too. The largest or smallest
+    long (``_MOST``) stands for what is beyond."""
+    each = _top(v) * max(1, q.shape[1])
+    top = _top(q) * each
     if top < 1 << 53:
         return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    return q @ v.T
+    if top < 1 << 63:
+        return q.astype(np.int64) @ v.astype(np.int64).T
+    out, wide = np.zeros((len(q), len(v)), np.int64), np.array([_top(x) * each >= 1 << 63 for x in q], bool)
+    if not wide.all():
+        out[~wide] = exact_product(q[~wide], v)
+    large = q[wide].astype(object) @ v.astype(object).T
+    out[wide] = np.clip(large, -_MOST, _MOST).astype(np.int64)
+    return out
 
 
 class RangeIndex:
@@ -54,7 +87,7 @@ class RangeIndex:
 
     def search(self, q: np.ndarray, floors: np.ndarray, keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ``keep`` best classes of each query here that reach its floor, with scores."""
-        bounds = exact_product(np.maximum(q, 0), self.high) + exact_product(np.minimum(q, 0), self.low)
+        bounds = exact_product(np.hstack([np.maximum(q, 0), np.minimum(q, 0)]), np.hstack([self.high, self.low]))
         order = np.argsort(-bounds, axis=1, kind="stable")
         kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q]
         bar, open_ = floors.copy(), np.arange(len(q))
@@ -82,15 +115,24 @@ class RangeIndex:
 def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec_id: str = "vec_id",
            vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by ``every`` its ``k`` highest among all others."""
-    spark = df.sparkSession
-    ship(spark)
-    keep = k + 1
-    rows = valid_vectors(df, vec_id, vector, lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
-    rows = rows.where(F.forall("v", lambda x: F.abs(x) <= _SAFE))
+    ship(df.sparkSession)
+
+    def whole(x: Column) -> Column:
+        # beyond 2^53 every double is whole, and floor would go through a long
+        x = x * F.lit(float(scale))
+        return F.when(F.abs(x) < 2.0 ** 53, F.floor(F.when(F.abs(x) < 2.0 ** 53, x)).cast("double")).otherwise(x)
+
+    rows = valid_vectors(df, vec_id, vector, whole)
+    return reduce(DataFrame.unionByName, [_search(part, k, every, sample) for part in by_length(rows, every)])
+
+
+def _search(rows: DataFrame, k: int, every: int, sample: int) -> DataFrame:
+    """``search`` over whole vectors of one length."""
+    spark, keep = rows.sparkSession, k + 1
     classes, members = classes_of(rows, keep, every)
     n = classes.count()
     part = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "rep"), 11) < int(min(1.0, sample / max(1, n)) * (1 << 53))
-    points = matrix(classes.where(part).select("v").toArrow().column("v")).astype(np.int64)  # bounded by ``sample``
+    points = integers(matrix(classes.where(part).select("v").toArrow().column("v")))  # bounded by ``sample``
     shared = spark.sparkContext.broadcast(points)
 
     def coded(batches):
@@ -98,14 +140,16 @@ def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec
             v = matrix(batch.column(1))
             planes = np.random.default_rng(0).normal(size=(v.shape[1], CODE_BITS))
             code = ((v @ planes > 0) << np.arange(CODE_BITS)).sum(axis=1)
+            code = code + (np.abs(v).max(axis=1, initial=0) >= 2.0 ** 31) * (1 << CODE_BITS)  # wide ones come last
             yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), *batch.columns], names=["code", "rep", "v"])
 
     def packed(batches):
         reps, held, size = [], [], 0
 
         def out():
-            ids, v = np.concatenate(reps), np.concatenate(held).astype("<i4")
-            return pa.RecordBatch.from_pydict({"n": [len(ids)], "reps": [ids.astype("<i8").tobytes()], "v": [v.tobytes()]})
+            ids = np.concatenate(reps)
+            return pa.RecordBatch.from_pydict({"n": [len(ids)], "reps": [ids.astype("<i8").tobytes()],
+                                               "v": [packed_vectors(np.concatenate(held))]})
 
         for batch in batches:
             for start in range(0, batch.num_rows, RANGE):
@@ -127,12 +171,12 @@ def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(start, CHUNK)
-                q = matrix(part.column(1)).astype(np.int64)
+                q = integers(matrix(part.column(1)))
                 floors = np.full(len(q), np.iinfo(np.int64).min)
                 if len(shared.value) >= keep:
                     scores = exact_product(q, shared.value)
                     floors = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-                yield pa.RecordBatch.from_pydict({"q": [q.astype("<i4").tobytes()], "floors": [floors.astype("<i8").tobytes()],
+                yield pa.RecordBatch.from_pydict({"q": [packed_vectors(matrix(part.column(1)))], "floors": [floors.astype("<i8").tobytes()],
                                                   "asks": [part.column(0).to_numpy().astype("<i8").tobytes()]})
 
     queries = classes.where("is_query").select("rep", "v")
@@ -147,11 +191,13 @@ def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec
     def meet(batches):
         for batch in batches:
             for reps, v, q, floors, asks in zip(*(c.to_pylist() for c in batch.columns)):
-                index = RangeIndex(np.frombuffer(reps, "<i8"), np.frombuffer(v, "<i4").reshape(-1, width).astype(np.int64))
-                ask = np.frombuffer(asks, "<i8")
-                got = index.search(np.frombuffer(q, "<i4").reshape(-1, width).astype(np.int64), np.frombuffer(floors, "<i8"), keep)
+                ids, ask = np.frombuffer(reps, "<i8"), np.frombuffer(asks, "<i8")
+                index = RangeIndex(ids, unpacked_vectors(v, len(ids), width))
+                got = index.search(unpacked_vectors(q, len(ask), width), np.frombuffer(floors, "<i8"), keep)
                 some = np.array([len(r) > 0 for r, _ in got])
                 yield from found_rows(ask[some], [g for g in got if len(g[0])]).to_batches()  # none if all is pruned
 
     pairs = held.join(asked, ["lane", "side"]).select("reps", "v", "q", "floors", "asks")
-    return answers(pairs.mapInArrow(meet, FOUND), classes, members, k, "long")
+    found = answers(pairs.mapInArrow(meet, FOUND), classes, members, k, "long")
+    beyond = F.raise_error(F.lit("a score leaves the range of a long")).cast("long")
+    return found.withColumn("score", F.when(F.abs("score") >= _MOST, beyond).otherwise(F.col("score")))

@@ -18,20 +18,24 @@ CLASSES = "rep long, ids array<long>, is_query boolean, v array<double>"
 
 
 def valid_vectors(df: DataFrame, vec_id: str, vector: str, value=None) -> DataFrame:
-    """vec_id, v (array of double): rows with an id and a vector of the most frequent length without null or
-    non-finite components. ``value`` maps each component."""
+    """vec_id, v (array of double): rows with an id and a vector without null or non-finite components, of one at least.
+    ``value`` maps each component."""
     def finite(x: Column) -> Column:
         return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
 
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(F.forall("v", finite))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if lengths:
-        rows = rows.where(F.size("v") == lengths[0].n)
     return rows.select("vec_id", F.transform("v", value).alias("v")) if value else rows
 
 
+def by_length(rows: DataFrame, every: int) -> list[DataFrame]:
+    """The rows of each vector length that a query has: only vectors of one length have inner products. One search each, so
+    many lengths take many jobs. Without any query one empty frame."""
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.size("v").alias("n")).distinct().orderBy("n").collect()
+    return [rows.where(F.size("v") == n) for n in [r.n for r in asked] or [0]]
+
+
 def classes_of(rows: DataFrame, keep: int, every: int) -> tuple[DataFrame, DataFrame]:
     """(classes, members of query ids): classes has rep (smallest id), ids (the ``keep`` smallest, ascending),
     is_query and v; the second has query_id and rep. Both are stored."""

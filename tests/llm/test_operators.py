@@ -411,3 +411,37 @@ def test_ann_recall_where_leaves_are_skipped(spark, table):
     recall = _recall(_lists(ann.search(frame, share=0.4).collect()), want)
     assert recall >= 0.95
     assert _recall(_lists(ann.search(frame, share=0.1).collect()), want) < recall  # the share is what bounds the search
+
+
+def test_block_topk_of_large_components_and_every_length(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, np.float32(rng.normal(size=6)).tolist()) for i in range(150)]
+    # components beyond 2^27, 2^31 and 2^53, products of 20 with 40 near a long's range with a bound beyond it
+    large = {7: [3e6, 0.5, -1.0, 2e6, 3e6, 1.0], 20: [0.0, 5e6, -3e6, 0.0, 1.0, 0.0], 31: [-4e7, 1.0, 2.0, -4e7, 0.0, 0.0],
+             40: [10.0, 3e8, 4e8, 0.0, 0.0, 0.0], 53: [0.0, 0.0, 0.0, 2.5e14, 1.0, -1e13], 61: [1e13, 1.0, -2.0, 0.0, 0.0, 0.0]}
+    rows = [(i, large.get(i, v)) for i, v in rows]
+    other = [(1000 + i, np.float32(rng.normal(size=3)).tolist()) for i in range(40)]
+    frame = spark.createDataFrame([*rows, *other], "vec_id long, embedding array<double>").repartition(3)
+
+    def best(table):
+        whole = {i: [int(np.floor(64 * np.float64(x))) for x in v] for i, v in table}
+        return {q: sorted(((i, sum(a * b for a, b in zip(whole[q], v))) for i, v in whole.items() if i != q),
+                          key=lambda x: (-x[1], x[0]))[:20] for q in whole if q % 20 == 0}
+
+    want = {**best(rows), **best(other)}
+    assert _lists(block_topk.search(frame).collect()) == want
+    got = _lists(ann.search(frame.where("vec_id >= 1000"), share=1.0).collect())
+    both = _lists(ann.search(frame, share=1.0).collect())
+    twice = spark.createDataFrame([(20, [1e10]), (21, [1e10]), (22, [2.0])], "vec_id long, embedding array<double>")
+    assert _lists(block_topk.search(twice.where("vec_id <> 21")).collect()) == {20: [(22, 640_000_000_000 * 128)]}
+    with pytest.raises(Exception, match="range of a long"):
+        block_topk.search(twice).collect()
+    assert both.keys() == want.keys() and {q: both[q] for q in got} == got
+
+
+def test_products_beyond_a_long():
+    q, v = np.array([[2 ** 40, 1], [3, 4]]), np.array([[2 ** 30, -5], [-(2 ** 22), 2 ** 62]])
+    assert block_topk.exact_product(q[1:], v[:1]).tolist() == [[3 * 2 ** 30 - 20]]
+    assert block_topk.exact_product(q, v).tolist() == [[2 ** 63 - 1, 2 ** 62 - 2 ** 62], [3 * 2 ** 30 - 20, 2 ** 63 - 1]]
+    sums = block_topk.exact_product(np.array([[2 ** 33, 2 ** 33]]), np.array([[2 ** 31, -(2 ** 31) + 1]]))
+    assert sums.tolist() == [[2 ** 33]]
