@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from cattedra.llm import toxicity
 from cattedra.llm.queries import QUERIES
 from tests.llm import plain
 
@@ -67,3 +69,57 @@ def test_recall_on_the_table(spark):
 def test_held_out_documents_score_above_the_base(spark):
     got = [r for r in QUERIES["op10_katz"](spark, SF).collect() if r.held_out]
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_run_against_plain_stages(spark, monkeypatch):
+    kept, write = {}, corpus_pipeline.write_shared
+    monkeypatch.setattr(corpus_pipeline, "write_shared", lambda df, name: kept.setdefault(name, write(df, name)))
+    last = corpus_pipeline.run(spark, SF).collect()
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    at = {name: kept[f"pipeline-{name}"].collect() for name, _ in corpus_pipeline.STAGES[:-1]}
+    docs = source.collect()
+
+    scores = toxicity.score(source, toxicity.fit(source, spark.read.parquet(f"{SF}/labels.parquet"))).collect()
+    toxic = {r.doc_id for r in scores if r.score >= 0.7}
+    assert 0 < len(toxic) < len(docs)
+    want = [r for r in docs if r.doc_id not in toxic]
+    assert Counter(at["toxicity"]) == Counter(want)
+
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(plain.LOW)
+    found = Counter(k for r in want for k in {key(x) for x in (r.text or "").split("\n")} if k)
+    assert max(found.values()) >= 10
+    left = {r.doc_id: "\n".join(x for x in (r.text or "").split("\n") if found[key(x)] < 10) for r in want}
+    assert {r.doc_id: r.text for r in at["line_dedup"]} == left and len(at["line_dedup"]) == len(left)
+    assert all(r.n_chars == len(r.text) for r in at["line_dedup"])
+
+    roots = set(plain.components({i: plain.simhash(t) for i, t in left.items()}).values())
+    assert len(roots) < len(left)
+    assert Counter(at["simhash_near_dedup"]) == Counter(r for r in at["line_dedup"] if r.doc_id in roots)
+
+    size = {r.doc_id: len(plain.WORD.findall(r.text)) for r in at["simhash_near_dedup"]}
+    own = defaultdict(list)
+    for r in at["simhash_near_dedup"]:
+        own[r.source].append(size[r.doc_id])
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(own, key=lambda s: (s is None, s)))}
+    total, full = 1.5 * sum(map(sum, own.values())), set()
+    while True:
+        level = (total - sum(2 * sum(own[s]) for s in full)) / sum(weight[s] for s in own if s not in full)
+        over = {s for s in own if s not in full and 2 * sum(own[s]) < level * weight[s]}
+        if not over:
+            break
+        full |= over
+    taken = Counter()
+    for r in at["mixing"]:
+        taken[r.source] += size[r.doc_id]
+    for s, sizes in own.items():
+        target = 2 * sum(sizes) if s in full else level * weight[s]
+        assert abs(taken[s] - target) <= sum(sorted(sizes)[-2:])  # the landing decides two documents
+    before = {r.doc_id: r for r in at["simhash_near_dedup"]}
+    assert all(before[r.doc_id] == r for r in at["mixing"])
+
+    word, digest = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for r in at["mixing"]:
+        ids = word.encode(r.text, add_special_tokens=False).ids
+        digest[r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+               hashlib.sha256(word.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in last) == digest
