@@ -191,7 +191,7 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     # one row a language: as many as the model has classes
     share = sizes.select("lang", (F.lit(float(max_rows)) / F.lit(max(1, sizes.count())) / F.col("rows")).alias("share"))
     key = F.xxhash64(F.lit("lang"), "id", "text")
-    sample = rows.join(share, "lang").where(
+    sample = rows.join(F.broadcast(share), "lang").where(  # far smaller than the model, whose weights are broadcast too
         (F.shiftrightunsigned(key, 11).cast("double") / float(1 << 53)) < F.col("share"))
     sample = sample.select("text", "lang", _family_of(F.col("lang"), families or FAMILIES).alias("family"), key.alias("key"))
 
