@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cattedra.session import remove_path, scratch_path
 
 # --- Fixed values: listing column sets, page sizes, preview sizes. ---
 LISTINGS: dict[str, list[str]] = {
@@ -36,10 +39,8 @@ CONTACT_PAGE_SIZE = 20
 PREVIEW_SIZES = (5, 10, 20)
 # --- end of fixed values ---
 
-# A page is cut out of a range of the order that holds about this many rows.
-RANGE_ROWS = 50_000
-# Cuts of a range at each narrowing; bounds what a narrowing brings to the driver.
-RANGE_CUTS = 32
+# Rows a file of a ranked listing holds at most, so a page sorts at most two such files.
+FILE_ROWS = 50_000
 
 
 def listing(df: DataFrame, name: str) -> DataFrame:
@@ -85,53 +86,82 @@ def page_number(requested: Any, num_pages: int) -> int:
     return wanted if wanted in range(1, num_pages + 1) else num_pages
 
 
-def _literal_key(df: DataFrame, columns: Sequence[str], values: Sequence[Any]) -> Column:
-    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(columns, values)])
-
-
-def page_slice(df: DataFrame, first: Sequence[str], number: int, size: int, count: int | None = None) -> DataFrame:
-    """Rows ``(number-1)*size .. number*size-1`` of ``df`` ordered by ``first``, then by every other column.
-
-    One way for every page: the range of the order that holds the page is narrowed by counting rows below a few dozen
-    sampled keys (one aggregate, no sort), until it is small; only that range is sorted. Keys are compared as
-    structs, in which NULL comes first, as in the order.
-    """
-    columns = [*first, *[c for c in df.columns if c not in first]]
-    key = F.struct(*[F.col(c) for c in columns])
-    start, below = (number - 1) * size, 0
-    rows, held = df, df.count() if count is None else count
-    while held > RANGE_ROWS + size:
-        # a hash decides what is sampled, so the sample is spread over the range
-        share = max(1, held // (64 * RANGE_CUTS))
-        sample = (rows.where(F.pmod(F.xxhash64(F.lit(held), *columns), F.lit(share)) == 0).select(*columns)
-                  .limit(256 * RANGE_CUTS).distinct().orderBy(*[F.col(c).asc_nulls_first() for c in columns]).collect())
-        cuts = [_literal_key(df, columns, r) for r in sample[::max(1, len(sample) // RANGE_CUTS)]]
-        if not cuts:
-            break
-        under = rows.agg(*[F.count(F.when(key < cut, 1)).alias(f"c{i}") for i, cut in enumerate(cuts)]).first()
-        low = max((n, i) for i, n in [(-1, 0), *enumerate(under)] if below + n <= start)
-        high = min(((n, i) for i, n in enumerate(under) if below + n >= start + size), default=None)
-        if low[1] >= 0:
-            rows = rows.where(key >= cuts[low[1]])
-        if high:
-            rows = rows.where(key < cuts[high[1]])
-        narrowed = (high[0] if high else held) - low[0]
-        below += low[0]
-        if narrowed >= held:
-            break
-        held = narrowed
-    return rows.orderBy(*[F.col(c).asc_nulls_first() for c in columns]).offset(max(0, start - below)).limit(size).select(*df.columns)
+@dataclass
+class Ranked:
+    """A listing stored once in its order, with a directory of its files: the rows of each and how many come before.
+
+    A page looks its files up in the directory and reads these alone (two at most, of ``FILE_ROWS`` rows), whatever its
+    number; the listing itself is not evaluated again. ``open_ranked`` finds it again from its folder."""
+
+    spark: SparkSession
+    path: str
+    order: list[str]
+    schema: T.StructType
+
+    def _directory(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/directory")
+
+    @property
+    def count(self) -> int:
+        return self._directory().agg(F.max(F.col("before") + F.col("rows"))).first()[0] or 0
+
+    def frame(self) -> DataFrame:
+        """All rows of the listing."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
+
+    def slice(self, start: int, size: int) -> DataFrame:
+        """``size`` rows from place ``start`` on, in order."""
+        held = (F.col("before") < start + size) & (F.col("before") + F.col("rows") > start)
+        files = self._directory().where(held).orderBy("before").collect()  # two, or as many as ``size`` rows fill
+        if not files:
+            return self.frame().limit(0)
+        rows = self.spark.read.schema(self.schema).parquet(*[f.file for f in files])
+        return rows.orderBy(*_nulls_first(self.order)).offset(start - files[0].before).limit(size)
+
+    def page(self, number: Any = 1, size: int = PAGE_SIZE) -> Page:
+        count = self.count
+        pages = math.ceil(max(1, count) / size)
+        n = page_number(number, pages)
+        return Page(self.slice((n - 1) * size, size), n, pages, count)
+
+
+def _nulls_first(columns: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in columns]
+
+
+def store_ranked(df: DataFrame, path: str | None = None, first: Sequence[str] = (), file_rows: int = FILE_ROWS) -> Ranked:
+    """Write ``df`` ordered by ``first``, then by every other column (a total order), with its directory.
+
+    ``df`` is evaluated once: its rows are staged, since finding the ranges of the order reads them twice. Ranges are cut on
+    all columns, so a value that a third of all rows share is spread over many tasks."""
+    spark = df.sparkSession
+    path = path or scratch_path(spark, "ranked")
+    order = [*first, *[c for c in df.columns if c not in first]]
+    df.write.mode("errorifexists").parquet(f"{path}/staged")
+    staged = spark.read.schema(df.schema).parquet(f"{path}/staged")
+    ranged = staged.repartitionByRange(*_nulls_first(order)).sortWithinPartitions(*_nulls_first(order))
+    ranged.write.mode("errorifexists").option("maxRecordsPerFile", file_rows).parquet(f"{path}/rows")
+    remove_path(spark, f"{path}/staged")
+    out = Ranked(spark, path, order, df.schema)
+    files = out.frame().groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    # task and piece of the file's name are its place in the order
+    place = [F.regexp_extract("file", pattern, 1).cast("int") for pattern in (r"part-(\d+)-[^/]*$", r"-c(\d+)\.[^/]*$")]
+    earlier = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", "rows", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))  # one row a file
+    files.write.mode("errorifexists").parquet(f"{path}/directory")
+    return out
+
+
+def open_ranked(spark: SparkSession, path: str, first: Sequence[str] = ()) -> Ranked:
+    """A listing stored by ``store_ranked`` with the same ``first``."""
+    schema = spark.read.parquet(f"{path}/rows").schema
+    return Ranked(spark, path, [*first, *[c for c in schema.fieldNames() if c not in first]], schema)
 
 
 def page(df: DataFrame, number: Any = 1, size: int = PAGE_SIZE,
          order: Sequence[str] = ()) -> Page:
-    """T5: one page of a listing plus the paging facts. ``count`` is the one
-    action; the page rows stay lazy."""
-    count = df.count()
-    num_pages = math.ceil(max(1, count) / size)
-    n = page_number(number, num_pages)
-    rows = page_slice(df, list(order), n, size, count)
-    return Page(rows, n, num_pages, count)
+    """T5: one page of a listing plus the paging facts. For more pages of it keep what ``store_ranked`` returns."""
+    return store_ranked(df, first=list(order)).page(number, size)
 
 
 def preview(df: DataFrame, n: int = 5, order: Sequence[str | Column] = ()) -> DataFrame:

@@ -304,7 +304,7 @@ ORDER BY {_COURSE_ORDER} LIMIT 100 OFFSET 1000""", A_CTE))
 def q_page_indexed(spark, sf_dir):
     """T5: page 11 of the course listing."""
     courses = lst.listing(td.adoptions(spark, sf_dir), "courses")
-    return lst.page_slice(courses, [], 11, 100)
+    return lst.store_ranked(courses).slice(1000, 100)
 
 
 @register("preview_5", O.with_ctes(f"""

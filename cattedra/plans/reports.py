@@ -117,14 +117,15 @@ class SampleCopyDashboard:
 def sample_copy_dashboard(contacts: DataFrame, selected: DataFrame, page: Any = 1,
                           order_col: str = "record_id") -> SampleCopyDashboard:
     """Q5: contacts (or the selected lecturers when there are none), one per
-    (lecturer, isbn), ordered by lecturer, summary, 20 per page."""
+    (lecturer, isbn), ordered by lecturer, summary, 20 per page. The rows are
+    worked out once and stored in order; listing, summary and page read them."""
     src = sel.active_set(selected, contacts)
     if order_col not in src.columns:
         src = src.withColumn(order_col, F.xxhash64(*src.columns))
     rows = agg.first_contact_per_pair(src, order_col).drop(order_col)
-    ordered = lst.by_lecturer(rows)
-    return SampleCopyDashboard(ordered, agg.summary_counts(rows),
-                               lst.page(rows, page, lst.CONTACT_PAGE_SIZE, ["insegnamento_prof"]))
+    stored = lst.store_ranked(rows, first=["insegnamento_prof"])
+    return SampleCopyDashboard(lst.by_lecturer(stored.frame()), agg.summary_counts(stored.frame()),
+                               stored.page(page, lst.CONTACT_PAGE_SIZE))
 
 
 def select_contacts(contacts: DataFrame, selected: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -79,24 +79,47 @@ def test_global_and_group_index_match_row_number(spark):
 
 def test_pages_partition_the_listing(spark):
     df = spark.range(0, 1234).select((F.col("id") % 500).alias("a"), F.col("id").alias("b"))
-    seen = []
+    stored, seen = lst.store_ranked(df), []
     for n in range(1, 14):
-        seen += [tuple(r) for r in lst.page_slice(df, [], n, 100).collect()]
+        seen += [tuple(r) for r in stored.page(n).rows.collect()]
     assert seen == sorted(tuple(r) for r in df.collect())
     p = lst.page(df, "x")
     assert (p.number, p.num_pages, p.count, p.has_next, p.has_previous) == (1, 13, 1234, True, False)
-    assert lst.page(df, 99).number == 13 and lst.page(df, 0).number == 13
-    assert lst.page(df.limit(0), 5).number == 1
+    assert stored.page(99).number == 13 and stored.page(0).number == 13
+    none = lst.page(df.limit(0), 5)
+    assert (none.number, none.count) == (1, 0) and none.rows.count() == 0
 
 
-def test_pages_by_narrowed_ranges(spark, monkeypatch):
-    """The same pages when the order is narrowed several times; keys with NULLs, ties and repeated rows."""
-    df = spark.range(0, 3000).select(F.when(F.col("id") % 5 != 0, F.col("id") % 50).alias("a"),
-                                     F.when(F.col("id") % 3 != 0, (F.col("id") % 700).cast("string")).alias("b"))
+def test_pages_over_many_files(spark, scratch):
+    """NULLs, ties and repeated rows, a value that a third of all rows share, files of a few rows; each page reads only the
+    files that hold it; a listing is found again from its folder."""
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 5 != 0, F.col("id") % 50).alias("a"), F.when(F.col("id") % 3 != 0, (
+        F.col("id") % 700).cast("string")).alias("b")).repartition(7)
     want = [tuple(r) for r in df.orderBy(F.col("b").asc_nulls_first(), F.col("a").asc_nulls_first()).collect()]
-    monkeypatch.setattr(lst, "RANGE_ROWS", 60)
+    stored = lst.store_ranked(df, f"{scratch}/l", ["b"], file_rows=60)
+    again = lst.open_ranked(spark, f"{scratch}/l", ["b"])
     for n in (1, 2, 9, 17, 30):
-        assert [tuple(r) for r in lst.page_slice(df, ["b"], n, 100).collect()] == want[100 * (n - 1):100 * n]
+        for ranked in (stored, again):
+            page = ranked.page(n)
+            assert [tuple(r) for r in page.rows.collect()] == want[100 * (n - 1):100 * n]
+            assert len(page.rows.inputFiles()) <= 9  # files of 60 rows, the last of each task shorter
+    assert stored.count == 3000 and len(stored.frame().inputFiles()) > 40
+    assert [tuple(r) for r in stored.slice(2990, 500).collect()] == want[2990:]
+
+
+def test_paging_evaluates_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(2000).withColumn("x", F.col("id") % 7).mapInArrow(counted, "id long, x long")
+    stored = lst.store_ranked(df, first=["x"])
+    for n in (1, 7, 20):
+        stored.page(n).rows.collect()
+    assert seen.value == 2000
 
 
 def test_new_adoptions_null_safe_and_disjoint(spark):
