@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cattedra.functions._col import as_col
+from cattedra.functions._col import as_col, number_of_text
 
 # --- Fixed values: ISBN rules. ---
 ISBN13_PREFIX = "978"
@@ -14,6 +14,11 @@ ISBN_PUNCT_CLASS = r"[!-/:-\[\-`{-~]"
 # --- end of fixed values ---
 
 
+def _digit(ch: Column) -> Column:
+    """The value of one digit; NULL for any other character."""
+    return F.when(ch.between("0", "9"), ch.try_cast("int"))
+
+
 def ean_check_digit(body: Column) -> Column:
     """Check digit for a string of digits: weights 1,3,1,3,... from the left,
     ``(10 - sum % 10) % 10``. NULL if any character is not a digit.
@@ -21,7 +26,7 @@ def ean_check_digit(body: Column) -> Column:
     The string is split into characters once; the lambdas only see elements,
     so the input expression is not re-evaluated per position."""
     chars = F.split(body, "")
-    weighted = F.transform(chars, lambda ch, i: ch.try_cast("int") * F.when(i % 2 == 1, F.lit(3)).otherwise(F.lit(1)))
+    weighted = F.transform(chars, lambda ch, i: _digit(ch) * F.when(i % 2 == 1, F.lit(3)).otherwise(F.lit(1)))
     total = F.aggregate(weighted, F.lit(0).cast("int"), lambda acc, x: acc + x)
     return ((F.lit(10) - total % 10) % 10).cast("string")
 
@@ -29,7 +34,7 @@ def ean_check_digit(body: Column) -> Column:
 def ean13_check_digit(body12: Column) -> Column:
     """Check digit of exactly 12 digits, as twelve plain terms (no lambdas,
     so the expression stays inside generated code)."""
-    terms = [body12.substr(i, 1).try_cast("int") * (3 if i % 2 == 0 else 1) for i in range(1, 13)]
+    terms = [_digit(body12.substr(i, 1)) * (3 if i % 2 == 0 else 1) for i in range(1, 13)]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
@@ -76,4 +81,4 @@ def isbn_to_number(c: Column | str) -> Column:
     float_text = s.rlike(r"^\s*\d+\.0+\s*$")
     return (F.when(s.isNull() | (F.trim(s) == ""), F.lit(0).cast("bigint"))
             .when(float_text, s.try_cast("double").try_cast("bigint"))
-            .otherwise(isbn_strip(s).try_cast("bigint")))
+            .otherwise(number_of_text(isbn_strip(s))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cattedra.functions._col import as_col
+from cattedra.functions._col import as_col, number_of_text
 
 # --- Fixed values ---
 NO_SAMPLE_LABEL = "Nessun saggio"   # shown for a contact without a sample copy (C6)
@@ -17,9 +17,7 @@ ACADEMIC_YEAR_START_MONTH = 9       # academic year starts in September (C11)
 def id_or_zero(c: Column | str) -> Column:
     """NULL or non-numeric id -> 0, as bigint; ``'123.0'`` -> 123."""
     col = as_col(c)
-    as_text = col.cast("string")
-    number = F.coalesce(as_text.try_cast("bigint"), as_text.try_cast("double").try_cast("bigint"))
-    return F.coalesce(number, F.lit(0).cast("bigint"))
+    return F.coalesce(number_of_text(col.cast("string")), F.lit(0).cast("bigint"))
 
 
 def sector_spaces(c: Column | str) -> Column:
@@ -54,7 +52,7 @@ def sqlite_int(c: Column | str, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
         return col.try_cast("bigint")
     text = col.cast("string")
-    lead = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
+    lead = F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1), F.lit(""))  # a cast of '' would cost an exception
     return F.when(col.isNull(), F.lit(None).cast("bigint")).otherwise(
         F.coalesce(lead.try_cast("bigint"), F.lit(0).cast("bigint")))
 

@@ -136,3 +136,19 @@ DIRTY_DIRECTORY_CTE = """elenco AS (
   SELECT prof_id, insegnamento_prof, insegnamento_id FROM tuttidocenti
   UNION ALL
   SELECT prof_id + 1000000, insegnamento_prof, insegnamento_id FROM tuttidocenti WHERE prof_id % 10 = 0)"""
+
+#: ``testdata.dirty_contacts`` as S3 cleans and resolves them (``caricati``; an id 0 is none); needs CONTACTS_CTE and DIRECTORY_CTE before it.
+DIRTY_CONTACTS_CTE = f"""puliti AS (
+  SELECT * REPLACE (
+    CASE WHEN isbn IS NULL AND record_id % 5 <> 1 THEN '0' WHEN record_id % 5 = 0 THEN '97' || isbn
+         WHEN record_id % 5 = 1 THEN '0' ELSE isbn END AS isbn,
+    CASE WHEN record_id % 9 < 2 THEN '' ELSE insegnamento_prof END AS insegnamento_prof,
+    CASE WHEN record_id % 3 <> 0 THEN prof_id END AS prof_id,
+    CASE WHEN record_id % 3 <> 0 THEN insegnamento_id END AS insegnamento_id,
+    CASE record_id % 4 WHEN 0 THEN ' "a", ' || note WHEN 1 THEN NULL ELSE note END AS note)
+  FROM docenti_router),
+caricati AS (
+  SELECT c.* REPLACE (coalesce(nullif(c.prof_id, 0), d.prof_id) AS prof_id,
+                      coalesce(nullif(c.insegnamento_id, 0), d.insegnamento_id) AS insegnamento_id)
+  FROM puliti c LEFT JOIN (SELECT {name_key_sql("insegnamento_prof")} AS k, prof_id, insegnamento_id FROM tuttidocenti) d
+    ON {name_key_sql("c.insegnamento_prof")} = d.k)"""

@@ -795,9 +795,53 @@ def q_contacts_upload(spark, sf_dir):
     from cattedra.sources.store import export_csv
     path = _scratch(spark, "contacts-csv")
     export_csv(td.contacts(spark, sf_dir).select(*CONTACT_COLUMNS), path)
-    out = load_contacts(read_csv(spark, path), _directory(spark, sf_dir), "replace", overwrite_ids=True)
-    return out.select(*[F.col(c).cast("string").alias(c) if c in ("prof_id", "insegnamento_id") else F.col(c)
-                        for c in CONTACT_COLUMNS]).na.fill("", ["prof_id", "insegnamento_id"])
+    out = load_contacts(read_csv(spark, path, line_breaks=False), _directory(spark, sf_dir), "replace", overwrite_ids=True)
+    return _text_ids(out)
+
+
+def _text_ids(contacts: DataFrame) -> DataFrame:
+    return contacts.select(*[F.col(c).cast("string").alias(c) if c in ("prof_id", "insegnamento_id") else F.col(c)
+                             for c in CONTACT_COLUMNS]).na.fill("", ["prof_id", "insegnamento_id"])
+
+
+_BLANKS = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in CONTACT_COLUMNS)
+_UPSERT_REST = ", ".join(f"{c} NULLS FIRST" for c in CONTACT_COLUMNS if c not in chg.UPSERT_KEY)
+
+
+def _dirty_upload(spark, sf_dir) -> DataFrame:
+    """Dirty contacts of every other id as a CSV upload, read by splits."""
+    from cattedra.sources.files import read_csv
+    from cattedra.sources.store import export_csv
+    path = _scratch(spark, "contacts-dirty")
+    export_csv(td.dirty_contacts(spark, sf_dir).where("record_id % 2 = 0").select(*CONTACT_COLUMNS), path)
+    return read_csv(spark, path, line_breaks=False)
+
+
+@register("contacts_append", O.with_ctes(f"""
+SELECT {_BLANKS} FROM caricati WHERE record_id % 2 = 0
+UNION ALL
+SELECT {_BLANKS.replace("CAST(isbn AS VARCHAR), ''", "nullif(isbn, ''), '0'")} FROM ({_DIR_AS_CONTACT}) n""",
+                                         C_CTE, D_CTE, O.DIRTY_CONTACTS_CTE))
+def q_contacts_append(spark, sf_dir):
+    """S3 (append): dirty contacts, cleaned and resolved, U the selected lecturers."""
+    from cattedra.sources.files import load_contacts
+    directory = _directory(spark, sf_dir)
+    return _text_ids(load_contacts(_dirty_upload(spark, sf_dir), directory, "append",
+                                   selected=dirs.directory_as_contacts(directory)))
+
+
+@register("contacts_update", O.with_ctes(f"""
+SELECT {_BLANKS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY uni_cod, prof_id
+           ORDER BY insegnamento_prof NULLS LAST, src DESC, id DESC NULLS LAST, {_UPSERT_REST}) AS rn
+  FROM (SELECT {_cols(CONTACT_COLUMNS)}, 0 AS src, NULL::BIGINT AS id FROM caricati WHERE record_id % 2 = 0
+        UNION ALL SELECT {_cols(CONTACT_COLUMNS)}, 1, record_id FROM docenti_router) u) t WHERE rn = 1""",
+                                         C_CTE, D_CTE, O.DIRTY_CONTACTS_CTE))
+def q_contacts_update(spark, sf_dir):
+    """S3 (update): dirty contacts upserted into the current ones on university and lecturer."""
+    from cattedra.sources.files import load_contacts
+    return _text_ids(load_contacts(_dirty_upload(spark, sf_dir), _directory(spark, sf_dir), "update",
+                                   current=td.contacts(spark, sf_dir)))
 
 
 @register("tenant_store", """

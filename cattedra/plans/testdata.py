@@ -190,6 +190,21 @@ def dirty_adoptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def dirty_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts as users upload them: hyphenated, blank and decimal isbns, names with remarks, placeholders and none, missing
+    ids, blanks and commas in notes. Restated in ``oracle.DIRTY_CONTACTS_CTE``."""
+    n = F.col("record_id")
+    return contacts(spark, sf_dir).withColumns({
+        "isbn": F.when(n % 5 == 0, F.concat(F.lit("97-"), "isbn", F.lit(" X"))).when(n % 5 == 1, "")
+        .when(n % 5 == 2, F.concat("isbn", F.lit(".0"))).otherwise(F.col("isbn")),
+        "insegnamento_prof": F.when(n % 9 == 0, "Docente da definire").when(n % 9 == 1, F.lit(None))
+        .when(n % 9 == 2, F.concat("insegnamento_prof", F.lit(" (supplente)"))).otherwise(F.col("insegnamento_prof")),
+        "prof_id": F.when(n % 3 != 0, F.col("prof_id")),
+        "insegnamento_id": F.when(n % 3 != 0, F.col("insegnamento_id")),
+        "note": F.when(n % 4 == 0, F.concat(F.lit(" \"a\", "), "note")).when(n % 4 == 1, F.lit(None)).otherwise(F.col("note")),
+    })
+
+
 def dirty_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The directory with every tenth lecturer at a second university, and one without a name."""
     d = directory(spark, sf_dir)

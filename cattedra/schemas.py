@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cattedra.functions._col import number_of_text
+
 S, I, L = T.StringType(), T.IntegerType(), T.LongType()
 
 # --- Fixed values: required column lists per table, in the reference's order. ---
@@ -103,7 +105,7 @@ def all_string(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, S, True) for f in schema.fields])
 
 
-def lenient_cast(col: Column, target: T.DataType) -> Column:
+def lenient_cast(col: Column, target: T.DataType, source: T.DataType = S) -> Column:
     """Convert without failing: bad values become NULL.
 
     Integral targets go through ``double`` as a fallback because a nullable id
@@ -111,7 +113,7 @@ def lenient_cast(col: Column, target: T.DataType) -> Column:
     """
     if isinstance(target, (T.LongType, T.IntegerType)):
         name = target.simpleString()
-        return F.coalesce(col.try_cast(name), col.try_cast("double").try_cast(name))
+        return number_of_text(col, name) if isinstance(source, T.StringType) else col.try_cast(name)
     if isinstance(target, T.StringType):
         return col.cast("string")
     return col.try_cast(target.simpleString())
@@ -133,7 +135,7 @@ def conform(df: DataFrame, table: str | T.StructType) -> DataFrame:
         elif present[field.name] == field.dataType:
             cols.append(F.col(field.name))
         else:
-            cols.append(lenient_cast(F.col(field.name), field.dataType).alias(field.name))
+            cols.append(lenient_cast(F.col(field.name), field.dataType, present[field.name]).alias(field.name))
     return df.select(*cols)
 
 

@@ -100,3 +100,14 @@ def test_small_rules(spark):
 def test_academic_year(spark):
     vals = [dt.date(2024, 8, 31), dt.date(2024, 9, 1), dt.date(2025, 1, 10)]
     assert apply(spark, academic_year, vals, T.DateType()) == [2023, 2024, 2024]
+
+
+def test_numbers_in_text(spark):
+    """Cells of every kind: whole numbers, decimals, blanks, signs, outer blanks, numbers too large, words."""
+    from cattedra.functions._col import number_of_text
+    cells = {"12": 12, " +7 ": 7, "-3": -3, "4.0": 4, "4.9": 4, "": None, " ": None, "x": None, "1e3": 1000, "99999999999999999999": None,
+             "12a": None, "NaN": None, None: None, "0012": 12, "\t5\n": 5}
+    df = spark.createDataFrame([(k,) for k in cells], "t string")
+    assert {r.t: r.n for r in df.select("t", number_of_text(F.col("t")).alias("n")).collect()} == cells
+    assert {r.t: r.n for r in df.select("t", F.coalesce(F.col("t").try_cast("bigint"), F.col("t").try_cast("double").try_cast(
+        "bigint")).alias("n")).collect()} == cells

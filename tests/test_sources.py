@@ -244,3 +244,22 @@ def test_checkpoint_folder_is_refused_on_a_cluster_without_one(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session)
+
+
+def test_csv_by_splits(spark, scratch):
+    """Files without line breaks in cells are read by splits, with the same rows; a cell that has one stops the read."""
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("a"), F.when(F.col("id") % 3 == 0, F.lit(None)).when(
+        F.col("id") % 3 == 1, "").otherwise(F.concat(F.lit(' "q", '), F.col("id").cast("string"), F.lit(" "))).alias("b"))
+    store.export_csv(df, f"{scratch}/flat", single_file=True)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        split, whole = (files.read_csv(spark, f"{scratch}/flat", line_breaks=x) for x in (False, True))
+        assert split.rdd.getNumPartitions() > 3 and whole.rdd.getNumPartitions() == 1
+        assert split.exceptAll(df).isEmpty() and df.exceptAll(split).isEmpty() and whole.exceptAll(df).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    store.export_csv(spark.createDataFrame([("1", "x\ny")], "a string, b string"), f"{scratch}/broken")
+    assert files.read_csv(spark, f"{scratch}/broken").collect()[0].b == "x\ny"
+    with pytest.raises(Exception):
+        files.read_csv(spark, f"{scratch}/broken", line_breaks=False).collect()
