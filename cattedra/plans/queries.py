@@ -414,6 +414,33 @@ def q_contact_resolution(spark, sf_dir):
     return resolve_contacts(td.contacts(spark, sf_dir), _directory(spark, sf_dir), overwrite_ids=True)
 
 
+_CONTACT_IDS = f"""
+SELECT c.record_id, {_cols('c.' + c for c in CONTACT_COLUMNS if c not in ('prof_id', 'insegnamento_id'))},
+       d.prof_id AS prof_id, d.insegnamento_id AS insegnamento_id
+FROM %s c LEFT JOIN (SELECT {_KEY_D} AS k, prof_id, insegnamento_id FROM tuttidocenti) d
+  ON {_KEY_C} = d.k"""
+
+
+@register("contacts_by_index", O.with_ctes(_CONTACT_IDS % "docenti_router", C_CTE, D_CTE))
+def q_contacts_by_index(spark, sf_dir):
+    """K8 + J1: contacts take ids from the directory bucketed by name key; the directory is not shuffled."""
+    from cattedra.sources.store import write_directory_index
+    path = _scratch(spark, "directory-index")
+    index = write_directory_index(_directory(spark, sf_dir), "indice_" + path.rpartition("-")[2], path)
+    return resolve_contacts(td.contacts(spark, sf_dir), index, overwrite_ids=True)
+
+
+@register("hot_names", O.with_ctes(_CONTACT_IDS % "caldi", C_CTE, D_CTE, f"""caldi AS (
+  SELECT * REPLACE (CASE WHEN record_id % 3 = 0 THEN '{ONE_LECTURER}' WHEN record_id % 3 = 1 AND record_id % 5 = 0 THEN NULL
+                    ELSE insegnamento_prof END AS insegnamento_prof) FROM docenti_router)"""))
+def q_hot_names(spark, sf_dir):
+    """J1 with a third of all contacts under one name: only hot names are found, counted and spread."""
+    n, name = F.col("record_id"), F.col("insegnamento_prof")
+    contacts = td.contacts(spark, sf_dir).withColumn("insegnamento_prof", F.when(n % 3 == 0, ONE_LECTURER).when(
+        ~((n % 3 == 1) & (n % 5 == 0)), name))
+    return resolve_contacts(contacts, _directory(spark, sf_dir), overwrite_ids=True, spread_hot=True)
+
+
 @register("union_courses", O.with_ctes(f"""
 SELECT uni_cod, materia_nome FROM adozioni a WHERE {_KEY_A} = {O.name_key_sql("'" + ONE_LECTURER + "'")}
 UNION

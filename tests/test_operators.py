@@ -209,7 +209,7 @@ def test_resolve_fan_out_blank_and_unmatched(spark):
     assert out == [("1", 1, 10), ("1", 2, 20), ("2", 0, 0), ("3", 0, 0), ("4", 4, 40)]
     keep = rows(resolve_adoptions(a, d), "isbn", "prof_id")
     assert keep == [("1", 99), ("1", 99), ("2", 98), ("3", 0), ("4", 4)]
-    salted = rows(resolve_adoptions(a, d, overwrite_ids=True, salt_buckets=4), "isbn", "prof_id", "insegnamento_id")
+    salted = rows(resolve_adoptions(a, d, overwrite_ids=True, spread_hot=True), "isbn", "prof_id", "insegnamento_id")
     assert salted == out
     c = conform(a.select("uni_cod", "insegnamento_prof", F.lit(None).cast("string").alias("isbn")),
                 "docenti_router").withColumn("record_id", F.monotonically_increasing_id())
@@ -320,3 +320,19 @@ def test_new_rows_get_ids_and_changes_are_exact(spark):
 def test_a_key_that_is_no_number_matches_nothing(spark):
     df = spark.createDataFrame([(1,), (2,)], "prof_id long")
     assert rows(sel.select_by(df, "prof_id", sel.keys_from_json(spark, '["1", "x"]', "values"))) == [(1,)]
+
+
+def test_hot_keys_are_spread(spark):
+    """A name with a third of the rows is dealt over many salts; rare names keep one, and only hot ones are replicated."""
+    from cattedra.operators.resolve import hot_keys, spread
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id"))).alias("k"), "id")
+    assert rows(hot_keys(df, "k", 100)) == [("hot", 34)]
+    left, right = spread(df, df.select("k").distinct().withColumn("x", F.length("k")), "k", 100)
+    assert left.where("k = 'hot'").select("_salt").distinct().count() == 34
+    assert left.where("k <> 'hot'").agg(F.max("_salt")).first()[0] == 0
+    assert right.where("k = 'hot'").count() == 34 and right.where("k <> 'hot'").count() == 6000
+    joined = left.join(right, ["k", "_salt"], "left")
+    assert joined.count() == 9000 and joined.where("x is null").count() == 0
+    largest = joined.groupBy("k", "_salt").count().agg(F.max("count")).first()[0]
+    assert largest < 3000 / 34 * 2
+    assert hot_keys(df.limit(0), "k").count() == 0

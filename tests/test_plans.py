@@ -11,6 +11,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 SMOKE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMOKE), reason="driver test data not present")
@@ -137,3 +138,23 @@ def test_keep_first_is_partially_aggregated_before_the_shuffle(spark):
         kinds = ["X" if "Exchange" in ln else ("P" if "partial_min" in ln else "F") for ln in lines]
         # final aggregate, then the exchange, then the partial aggregate (plan text is top-down)
         assert "".join(kinds).find("FXP") >= 0, (name, kinds)
+
+
+def test_directory_index_is_joined_bucket_by_bucket(spark):
+    """K8: one Exchange in the join, on the contacts' side; the directory's scan is bucketed, and one name reads one bucket."""
+    from cattedra.functions import name_key
+    from cattedra.operators.resolve import resolve_contacts
+    from cattedra.plans import testdata as td
+    from cattedra.session import scratch_path
+    from cattedra.sources.store import write_directory_index
+    path = scratch_path(spark, "index")
+    index = write_directory_index(td.directory(spark, SMOKE), "index_" + path.rpartition("-")[2], path)
+    text = plan_text(resolve_contacts(td.contacts(spark, SMOKE), index))
+    join = text[text.index("SortMergeJoin"):]
+    assert "BroadcastHashJoin" not in text and "Bucketed: true" in join
+    assert text.count("Exchange hashpartitioning") == 1
+    right = join[join.rindex("Sort ["):]
+    assert "Exchange" not in right and "SelectedBucketsCount: 8 out of 8" in right
+    key = spark.range(1).select(name_key(F.lit("Supplier 000000001")).alias("k")).first().k
+    one = index.where(F.col("name_key") == key)
+    assert one.count() == 1 and "SelectedBucketsCount: 1 out of 8" in plan_text(one)
