@@ -33,7 +33,7 @@ from cattedra.plans.oracle import ADOPTIONS_CTE as A_CTE
 from cattedra.plans.oracle import CONTACTS_CTE as C_CTE
 from cattedra.plans.oracle import DIRECTORY_CTE as D_CTE
 from cattedra.plans.oracle import LOG_CTE as L_CTE
-from cattedra.schemas import ADOPTION_COLUMNS, CONTACT_COLUMNS
+from cattedra.schemas import ADOPTION_COLUMNS, CONTACT_COLUMNS, TABLES
 from cattedra.session import apply_runtime_conf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -898,17 +898,21 @@ def q_log_feed_stream(spark, sf_dir):
     return read_feed(spark, sink)
 
 
-@register("incremental_load_stream", O.with_ctes(f"SELECT {_ALL_A} FROM pulite", A_CTE, O.DIRTY_CTE))
+@register("incremental_load_stream", O.with_ctes(f"""
+SELECT {_ALL_A} FROM pulite UNION ALL SELECT {_ALL_A} FROM pulite WHERE insegnamento_id % 11 = 0""", A_CTE, O.DIRTY_CTE))
 def q_incremental_load_stream(spark, sf_dir):
-    """Dirty adoption CSV files, landed by year and course, loaded incrementally, each
-    file once, cleaned and de-duplicated per micro-batch."""
+    """Dirty adoption CSV files, landed by year and course, loaded incrementally, each file once, cleaned and
+    de-duplicated per micro-batch. Every fifth row stands twice in its file (one is dropped); files with every eleventh row
+    come again later and are loaded again, by a second run on the same checkpoint."""
     from cattedra.sources.store import export_csv
     from cattedra.streaming.incremental import read_loaded, start_incremental_load
     landing = _scratch(spark, "landing")
-    export_csv(td.dirty_adoptions(spark, sf_dir).repartitionByRange("a_a", "insegnamento_id"), landing)
     sink, ckpt = _scratch(spark, "loaded"), _scratch(spark, "load-ckpt")
-    q = start_incremental_load(spark, landing, sink, ckpt, available_now=True, max_files_per_trigger=4)
-    q.awaitTermination()
+    dirty = td.dirty_adoptions(spark, sf_dir)
+    for part in (dirty, dirty.where("insegnamento_id % 11 = 0")):
+        twice = part.unionByName(part.where("insegnamento_id % 5 = 0"))
+        export_csv(twice.repartitionByRange("a_a", "insegnamento_id"), landing, mode="append")
+        start_incremental_load(spark, landing, sink, ckpt, available_now=True, max_files_per_trigger=4).awaitTermination()
     return read_loaded(spark, sink)
 
 
@@ -964,35 +968,74 @@ def q_directory_of_year(spark, sf_dir):
     return dirs.latest_course_of_year(td.directory_sources(spark, sf_dir), YEAR)
 
 
-@register("stored_tables", O.with_ctes("""
-SELECT 'adozioni' AS name, 'stored' AS state, 2 * count(*) AS n FROM adozioni
-UNION ALL SELECT 'adozioni', 'snapshot', 2 * count(*) FROM adozioni
-UNION ALL SELECT 'adozioni', 'reset', 0
-UNION ALL SELECT 'adozioni_res', 'snapshot', count(*) FROM adozioni WHERE a_a = 1997
-UNION ALL SELECT 'adozioni_res', 'reset', 0
-UNION ALL SELECT 'tuttidocenti_res', 'snapshot', count(*) FROM tuttidocenti
-UNION ALL SELECT 'tuttidocenti_res', 'reset', count(*) FROM tuttidocenti
-UNION ALL SELECT 'msg', 'snapshot', 0
-UNION ALL SELECT 'msg', 'reset', 1""", A_CTE, D_CTE))
+def _content_sql(table: str, state: str, source: str, columns: list[str], copies: int = 1) -> str:
+    """Rows of a stored table as (state, name, digest of all columns, number)."""
+    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in columns)
+    return (f"SELECT '{table}' AS name, '{state}' AS state, md5(concat_ws(chr(31), {cells})) AS digest, {copies} * count(*) AS n "
+            f"FROM {source} GROUP BY ALL")
+
+
+_ADO_COLUMNS, _RES_COLUMNS = (TABLES[t].fieldNames() for t in ("adozioni", "adozioni_res"))
+_MARKER = "(SELECT TIMESTAMP '2000-01-01 00:00:00' AS date, 'Parametri cancellati' AS message, 0 AS q) m"
+
+
+@register("stored_tables", O.with_ctes(" UNION ALL ".join([
+    _content_sql("adozioni", "first", "adozioni", _ADO_COLUMNS),
+    _content_sql("adozioni", "snapshot", "adozioni", _ADO_COLUMNS, 2),
+    _content_sql("adozioni_res", "snapshot", "(SELECT * FROM adozioni WHERE a_a = 1997) r", _RES_COLUMNS),
+    _content_sql("tuttidocenti_res", "snapshot", f"({_DIR_AS_CONTACT}) d", CONTACT_COLUMNS),
+    _content_sql("tuttidocenti_res", "reset", f"({_DIR_AS_CONTACT}) d", CONTACT_COLUMNS),
+    _content_sql("msg", "reset", _MARKER, ["date", "message", "q"]),
+    _content_sql("adozioni", "again", "(SELECT * FROM adozioni WHERE a_a = 1996) r", _ADO_COLUMNS)]), A_CTE, D_CTE))
 def q_stored_tables(spark, sf_dir):
-    """K7 + K2 + K4 + K6: typed tables, filled in modes append and replace, copied, then reset to level adoptions."""
-    from cattedra.sources import store
-    root = _scratch(spark, "store")
-    paths = store.create_tables(spark, root, ("adozioni", "adozioni_res", "tuttidocenti_res", "msg"))
+    """K7 + K2 + K4 + K6: typed tables filled in modes append and replace, named as a snapshot, reset to level adoptions, filled
+    anew; all rows of each table as it is at an old version, at the snapshot and now."""
+    from cattedra.sources.versions import TableStore
+    store = TableStore(spark, _scratch(spark, "store"))
+    store.create(("adozioni", "adozioni_res", "tuttidocenti_res", "msg"))
     adoptions = td.adoptions(spark, sf_dir)
-    for _ in range(2):
-        store.save(adoptions, paths["adozioni"], "append", table="adozioni")
-    store.save(adoptions.where(F.col("a_a") == 1997), paths["adozioni_res"], "replace", table="adozioni_res")
-    store.save(dirs.directory_as_contacts(_directory(spark, sf_dir)), paths["tuttidocenti_res"], "replace",
-               table="tuttidocenti_res")
-    tables = {name: spark.read.parquet(path) for name, path in paths.items()}
-    copies, after = store.snapshot_and_reset(spark, "adoptions", tables, root, "19970101T000000")
-    count = lambda name, state, df: df.agg(F.lit(name).alias("name"), F.lit(state).alias("state"), F.count(F.lit(1)).alias("n"))
-    out = count("adozioni", "stored", tables["adozioni"])
-    for name in paths:
-        out = out.unionByName(count(name, "snapshot", spark.read.parquet(copies[name])))
-        out = out.unionByName(count(name, "reset", after[name]))
-    return out
+    first = store.save(adoptions, "adozioni", "append")
+    store.save(adoptions, "adozioni", "append")
+    store.commit({"adozioni_res": ("replace", adoptions.where(F.col("a_a") == 1997)),
+                  "tuttidocenti_res": ("replace", dirs.directory_as_contacts(_directory(spark, sf_dir)))})
+    store.snapshot_and_reset("19970101T000000", "adoptions")
+    reset = store.version()
+    store.save(adoptions.where(F.col("a_a") == 1996), "adozioni", "append")
+
+    def content(name, state, df):
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in df.columns]
+        rows = df.groupBy(F.md5(F.concat_ws("\x1f", *cells)).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+        return rows.select(F.lit(name).alias("name"), F.lit(state).alias("state"), "digest", "n")
+
+    out = content("adozioni", "first", store.read("adozioni", version=first))
+    for name in ("adozioni", "adozioni_res", "tuttidocenti_res", "msg"):
+        out = out.unionByName(content(name, "snapshot", store.read(name, snapshot="19970101T000000")))
+        out = out.unionByName(content(name, "reset", store.read(name, version=reset)))
+    return out.unionByName(content("adozioni", "again", store.read("adozioni")))
+
+
+_STEPS = [("uni_cod", ["NATION_1", "NATION_7", "NATION_12"]), ("materia_ssd_cod", ["ECONOMY", "PROMO"]), ("isbn", ["-"]),
+          ("a_a", [1997])]
+_STEP_SQL = ["uni_cod IN ('NATION_1', 'NATION_7', 'NATION_12')", "uni_cod IN ('NATION_1', 'NATION_7', 'NATION_12') AND "
+             "materia_ssd_cod IN ('ECONOMY', 'PROMO')", "false", "a_a = 1997"]
+
+
+@register("selection_log", O.with_ctes(" UNION ALL ".join(
+    f"SELECT {q} AS q, 'passo {q}' AS message, TIMESTAMP '2000-01-01 00:00:0{q}' AS date, count(*) AS n, "
+    f"CAST(coalesce(sum(laurea_matricole), 0) AS BIGINT) AS studenti FROM adozioni WHERE {cond}"
+    for q, cond in enumerate(_STEP_SQL)), A_CTE))
+def q_selection_log(spark, sf_dir):
+    """Q1 + W2 + T3: four steps, each by a session opened anew on the same root; the stored log with what each step left."""
+    from cattedra.plans.reports import SelectionSession
+    root, base, left = _scratch(spark, "selection"), td.adoptions(spark, sf_dir), None
+    for i, (column, keys) in enumerate(_STEPS):
+        session = SelectionSession(spark, base, root)
+        chosen = session.step(column, keys, f"passo {i}")
+        q = session.last().q
+        one = chosen.agg(F.lit(q).cast("long").alias("q"), F.count(F.lit(1)).alias("n"),
+                         F.coalesce(F.sum("laurea_matricole"), F.lit(0)).alias("studenti"))
+        left = one if left is None else left.unionByName(one)
+    return session.log().join(left, "q").select("q", "message", "date", "n", "studenti")
 
 
 @register("edit_chain", O.with_ctes(f"""

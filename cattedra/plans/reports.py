@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from typing import Any
 
@@ -15,61 +15,67 @@ from cattedra.operators import aggregates as agg
 from cattedra.operators import listings as lst
 from cattedra.operators import select as sel
 from cattedra.operators import setops
-from cattedra.schemas import LOG, conform
+from cattedra.schemas import LOG
 from cattedra.session import scratch_path
+from cattedra.sources.versions import TableStore
 
 
 # ----------------------------------------------------------------- Q1
-@dataclass
 class SelectionSession:
-    """Q1 progressive selection with a log (W2) and snapshot persistence.
+    """Q1 progressive selection with a log (W2), kept in a store that survives the driver.
 
-    Each step filters the active set (S9), writes the result as a new Parquet
-    snapshot under the shared checkpoint folder (never overwriting the table
-    being read), and appends a log row. An empty step empties the selection,
-    so the next step restarts from all adoptions.
+    The selection (``adozioni_res``) and the log (``msg``) are tables of a ``TableStore`` under ``root``. A step filters the
+    active set (S9) and switches to the new selection and the longer log at once; older selections stay readable by
+    their version. An empty step empties the selection, so the next step restarts from all adoptions. A session
+    opened on the same root goes on where the last one stopped.
     """
 
-    spark: SparkSession
-    base: DataFrame
-    root: str | None = None
-    selection: DataFrame | None = None
-    log_rows: list[tuple] = field(default_factory=list)
-    snapshots: list[str] = field(default_factory=list)
+    #: Log folders (one a step) from which on they are written as one.
+    LOG_FOLDERS = 64
 
-    def __post_init__(self):
-        if self.root is None:
-            self.root = scratch_path(self.spark, "selection")
+    def __init__(self, spark: SparkSession, base: DataFrame, root: str | None = None):
+        self.spark, self.base = spark, base
+        self.store = TableStore(spark, root or scratch_path(spark, "selection"))
+        if not self.store.version():
+            self.store.create(("adozioni_res", "msg"))
 
-    def _log(self, message: str, when: datetime | None = None) -> None:
-        q = len(self.log_rows)
-        # steps without a time follow the last one by a second each, so newest-first is the step order
-        last = self.log_rows[-1][0] if self.log_rows else datetime(2000, 1, 1)
-        self.log_rows.append((when or last + timedelta(seconds=1), message, q))
+    @property
+    def root(self) -> str:
+        return self.store.root
 
     def log(self) -> DataFrame:
-        return self.spark.createDataFrame(self.log_rows, LOG)
+        """The log as a table: date, message, q."""
+        return self.store.read("msg")
+
+    def feed(self) -> DataFrame:
+        """The log, newest first."""
+        return self.log().orderBy(F.col("date").desc(), F.col("q").desc())
+
+    def last(self):
+        """The newest row of the log (None before the first step)."""
+        return self.log().agg(F.max(F.struct("q", "date", "message")).alias("last")).first().last
+
+    def _entry(self, message: str, when: datetime | None) -> DataFrame:
+        last = self.last()
+        q = last.q + 1 if last else 0
+        # steps without a time follow the last one by a second, so newest-first is the step order
+        return self.spark.createDataFrame([(when or (last.date + timedelta(seconds=1) if last else datetime(2000, 1, 1)), message, q)], LOG)
 
     def step(self, column: str, keys: Sequence[Any] | DataFrame, message: str | None = None,
              when: datetime | None = None) -> DataFrame:
-        current = sel.active_set(self.base, self.selection)
-        result = conform(sel.select_by(current, column, keys), "adozioni_res")
-        path = f"{self.root}/step={len(self.snapshots)}"
-        result.write.mode("errorifexists").parquet(path)
-        self.snapshots.append(path)
-        snap = self.spark.read.parquet(path)
-        self.selection = None if snap.isEmpty() else snap
-        self._log(message or f"{column}: {list(keys) if not isinstance(keys, DataFrame) else 'keys'}", when)
-        return snap
+        text = message or f"{column}: {list(keys) if not isinstance(keys, DataFrame) else 'keys'}"
+        chosen = sel.select_by(self.active(), column, keys)
+        version = self.store.commit({"adozioni_res": ("replace", chosen), "msg": ("append", self._entry(text, when))})
+        if len(self.store.state()["tables"]["msg"]) > self.LOG_FOLDERS:
+            self.store.compact("msg")
+        return self.store.read("adozioni_res", version)
 
     def reset(self, when: datetime | None = None) -> None:
         """K6 (a): clear selection and log; the log restarts with q = 0."""
-        self.selection = None
-        self.log_rows = []
-        self._log("Parametri cancellati", when)
+        self.store.reset("selection", when)
 
     def active(self) -> DataFrame:
-        return sel.active_set(self.base, self.selection)
+        return sel.active_set(self.base, self.store.read("adozioni_res"))
 
 
 # ----------------------------------------------------------------- Q2

@@ -4,8 +4,9 @@ New CSV files in a landing folder are each taken once (file-source progress in
 the checkpoint), cleaned with the batch load's expressions (S1 cleaning), and
 de-duplicated within the micro-batch (A6, as one API load is de-duplicated in
 the reference; loads are never de-duplicated against each other). Every batch
-is written to its own ``epoch=<id>`` folder with overwrite, so a re-run batch
-after a failure replaces its own output: exactly-once.
+is written to a folder of its own, which becomes part of the table only when
+the store's pointer names it: readers never see half a batch, and a batch that
+is run again after a failure takes the place of its first run: exactly-once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cattedra.schemas import ADOPTIONS, ADOPTIONS_WIDE, all_string
 from cattedra.sources.files import CSV_DIALECT, clean_adoptions
+from cattedra.sources.versions import TableStore
+
+TABLE = "adozioni"
 
 
 def start_incremental_load(spark: SparkSession, landing_dir: str, sink_path: str, checkpoint: str,
@@ -33,8 +37,7 @@ def start_incremental_load(spark: SparkSession, landing_dir: str, sink_path: str
     stream = reader.csv(landing_dir)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        cleaned = clean_adoptions(batch).distinct()
-        cleaned.write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
+        TableStore(batch.sparkSession, sink_path).append_epoch(clean_adoptions(batch).distinct(), TABLE, checkpoint, epoch_id)
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
@@ -42,5 +45,5 @@ def start_incremental_load(spark: SparkSession, landing_dir: str, sink_path: str
 
 
 def read_loaded(spark: SparkSession, sink_path: str) -> DataFrame:
-    """All loaded adoptions (the epoch folder is bookkeeping, not data)."""
-    return spark.read.parquet(sink_path).drop("epoch")
+    """All loaded adoptions: the batches that the store's pointer names."""
+    return TableStore(spark, sink_path).read(TABLE)

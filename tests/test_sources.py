@@ -103,19 +103,22 @@ def test_write_pages_round_trip(spark, scratch):
     assert rows(paged.records(pages), "isbn") == rows(df, "isbn")
 
 
-def test_tables_snapshot_reset_create_tenants(spark, scratch):
-    made = store.create_tables(spark, os.path.join(scratch, "t"))
-    assert spark.read.parquet(made["adozioni"]).columns == ADOPTION_COLUMNS
+def test_save_modes_tenants_and_layouts(spark, scratch):
     df = conform(spark.createDataFrame([("U1",)], "uni_cod string"), "adozioni")
     store.save(df, os.path.join(scratch, "a"), "fail", table="adozioni")
     store.save(df, os.path.join(scratch, "a"), "append", table="adozioni")
     assert spark.read.parquet(os.path.join(scratch, "a")).count() == 2
     with pytest.raises(Exception):
         store.save(df, os.path.join(scratch, "a"), "fail")
-    snap = store.snapshot({"adozioni": df}, scratch, "20250101T000000")
-    assert spark.read.parquet(snap["adozioni"]).count() == 1
-    after = store.reset(spark, "selection", {"adozioni": df}, dt.datetime(2025, 1, 1))
-    assert after["adozioni_res"].count() == 0 and [r.q for r in after["msg"].collect()] == [0]
+    name = "saved_" + os.path.basename(scratch).replace("-", "_")
+    spark.conf.set("spark.sql.sources.default", "parquet")
+    spark.sql(f"CREATE DATABASE db_{name} LOCATION 'file://{scratch}/warehouse'")
+    for mode, n in (("fail", 1), ("append", 2), ("replace", 1)):
+        store.save_table(df.select("uni_cod"), f"db_{name}.t", mode, table="adozioni")
+        assert spark.table(f"db_{name}.t").count() == n and spark.table(f"db_{name}.t").columns == ADOPTION_COLUMNS
+    with pytest.raises(Exception):
+        store.save_table(df, f"db_{name}.t", "fail")
+    spark.sql(f"DROP DATABASE db_{name} CASCADE")
     ev = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "tenant_id long, v string")
     store.write_tenants(ev, os.path.join(scratch, "ten"))
     one = store.read_tenant(spark, os.path.join(scratch, "ten"), 1)
@@ -167,6 +170,25 @@ def test_incremental_load_each_file_once(spark, scratch):
     assert read_loaded(spark, sink).count() == 3
 
 
+def test_half_written_and_repeated_batches(spark, scratch):
+    """Readers see batches that the pointer names: not one whose write broke off, and one run twice once."""
+    from cattedra.sources.versions import TableStore
+    tables = TableStore(spark, f"{scratch}/s")
+    one = lambda u: conform(spark.createDataFrame([(u,)], "uni_cod string"), "adozioni")
+    tables.append_epoch(one("A"), "adozioni", "ckpt", 0)
+    tables.stage(one("lost"), "adozioni")  # the driver died before it committed
+    assert rows(read_loaded(spark, f"{scratch}/s"), "uni_cod") == [("A",)]
+    tables.append_epoch(one("B"), "adozioni", "ckpt", 1)
+    tables.append_epoch(one("B2"), "adozioni", "ckpt", 1)  # the same batch again
+    tables.append_epoch(one("C"), "adozioni", "other ckpt", 0)
+    assert rows(read_loaded(spark, f"{scratch}/s"), "uni_cod") == [("A",), ("B2",), ("C",)]
+    with pytest.raises(ValueError):
+        tables.append_epoch(one("A"), "adozioni", "ckpt", 0)
+    tables.compact("adozioni")
+    tables.append_epoch(one("B3"), "adozioni", "ckpt", 1)
+    assert rows(read_loaded(spark, f"{scratch}/s"), "uni_cod") == [("A",), ("B3",), ("C",)]
+
+
 def test_university_list_by_year(spark, scratch):
     write_text(scratch, "unis.json", json.dumps({"data": [{"uni_cod": "U1", "uni_nome": "Uno", "max": 2024},
                                                           {"uni_cod": "U2", "uni_nome": "Due", "max": 2021}]}) + "\n")
