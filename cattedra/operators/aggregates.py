@@ -69,8 +69,3 @@ def first_contact_per_pair(contacts: DataFrame, order_col: str = "record_id") ->
     an id come last); a missing isbn shows as 'Nessun saggio'. NULLs form one group."""
     first = keep_first(contacts, ["insegnamento_prof", "isbn"], [asc(order_col, nulls_last=True)])
     return first.withColumn("isbn", isbn_or_label("isbn"))
-
-
-def dedupe_rows(df: DataFrame) -> DataFrame:
-    """Full-row de-duplication."""
-    return df.distinct()

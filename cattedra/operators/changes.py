@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cattedra.operators.dedup import asc, desc, keep_first
 from cattedra.operators.numbering import with_global_index
 from cattedra.schemas import CONTACT_COLUMNS, MAILING_COLUMNS
+from cattedra.session import stored
 
 UPSERT_KEY = ["uni_cod", "prof_id"]
 # --- Fixed values: natural key of a contact for idempotent appends (D1). ---
@@ -59,6 +60,7 @@ def assign_ids(df: DataFrame, rows: DataFrame, key: str = "record_id") -> DataFr
     if key not in df.columns:
         return rows
     named = rows if key in rows.columns else rows.withColumn(key, F.lit(None).cast("bigint"))
+    named = stored(named, "new-rows")  # read several times below; ``rows`` may be a join
     top = max([x for f in (df, named) for x in [f.agg(F.max(key)).first()[0]] if x is not None], default=0)
     order = [F.col(c).asc_nulls_first() for c in named.columns if c != key]
     fresh = with_global_index(named.where(F.col(key).isNull()), order, "_place")

@@ -177,9 +177,3 @@ def newest_first(df: DataFrame, col: str = "date") -> DataFrame:
 def by_lecturer(df: DataFrame, col: str = "insegnamento_prof") -> DataFrame:
     """Sort by lecturer, NULL first (SQLite's order)."""
     return df.orderBy(F.col(col).asc_nulls_first())
-
-
-def upsert_order(df: DataFrame) -> DataFrame:
-    """T4: (uni_cod asc, prof_id asc, insegnamento_prof desc), NULLs first."""
-    return df.orderBy(F.col("uni_cod").asc_nulls_first(), F.col("prof_id").asc_nulls_first(),
-                      F.col("insegnamento_prof").desc_nulls_first())

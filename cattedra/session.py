@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every operator relies on. They are session-level and safe
 # to set on an existing session (no static conf among them).
@@ -87,6 +87,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/cattedra/{name}-{token}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh folder of the shared checkpoint folder and read it back: evaluated once, lineage cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
