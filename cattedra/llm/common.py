@@ -36,12 +36,26 @@ def lower_text(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
+#: Bytes of what a table is worked out from (as stored) for each of its files.
+BYTES_A_FILE = 16 << 20
+
+
+def bytes_read(df: DataFrame) -> int:
+    """Stored bytes of the tables that a plan reads. Rows that come from the driver have no known size and count as none."""
+    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
+    while leaves.hasNext():
+        size = int(str(leaves.next().stats().sizeInBytes()))
+        total += size if size < 1 << 62 else 0
+    return total
+
+
 def fewer_files(df: DataFrame) -> DataFrame:
-    """At most four tasks for each core, or an eighth of the shuffle partitions: for tables much smaller than the input,
-    whose many tiny files would cost more than they hold."""
+    """One task for each ``BYTES_A_FILE`` of the tables that ``df`` reads, so a task's work does not grow with the input, but four
+    for each core at least, or an eighth of the shuffle partitions: small inputs dealt over hundreds of partitions would
+    otherwise make many files that cost more than they hold."""
     spark = df.sparkSession
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, shuffled // 8))
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, shuffled // 8, bytes_read(df) // BYTES_A_FILE))
 
 
 def write_shared(df: DataFrame, name: str, partition_by: list[str] | None = None, few: bool = False) -> DataFrame:

@@ -373,6 +373,20 @@ def _score(level: WordLevel, train_docs: int, buckets: int, hot: int, shared):
     return run
 
 
+
+def _summed(table: DataFrame, column: str, n: int) -> list[int]:
+    """The sums of ``n`` numbers packed in each row of ``column``: one row a task, added up by Spark."""
+    def add(batches):
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                total += np.frombuffer(packed, np.int64, n)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"s{i}" for i in range(n)])
+
+    parts = table.select(column).mapInArrow(add, ", ".join(f"s{i} long" for i in range(n)))
+    return [int(x or 0) for x in parts.agg(*[F.sum(f"s{i}") for i in range(n)]).first()]
+
+
 _OUT = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -393,18 +407,17 @@ def train_and_score(df: DataFrame, learn: str, doc_id: str = "doc_id", text: str
     blocks = made.where("kind = 'block'")
     grouped = made.where("kind = 'words'").groupBy("bucket", F.lit(word_buckets).alias("n"))
     words = write_shared(grouped.applyInArrow(_add_words(hot), _SQL), "words", ["kind"], few=True)
-    # totals and the ids of hot words: a few numbers from each bucket
-    stats = words.where("kind = 'table'").select("c", "d").collect()
-    total = np.sum([np.frombuffer(r.c, np.int64) for r in stats], axis=0).tolist() if stats else [0] * (K + 3)
-    hot_ids = np.array([*(x for r in stats for x in np.frombuffer(r.d, np.uint64)), START], np.uint64)
+    stats = words.where("kind = 'table'")
+    total = _summed(stats, "c", K + 3)
+    hot_rows = stats.where("length(d) > 0").select("d").collect()  # at most N / HOT hot words
+    hot_ids = np.array([*(x for r in hot_rows for x in np.frombuffer(r.d, np.uint64)), START], np.uint64)
     level = WordLevel(total[K + 1], total[K + 2], total[:K + 1])
     to_block = words.where("kind = 'answer'").withColumn("kind", F.lit("answer-1"))
 
     sent = blocks.groupBy("block").cogroup(to_block.groupBy("block")).applyInArrow(_send_pairs(train_docs, buckets, hot), _SQL)
     pairs = write_shared(sent.groupBy("bucket").applyInArrow(_add_pairs(level), _SQL), "pairs", ["kind"], few=True)
     table = pairs.where("kind = 'table'")
-    ones = [np.frombuffer(r.e, np.int64) for r in table.select(F.substring("e", 1, 8 * (K + 1)).alias("e")).collect()]
-    d = discounts(np.sum(ones, axis=0).tolist() if ones else [0] * (K + 1))
+    d = discounts(_summed(table, "e", K + 1))
     by_count = [f"m{r}" for r in range(1, K + 1)]
     parts = table.select("a", "e").mapInArrow(_hot_contexts(hot_ids),
                                               f"context long, {', '.join(m + ' long' for m in by_count)}, mass double")

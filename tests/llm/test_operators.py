@@ -445,3 +445,93 @@ def test_products_beyond_a_long():
     assert block_topk.exact_product(q, v).tolist() == [[2 ** 63 - 1, 2 ** 62 - 2 ** 62], [3 * 2 ** 30 - 20, 2 ** 63 - 1]]
     sums = block_topk.exact_product(np.array([[2 ** 33, 2 ** 33]]), np.array([[2 ** 31, -(2 ** 31) + 1]]))
     assert sums.tolist() == [[2 ** 33]]
+
+
+def test_files_follow_the_input(spark, scratch, monkeypatch):
+    """Tables are written by more tasks the more their input holds; small ones by few."""
+    from cattedra.llm import common
+    spark.range(20_000).withColumn("x", F.rand(1)).repartition(200).write.parquet(f"{scratch}/t")
+    df = spark.read.parquet(f"{scratch}/t")
+    monkeypatch.setattr(common, "BYTES_A_FILE", 1 << 30)
+    least = 4 * spark.sparkContext.defaultParallelism
+    spread = df.repartition(400, "id")
+    assert common.fewer_files(spread).rdd.getNumPartitions() == least
+    monkeypatch.setattr(common, "BYTES_A_FILE", common.bytes_read(df) // 150)
+    assert 140 < common.fewer_files(spread).rdd.getNumPartitions() <= 152
+    assert common.bytes_read(spark.createDataFrame([(1,)], "a int")) < 1 << 20
+
+
+class PlainFtrl:
+    """FTRL-proximal by the formulas, one coordinate at a time."""
+
+    def __init__(self, alpha, beta, l1, l2):
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = defaultdict(float), defaultdict(float)
+
+    def weight(self, i):
+        l1, l2 = (0.0, 0.0) if i == "bias" else (self.l1, self.l2)
+        if abs(self.z[i]) <= l1:
+            return 0.0
+        sign = -1.0 if self.z[i] < 0 else 1.0
+        return -(self.z[i] - sign * l1) / ((self.beta + self.n[i] ** 0.5) / self.alpha + l2)
+
+    def learn(self, at, y):
+        at = [*at, "bias"]
+        w = {i: self.weight(i) for i in at}
+        g = 1 / (1 + 2.718281828459045 ** -sum(w.values())) - y
+        for i in at:
+            sigma = ((self.n[i] + g * g) ** 0.5 - self.n[i] ** 0.5) / self.alpha
+            self.z[i] += g - sigma * w[i]
+            self.n[i] += g * g
+
+
+def test_ftrl_against_plain_formulas():
+    rng = np.random.default_rng(8)
+    fast, slow = toxicity.Ftrl(alpha=0.7, beta=0.5, l1=0.3, l2=0.2), PlainFtrl(0.7, 0.5, 0.3, 0.2)
+    for _ in range(400):
+        at = np.sort(rng.choice(40, rng.integers(1, 9), replace=False))
+        y = int(rng.random() < (0.9 if 3 in at or 5 in at else 0.2))
+        fast.learn(at, y)
+        slow.learn(at.tolist(), y)
+    assert fast.bias() == pytest.approx(slow.weight("bias"))
+    got = fast.weights(np.arange(40))
+    assert got == pytest.approx([slow.weight(i) for i in range(40)])
+    assert (got == 0).any() and got[3] > 0.5 and got[5] > 0.5
+
+
+def test_toxicity_features_are_words_pairs_and_skips():
+    row, at = toxicity.features(["a b c d", "b", "", None, "a b"])
+    of = lambda i: set(at[row == i].tolist())
+    single, pair = of(1), of(4) - {*of(1)}
+    assert len(of(0)) == 4 + 3 + 2 and single <= of(0) and not of(2) and not of(3)
+    assert pair <= of(0) and len(pair) == 2  # the word a and the pair a b
+    assert of(0) & set(toxicity.features(["a x c"])[1].tolist()) == set(toxicity.features(["a"])[1].tolist()) | set(
+        toxicity.features(["c"])[1].tolist()) | (set(toxicity.features(["a y c"])[1].tolist()) & set(toxicity.features(["a x c"])[1].tolist()))
+
+
+def test_cube_moves_stay_in_the_null_space(monkeypatch):
+    """Every move of the flight keeps both totals and ends with a probability at 0 or 1; a plain flight in the same null space
+    has the same inclusion probabilities."""
+    rng = np.random.default_rng(4)
+    sizes, pi = np.exp(rng.normal(3, 1, 40)).round(), np.full(40, 0.35)
+
+    def plain_flight(seed):
+        x, r = pi.copy(), np.random.default_rng(seed)
+        while True:
+            open_ = np.flatnonzero((x > 1e-9) & (x < 1 - 1e-9))
+            if len(open_) < 3:
+                return x
+            u = np.linalg.svd(np.stack([np.ones(len(open_)), sizes[open_] / sizes.mean()]))[2][-1]
+            up = min(((1 - p) / d if d > 0 else -p / d) for p, d in zip(x[open_], u) if abs(d) > 1e-12)
+            down = min((p / d if d > 0 else (p - 1) / d) for p, d in zip(x[open_], u) if abs(d) > 1e-12)
+            x[open_] += (up if r.random() * (up + down) < down else -down) * u
+
+    mine, plain = [], []
+    for seed in range(250):
+        x = mixing.fly(sizes, pi, seed, land=False)
+        assert x.sum() == pytest.approx(pi.sum()) and (x * sizes).sum() == pytest.approx((pi * sizes).sum())
+        assert ((x > 0) & (x < 1)).sum() <= 2
+        mine.append(x)
+        plain.append(plain_flight(seed))
+    assert np.abs(np.mean(mine, axis=0) - 0.35).max() < 0.12 and np.abs(np.mean(plain, axis=0) - 0.35).max() < 0.12
+    assert abs(np.mean(mine) - np.mean(plain)) < 1e-9
