@@ -1,24 +1,26 @@
 """Exact top-k search by inner product over integer vectors, with block-at-a-time pruning.
 
-Vectors are ordered by the signs of a few fixed random projections, so that neighbours in the order are alike, and cut into
+Vectors are ordered by the nearest of a few centres (means of a bounded sample) and, around each, by the signs of fixed random
+projections of what they differ in, so that neighbours in the order are alike. They are cut into
 document ranges: a *range* of ``RANGE`` vectors is one stored row, its forward index is their components in blocks of
 ``BLOCK`` vectors, and every block carries the largest and the smallest component of each dimension ("term maxima" for
-positive and for negative query weights). A query's bound on a block is the sum over dimensions of its weight times the
-fitting extreme; no vector of the block can score more.
+positive and for negative query weights), its mean and the largest distance from it. A query's bound on a block is the sum over
+dimensions of its weight times the fitting extreme, or, if less, its product with the mean plus its norm times that distance;
+no vector of the block can score more.
 
 Queries come in chunks, each query with a floor: its k-th best score in a bounded sample of all vectors, which can only be
 too low. A chunk and a range meet once, in the cell of a grid of lanes (of ranges) and sides (of chunks); both grow with the
 square root of what they hold, so that the cells, which are the tasks, grow with the number of vectors, and copies of ranges
 and chunks only with its root. There a query takes the blocks in the order of their bounds and scores them
-through the forward index until the next bound falls below its k-th score so far (or the floor). Bounds are exact, so
-the result is exact; ties are never cut off.
+through the forward index until the next bound falls below its k-th score so far (or the floor), which a task carries from
+range to range. Bounds are exact or rounded up, so the result is exact; ties are never cut off.
 
 Components are floor(scale * x) with x as double, of any size: products go through doubles where these are exact, else
 through longs, else through Python's integers. Beyond a long they are cut to the largest or smallest one; an answer with
 such a score stops the search. *Wide* vectors, with components that need more than 32 bits, are stored as doubles, in
 ranges of their own. Vectors that are null, empty, or hold null or non-finite components take no part; nor do rows without
 an id. Vectors of another length than the query's are no candidates: each length is searched by itself. Zero vectors take
-part. Rows alike in id and vector are one row. An empty table gives an empty result. Extra columns are ignored.
+part. Every row is a candidate of its own, repeated ones too (see ``vectors``). An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cattedra.llm.common import ship, write_shared
-from cattedra.llm.vectors import FOUND, answers, best, by_length, classes_of, found_rows, matrix, valid_vectors
+from cattedra.llm.vectors import FOUND, answers, best, by_length, classes_of, found_rows, matrix, sample_of, valid_vectors
 
-RANGE, BLOCK, CHUNK, SAMPLE, CODE_BITS = 2048, 128, 256, 4096, 8
+RANGE, BLOCK, CHUNK, SAMPLE, CODE_BITS, CENTRES, HELD_CHUNKS = 2048, 64, 256, 4096, 8, 256, 512
 _MOST = (1 << 63) - 1
 
 
@@ -76,18 +78,59 @@ def exact_product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
+def centres_of(points: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """Means of groups of alike points, at most ``CENTRES``, one for each 16 points."""
+    points = points.astype(np.float64)
+    centres = points[np.unique(np.linspace(0, len(points) - 1, min(CENTRES, max(1, len(points) // 16))).astype(int))]
+    for _ in range(rounds):
+        near = nearest_centre(points, centres)
+        count = np.bincount(near, minlength=len(centres))
+        sums = np.zeros(centres.shape)
+        np.add.at(sums, near, points)
+        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+    return centres
+
+
+def nearest_centre(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(v @ centres.T - (centres * centres).sum(axis=1) / 2, axis=1)
+
+
+def place_codes(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Where vectors lie in the order: by centre, then by signs of projections of the rest; wide ones last."""
+    near = nearest_centre(v, centres)
+    planes = np.random.default_rng(0).normal(size=(v.shape[1], CODE_BITS))
+    signs = (((v - centres[near]) @ planes > 0) << np.arange(CODE_BITS)).sum(axis=1)
+    return (near << CODE_BITS) + signs + (np.abs(v).max(axis=1, initial=0) >= 2.0 ** 31) * (CENTRES << CODE_BITS)
+
+
 class RangeIndex:
-    """Forward index and extremes of one document range."""
+    """Forward index, extremes, means and distances of one document range. ``scored`` counts (query, block) pairs scored."""
 
     def __init__(self, reps: np.ndarray, v: np.ndarray):
-        self.reps, self.v = reps, v
+        self.reps, self.v, self.scored = reps, v, 0
         self.starts = np.arange(0, len(v), BLOCK)
         self.high = np.maximum.reduceat(v, self.starts, axis=0)
         self.low = np.minimum.reduceat(v, self.starts, axis=0)
+        if _top(v) < 1 << 31:  # beyond, doubles would round by more than the margin below
+            sizes = np.diff([*self.starts, len(v)])
+            self.means = np.add.reduceat(v.astype(np.float64), self.starts, axis=0) / sizes[:, None]
+            gaps = np.sqrt(((v - np.repeat(self.means, sizes, axis=0)) ** 2).sum(axis=1))
+            self.radii = np.maximum.reduceat(gaps, self.starts)
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """No vector of a block scores more with a query."""
+        bounds = exact_product(np.hstack([np.maximum(q, 0), np.minimum(q, 0)]), np.hstack([self.high, self.low]))
+        if _top(self.v) >= 1 << 31 or _top(q) >= 1 << 31:
+            return bounds
+        q = q.astype(np.float64)
+        norms = np.sqrt((q * q).sum(axis=1))[:, None]
+        margin = 1e-9 * norms * (np.sqrt((self.means ** 2).sum(axis=1)) + self.radii) + 1  # far above any rounding
+        ball = np.ceil(q @ self.means.T + norms * self.radii + margin)
+        return np.where(ball < 2.0 ** 62, np.minimum(bounds, np.minimum(ball, 2.0 ** 62).astype(np.int64)), bounds)
 
     def search(self, q: np.ndarray, floors: np.ndarray, keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ``keep`` best classes of each query here that reach its floor, with scores."""
-        bounds = exact_product(np.hstack([np.maximum(q, 0), np.minimum(q, 0)]), np.hstack([self.high, self.low]))
+        bounds = self.bounds(q)
         order = np.argsort(-bounds, axis=1, kind="stable")
         kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q]
         bar, open_ = floors.copy(), np.arange(len(q))
@@ -99,6 +142,7 @@ class RangeIndex:
                 break
             for b in np.unique(block):  # queries at the same block are scored together
                 own = open_[block == b]
+                self.scored += len(own)
                 at = slice(self.starts[b], self.starts[b] + BLOCK)
                 for i, row in zip(own, exact_product(q[own], self.v[at])):
                     fit = row >= bar[i]
@@ -131,17 +175,16 @@ def _search(rows: DataFrame, k: int, every: int, sample: int) -> DataFrame:
     spark, keep = rows.sparkSession, k + 1
     classes, members = classes_of(rows, keep, every)
     n = classes.count()
-    part = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "rep"), 11) < int(min(1.0, sample / max(1, n)) * (1 << 53))
-    points = integers(matrix(classes.where(part).select("v").toArrow().column("v")))  # bounded by ``sample``
+    points = integers(sample_of(classes, n, sample))  # bounded by ``sample``
     shared = spark.sparkContext.broadcast(points)
+    width = len(classes.first().v) if n else 0
+    centres = spark.sparkContext.broadcast(centres_of(points) if len(points) else np.zeros((1, width)))
 
     def coded(batches):
         for batch in batches:
-            v = matrix(batch.column(1))
-            planes = np.random.default_rng(0).normal(size=(v.shape[1], CODE_BITS))
-            code = ((v @ planes > 0) << np.arange(CODE_BITS)).sum(axis=1)
-            code = code + (np.abs(v).max(axis=1, initial=0) >= 2.0 ** 31) * (1 << CODE_BITS)  # wide ones come last
-            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), *batch.columns], names=["code", "rep", "v"])
+            if batch.num_rows:
+                code = place_codes(matrix(batch.column(1)), centres.value)
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), *batch.columns], names=["code", "rep", "v"])
 
     def packed(batches):
         reps, held, size = [], [], 0
@@ -186,16 +229,34 @@ def _search(rows: DataFrame, k: int, every: int, sample: int) -> DataFrame:
                                "side": F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))})
     asked = chunks.withColumns({"side": F.pmod(F.xxhash64("asks"), F.lit(sides)).cast("int"),
                                 "lane": F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))})
-    width = points.shape[1]
 
     def meet(batches):
+        state = {}  # chunk -> its queries, floors and best so far
+
+        def out():
+            for ask, q, bar, kept in state.values():
+                some = np.array([len(r) > 0 for r, _ in kept])
+                yield from found_rows(ask[some], [g for g in kept if len(g[0])]).to_batches()  # none if all is pruned
+            state.clear()
+
         for batch in batches:
             for reps, v, q, floors, asks in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, ask = np.frombuffer(reps, "<i8"), np.frombuffer(asks, "<i8")
-                index = RangeIndex(ids, unpacked_vectors(v, len(ids), width))
-                got = index.search(unpacked_vectors(q, len(ask), width), np.frombuffer(floors, "<i8"), keep)
-                some = np.array([len(r) > 0 for r, _ in got])
-                yield from found_rows(ask[some], [g for g in got if len(g[0])]).to_batches()  # none if all is pruned
+                if asks not in state:
+                    if len(state) == HELD_CHUNKS:
+                        yield from out()
+                    ask = np.frombuffer(asks, "<i8")
+                    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    state[asks] = (ask, unpacked_vectors(q, len(ask), width), np.frombuffer(floors, "<i8").copy(), [nothing] * len(ask))
+                ask, q, bar, kept = state[asks]
+                ids = np.frombuffer(reps, "<i8")
+                for i, (r, x) in enumerate(RangeIndex(ids, unpacked_vectors(v, len(ids), width)).search(q, bar, keep)):
+                    if len(r):
+                        r, x = np.concatenate([kept[i][0], r]), np.concatenate([kept[i][1], x])
+                        pick = best(r, x, keep)
+                        kept[i] = (r[pick], x[pick])
+                        if len(pick) == keep:
+                            bar[i] = max(bar[i], x[pick[-1]])
+        yield from out()
 
     pairs = held.join(asked, ["lane", "side"]).select("reps", "v", "q", "floors", "asks")
     found = answers(pairs.mapInArrow(meet, FOUND), classes, members, k, "long")

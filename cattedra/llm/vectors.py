@@ -1,8 +1,11 @@
 """Vector tables for the two searches: valid rows, classes of equal vectors, and answers for every query row.
 
+Every row is a candidate, also one of several rows alike in id, in vector or in both; a query's candidates are all rows
+but that very row. Each of several query rows alike gets its own, equal, list.
+
 Equal vectors have equal scores, and ties go to the smaller id, so of each class of equal vectors only its ``keep``
-smallest ids can ever be among the nearest ``keep - 1`` of a query (one is spare: the query's own). Searches run over
-classes; a vector that a third of all rows share is one class.
+smallest ids, repeats counted, can ever be among the nearest ``keep - 1`` of a query (one is spare: the query's own row).
+Searches run over classes; a vector that a third of all rows share is one class.
 """
 
 from __future__ import annotations
@@ -37,21 +40,32 @@ def by_length(rows: DataFrame, every: int) -> list[DataFrame]:
 
 
 def classes_of(rows: DataFrame, keep: int, every: int) -> tuple[DataFrame, DataFrame]:
-    """(classes, members of query ids): classes has rep (smallest id), ids (the ``keep`` smallest, ascending),
-    is_query and v; the second has query_id and rep. Both are stored."""
-    keyed = rows.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit("v"), "v"))
-    keyed = write_shared(keyed.groupBy("k1", "k2", "vec_id").agg(F.first("v").alias("v")), "vectors", few=True)
+    """(classes, query rows): classes has rep (its number: classes in the order of their smallest ids), ids (the ``keep``
+    smallest, ascending, repeats kept), is_query and v; the second has query_id and rep, one row a query row. Both are stored."""
+    hashed = rows.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit("v"), "v"))
+    keyed = write_shared(hashed.groupBy("k1", "k2", "vec_id").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies")),
+                         "vectors", few=True)
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))  # limited before the shuffle
-    small = keyed.select("k1", "k2", "vec_id", "v", nth.alias("nth")).where(F.col("nth") <= keep)
+    small = keyed.select("k1", "k2", "vec_id", "v", F.least("copies", F.lit(keep)).cast("int").alias("copies"), nth.alias("nth"))
     asks = keyed.groupBy("k1", "k2").agg(F.max(F.col("vec_id") % every == 0).alias("is_query"))
-    classes = small.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"),
-                                            F.first("v").alias("v")).join(asks, ["k1", "k2"])
-    classes = write_shared(classes.select("k1", "k2", "rep", "ids", "is_query", "v"), "classes", few=True)
-    members = keyed.where(F.col("vec_id") % every == 0).select("k1", "k2", F.col("vec_id").alias("query_id"))
-    members = write_shared(members.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("query_id", "rep"), "queries", few=True)
+    each = F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "copies"))), lambda x: F.array_repeat(x["vec_id"], x["copies"]))
+    classes = (small.where(F.col("nth") <= keep).groupBy("k1", "k2")
+               .agg(F.slice(F.flatten(each), 1, keep).alias("ids"), F.first("v").alias("v")).join(asks, ["k1", "k2"])
+               .withColumn("least", F.col("ids")[0]).repartitionByRange("least", "k1", "k2").sortWithinPartitions("least", "k1", "k2"))
+    # the number rises with the order, and the written table fixes it
+    classes = write_shared(classes.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), "ids", "is_query", "v"),
+                           "classes", few=True)
+    asking = hashed.where(F.col("vec_id") % every == 0).select("k1", "k2", F.col("vec_id").alias("query_id"))
+    members = write_shared(asking.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("query_id", "rep"), "queries", few=True)
     return classes.drop("k1", "k2"), members
 
 
+def sample_of(classes: DataFrame, n: int, sample: int) -> np.ndarray:
+    """About ``sample`` of the ``n`` classes' vectors, chosen by a hash of the vector: the same ones on every run."""
+    part = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "v"), 11) < int(min(1.0, sample / max(1, n)) * (1 << 53))
+    return matrix(classes.where(part).orderBy("rep").select("v").toArrow().column("v"))
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A list column of equal lengths as a matrix."""
     if isinstance(column, pa.ChunkedArray):
@@ -94,12 +108,14 @@ def answers(found: DataFrame, classes: DataFrame, members: DataFrame, k: int, ki
                          "score": pa.array(scores[at])})
 
     top = found.groupBy("query").applyInArrow(merge, f"query long, rep long, score {kind}")
-    ids = top.join(classes.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
+    ids = top.join(classes.select("rep", "ids"), "rep").select("query", "score", "rep", F.explode("ids").alias("vec_id"))
     # at most (k + 1) classes of k + 1 ids
     near = ids.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(
-        F.struct((-F.col("score")).alias("minus"), F.col("vec_id")))), 1, k + 1).alias("near"))
-    own = members.join(near, members["rep"] == near["query"])
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+        F.struct((-F.col("score")).alias("minus"), "vec_id", "rep"))), 1, k + 1).alias("near"))
+    own = members.join(near, members["rep"] == near["query"]).select("query_id", "query", "near")
+    mine = lambda x: (x["vec_id"] == F.col("query_id")) & (x["rep"] == F.col("query"))
+    at = F.array_position(F.transform("near", mine), True)  # the query's own row, once; 0: further down
+    others = F.slice(F.filter("near", lambda x, i: (at == 0) | (i + 1 != at)), 1, k)
     out = own.select("query_id", F.posexplode(others).alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"),
                       (-F.col("x.minus")).alias("score"))

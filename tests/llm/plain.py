@@ -99,12 +99,13 @@ class Katz:
 
 
 def nearest(rows, value, k=20, every=20):
-    """rows: (id, vector); per query id its k best (id, score), ties to the smaller id."""
+    """rows: (id, vector); per query id its k best (id, score) over all rows but that very one, ties to the smaller id
+    (query rows of one id and one vector have one list)."""
     ids = np.array([i for i, _ in rows])
     m = np.array([value(np.asarray(v, float)) for _, v in rows])
     out = {}
-    for i, v in zip(ids, m):
+    for at, (i, v) in enumerate(zip(ids, m)):
         if i % every == 0:
             s = m @ v
-            out[int(i)] = [(int(ids[j]), s[j]) for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
+            out[int(i)] = [(int(ids[j]), s[j]) for j in np.lexsort((ids, -s)) if j != at][:k]
     return out
