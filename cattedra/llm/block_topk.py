@@ -144,15 +144,16 @@ class RangeIndex:
                 own = open_[block == b]
                 self.scored += len(own)
                 at = slice(self.starts[b], self.starts[b] + BLOCK)
-                for i, row in zip(own, exact_product(q[own], self.v[at])):
-                    fit = row >= bar[i]
-                    if fit.any():
-                        reps = np.concatenate([kept[i][0], self.reps[at][fit]])
-                        scores = np.concatenate([kept[i][1], row[fit]])
-                        pick = best(reps, scores, keep)
-                        kept[i] = (reps[pick], scores[pick])
-                        if len(pick) == keep:
-                            bar[i] = max(bar[i], scores[pick[-1]])
+                scores = exact_product(q[own], self.v[at])
+                fits = scores >= bar[own][:, None]
+                for j in np.flatnonzero(fits.any(axis=1)):
+                    i, fit = own[j], fits[j]
+                    reps = np.concatenate([kept[i][0], self.reps[at][fit]])
+                    found = np.concatenate([kept[i][1], scores[j][fit]])
+                    pick = best(reps, found, keep)
+                    kept[i] = (reps[pick], found[pick])
+                    if len(pick) == keep:
+                        bar[i] = max(bar[i], found[pick[-1]])
         return kept
 
 
