@@ -11,7 +11,8 @@ says what follows (``''`` on the last).
 For a live service, ``PagedAdoptionsSource`` is a Python Data Source whose
 input partitions are the universities; each partition walks its own page
 chain, so fetching is spread over executors (the reference uses 5 threads in
-one process).
+one process). It can start where an earlier walk stopped and say where each
+record was found; ``streaming.paged_load`` loads what is new with that.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ PAGE_SCHEMA = T.StructType([
     T.StructField(PAGE_DATA_FIELD, T.ArrayType(WIDE_RECORD)),
     T.StructField(PAGE_NEXT_FIELD, T.StringType()),
 ])
+#: Where a record was found: its university, the page's place in this walk and url, records of the page up to this batch.
+TAGS = T.StructType([T.StructField("page_uni", T.StringType()), T.StructField("page_at", T.LongType()),
+                     T.StructField("page_url", T.StringType()), T.StructField("page_seen", T.LongType())])
 UNIVERSITY_SCHEMA = T.StructType([
     T.StructField("uni_cod", T.StringType()), T.StructField("uni_nome", T.StringType()),
     T.StructField("max", T.IntegerType()),
@@ -124,39 +128,50 @@ try:  # Python Data Source API (Spark 4)
 
         def partitions(self) -> Sequence[InputPartition]:
             unis = json.loads(self.options.get("universities", "[]"))
-            return [_UniPartition(u) for u in unis]
+            return [_UniPartition(u) for u in dict.fromkeys(unis)]
 
         def read(self, partition) -> Iterator[pa.RecordBatch]:
-            """One Arrow batch per page of the university's chain."""
+            """One Arrow batch per page of the university's chain, from its position on."""
             import urllib.parse
             import urllib.request
 
             base = self.options["url"]
             params = json.loads(self.options.get("params", "{}"))
             params["uni_cod"] = partition.uni
-            url = base + urllib.parse.urlencode(params)
-            names = [f.name for f in self.schema.fields]
+            first = base + urllib.parse.urlencode(params)
+            url, skip = json.loads(self.options.get("positions", "{}")).get(partition.uni) or (first, 0)
+            names, at = [f.name for f in self.schema.fields if f.name not in TAGS.names], 0
+            tagged = len(names) < len(self.schema.fields)
             while url:
                 with urllib.request.urlopen(url, timeout=float(self.options.get("timeout", "60"))) as r:
                     page = json.loads(r.read().decode("utf-8"))
                 rows = page.get(PAGE_DATA_FIELD) or []
-                if rows:
-                    columns = [[None if r.get(n) is None else str(r[n]) for r in rows] for n in names]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
+                if len(rows) < skip:
+                    raise BadPages(f"{url}: {len(rows)} records, {skip} were read before")
+                new = rows[skip:]
+                if new:
+                    columns = [pa.array([None if r.get(n) is None else str(r[n]) for r in new], pa.string()) for n in names]
+                    if tagged:
+                        columns += [pa.array([x] * len(new), t) for x, t in ((partition.uni, pa.string()), (at, pa.int64()),
+                                                                             (url, pa.string()), (len(rows), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names + TAGS.names * tagged)
                 if page.get(PAGE_NEXT_FIELD) is None:
                     raise BadPages(f"{url}: no end mark")
-                url = page[PAGE_NEXT_FIELD]
+                url, skip, at = page[PAGE_NEXT_FIELD], 0, at + 1
 
     class PagedAdoptionsSource(DataSource):
         """``spark.read.format('paged_adoptions').option('url', ...)
-        .option('universities', json list).option('params', json object)``."""
+        .option('universities', json list).option('params', json object)``.
+
+        ``positions`` (json object): university -> [url, records of that page to skip], where its walk starts; others start
+        at their first page. ``tagged`` (true): the columns of ``TAGS`` follow."""
 
         @classmethod
         def name(cls) -> str:
             return "paged_adoptions"
 
         def schema(self) -> T.StructType:
-            return WIDE_RECORD
+            return T.StructType(WIDE_RECORD.fields + TAGS.fields * (self.options.get("tagged") == "true"))
 
         def reader(self, schema: T.StructType) -> DataSourceReader:
             return _PagedReader(self.options, schema)

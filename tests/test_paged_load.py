@@ -1,0 +1,85 @@
+"""S5/S6 by increments: chains are files reached through file:// urls (no server)."""
+
+import json
+
+import pytest
+
+from cattedra.sources.versions import TableStore
+from cattedra.streaming import paged_load
+
+
+class Service:
+    """Pages of each university, page n linked to n + 1."""
+
+    def __init__(self, folder):
+        self.folder, self.url = folder, f"file://{folder}/p_"
+
+    def put(self, uni, *pages, end=""):
+        for n, isbns in enumerate(pages):
+            name = f"p_uni_cod={uni}" if n == 0 else f"{uni}_{n}"
+            data = [{"uni_cod": uni, "a_a": "2024", "isbn": str(i), "laurea_iscritti": ""} for i in isbns]
+            with open(f"{self.folder}/{name}", "w") as f:
+                json.dump({"data": data, "next_page_url": f"file://{self.folder}/{uni}_{n + 1}" if n + 1 < len(pages) else end}, f)
+
+
+def loaded(spark, root):
+    return sorted((r.uni_cod, int(r.isbn)) for r in TableStore(spark, root).read("adozioni").collect())
+
+
+def at(spark, root):
+    return {r.uni_cod: (r.page_url.rsplit("/", 1)[1], r.seen) for r in paged_load.positions(TableStore(spark, root)).collect()}
+
+
+def test_runs_go_on_where_the_last_one_stopped(spark, scratch):
+    service, root = Service(scratch), f"{scratch}/store"
+    run = lambda *unis: paged_load.load_new_pages(TableStore(spark, root), service.url, unis or ["A", "B", "C", "B"])
+    service.put("A", [1, 2], [3])
+    service.put("B", [7, 7])
+    service.put("C", [])
+    first = run()
+    assert loaded(spark, root) == [("A", 1), ("A", 2), ("A", 3), ("B", 7)]
+    assert at(spark, root) == {"A": ("A_1", 1), "B": ("p_uni_cod=B", 2)}
+    assert run() == first  # nothing new: no version
+    # the last page grows, a page follows, another university gets its first records; A's first page is never read again
+    service.put("A", [1, 2], [3, 4], [5], [])
+    (open(f"{scratch}/p_uni_cod=A", "w")).close()
+    service.put("C", [9])
+    assert run() == first + 1
+    assert loaded(spark, root) == [("A", 1), ("A", 2), ("A", 3), ("A", 4), ("A", 5), ("B", 7), ("C", 9)]
+    assert at(spark, root) == {"A": ("A_2", 1), "B": ("p_uni_cod=B", 2), "C": ("p_uni_cod=C", 1)}
+    service.put("D", [11], [12])
+    run("D")  # the others keep their positions
+    assert loaded(spark, root)[-2:] == [("D", 11), ("D", 12)] and len(at(spark, root)) == 4
+    assert TableStore(spark, root).read("adozioni", version=first).count() == 4
+
+
+def test_a_failed_run_loads_nothing(spark, scratch):
+    service, root = Service(scratch), f"{scratch}/store"
+    service.put("A", [1], [2])
+    service.put("B", [3], end=None)
+    with pytest.raises(Exception, match="no end mark"):
+        paged_load.load_new_pages(TableStore(spark, root), service.url, ["A", "B"])
+    assert TableStore(spark, root).version() == 0
+    paged_load.load_new_pages(TableStore(spark, root), service.url, ["A"])
+    service.put("A", [1], [])
+    with pytest.raises(Exception, match="were read before"):
+        paged_load.load_new_pages(TableStore(spark, root), service.url, ["A"])
+    assert loaded(spark, root) == [("A", 1), ("A", 2)]
+
+
+def test_two_runs_at_once_load_a_record_once(spark, scratch, monkeypatch):
+    service, root = Service(scratch), f"{scratch}/store"
+    service.put("A", [1], [2])
+    stage, other = TableStore.stage, []
+
+    def slow(store, df, name):
+        done = stage(store, df, name)
+        if name == "page_batch" and not other:  # another run finishes while this one has its pages in hand
+            other.append(1)
+            paged_load.load_new_pages(TableStore(spark, root), service.url, ["A"])
+            service.put("A", [1], [2], [3])
+        return done
+
+    monkeypatch.setattr(TableStore, "stage", slow)
+    paged_load.load_new_pages(TableStore(spark, root), service.url, ["A"])
+    assert loaded(spark, root) == [("A", 1), ("A", 2), ("A", 3)] and at(spark, root) == {"A": ("A_2", 1)}
