@@ -2,8 +2,10 @@
 
 A rule is (verdict, host, path). It fits its host and all subdomains when the url's path starts with the rule's
 path. Among all that fit, the longest rule wins (host plus path, then host); a url that no rule fits gets the default
-verdict. The trie holds the rules only, at most ``MAX_RULES``, and is broadcast; urls are judged in Arrow batches
-without any shuffle.
+verdict; of rules for one host and path, block wins. The trie holds the rules only, at most ``MAX_RULES``, and is broadcast;
+urls are judged in Arrow batches without any shuffle. More rules, or rules in a table, are joined instead, with the same
+result: distinct (host, path) pairs meet the rules by host suffix and path prefix, at most once for each length that the
+host's rules have; nothing is broadcast by hint.
 
 A null url, or one without ``://``, has an empty host and path and gets the default verdict. Columns of the input
 named host, path, rule or verdict are replaced. Empty tables and repeated rows need no care.
@@ -14,10 +16,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cattedra.llm.common import ASCII_LOWER, no_clash, ship
+from cattedra.llm.common import ASCII_LOWER, LOWER, UPPER, no_clash, ship
 
 #: Bound of the broadcast: about 200 bytes a rule.
 MAX_RULES = 500_000
@@ -97,9 +99,49 @@ def judge_url(root: HostNode, host: str, path: str) -> tuple[str, str] | None:
     return found
 
 
-def judge(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
+def _url_parts(url: Column) -> tuple[Column, Column]:
+    """``parse_url`` in Spark functions."""
+    url = F.coalesce(url, F.lit(""))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise("")
+    host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
+    path = F.regexp_extract(F.substr(rest, F.char_length(host) + 1), r"^([^?#]*)", 1)
+    return F.translate(host, UPPER, LOWER), path
+
+
+def judge_by_join(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+    """``judge`` with the rules (verdict, host, path) as a table of any size. Rules with a null take no part."""
+    base = no_clash(df, "host", "path", "rule", "verdict")
+    host, path = _url_parts(F.col(url))
+    urls = base.withColumns({"host": host, "path": path})
+    rules = (rules.dropna(subset=["verdict", "host", "path"]).groupBy("host", "path").agg(F.max("verdict").alias("__verdict"))
+             .withColumn("__length", F.char_length("path")))
+    # as many lengths a host as its longest rule has characters, at most
+    lengths = rules.groupBy(F.col("host").alias("__suffix")).agg(F.collect_set("__length").alias("__lengths"))
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
+    ends = F.array_distinct(F.concat(F.array(F.lit("")), ends))
+    pairs = urls.select("host", "path").distinct()
+    met = pairs.select("*", F.explode(ends).alias("__suffix")).join(lengths, "__suffix")
+    met = met.select("host", "path", "__suffix", F.explode("__lengths").alias("__length")).where(F.col("__length") <= F.char_length("path"))
+    met = met.withColumn("__prefix", F.substr("path", F.lit(1), F.col("__length")))
+    rules = rules.select(F.col("host").alias("__suffix"), F.col("path").alias("__prefix"), "__verdict")
+    text = F.concat("__suffix", "__prefix")
+    best = met.join(rules, ["__suffix", "__prefix"]).groupBy("host", "path").agg(
+        F.max_by(F.struct(text.alias("rule"), F.col("__verdict").alias("verdict")),
+                 F.struct(F.char_length(text), F.char_length("__suffix"))).alias("__hit"))
+    out = urls.join(best, ["host", "path"], "left")
+    return out.select(*base.columns, "host", "path", F.col("__hit.rule").alias("rule"),
+                      F.coalesce("__hit.verdict", F.lit(default)).alias("verdict"))
+
+
+def judge(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Append host, path, rule (null if none fits) and verdict."""
     spark = df.sparkSession
+    if isinstance(rules, DataFrame):
+        return judge_by_join(df, rules, url, default)
+    if len(rules) > MAX_RULES:
+        return judge_by_join(df, spark.createDataFrame(rules, "verdict string, host string, path string"), url, default)
     ship(spark)
     trie = spark.sparkContext.broadcast(build_trie(rules))
 

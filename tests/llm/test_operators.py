@@ -290,6 +290,25 @@ def test_url_filter_frame(spark):
     assert url_filter.judge_url(partial, "x.org", "/all/y")[1] == "/all"
 
 
+def test_rules_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("ab/") for _ in range(rng.randint(0, n)))
+    hosts = ["com", "x.com", "y.x.com", "", "é.com", "x..com", "x.", "com."]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(["", "/"]) + some(5)) for _ in range(400)]
+    urls = [f"{rng.choice(['http', ''])}://{rng.choice(hosts + ['Q.X.com', 'q.org'])}/{some(8)}{rng.choice(['', '?a', '#/b'])}" for _ in range(600)]
+    urls += [None, "", "no scheme", "a://", "a://b://c.com/", "http://x.com/" + "ab/" * 30_000, "http://x.com/a\nb/a", "http://com?x", urls[0]]
+    frame = spark.createDataFrame([(i // 2, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, rule string").repartition(3)
+    cols = ("page_id", "url", "host", "path", "rule", "verdict")
+    want = url_filter.judge(frame, rules, default="none")
+    monkeypatch.setattr(url_filter, "MAX_RULES", 10)
+    got = url_filter.judge(frame, rules, default="none")
+    assert got.columns == want.columns == list(cols)
+    monkeypatch.undo()
+    assert by_row(got.collect(), *cols) == by_row(want.collect(), *cols)
+    none = spark.createDataFrame([], "verdict string, host string, path string")
+    assert {(r.rule, r.verdict) for r in url_filter.judge(frame, none).collect()} == {(None, "allow")}
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     sizes = [len(plain.WORD.findall(t or "")) for _, t, *_ in ROWS]
