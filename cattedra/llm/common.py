@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -58,10 +59,37 @@ def fewer_files(df: DataFrame) -> DataFrame:
     return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, shuffled // 8, bytes_read(df) // BYTES_A_FILE))
 
 
+#: Open ``temporary`` blocks, innermost last: what each may delete.
+_blocks: list[list[tuple[str, str]]] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder, which the innermost ``temporary`` block deletes."""
+    path = scratch_path(spark, name)
+    if _blocks:
+        _blocks[-1].append((name, path))
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession, keep: str | None = None) -> Iterator[None]:
+    """Delete the folders that operators write inside this block when it ends, also by an error, but for those called ``keep``
+    (they go to the block around, if any). Frames read from the others must not be used after it: write what is to stay."""
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for name, path in _blocks.pop():
+            if name != keep:
+                remove_shared(spark, path)
+            elif _blocks:
+                _blocks[-1].append((name, path))
+
+
 def write_shared(df: DataFrame, name: str, partition_by: list[str] | None = None, few: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` to a fresh folder under the shared checkpoint folder and read it back.
     ``few``: see ``fewer_files``."""
-    path = scratch_path(df.sparkSession, name)
+    path = shared_folder(df.sparkSession, name)
     writer = (fewer_files(df) if few else df).write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

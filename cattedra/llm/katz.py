@@ -16,9 +16,13 @@ spread over several buckets by the second word; its sums, one row per bucket, ar
 contexts are that hot, so their table may be broadcast. Blocks then score their tokens, recursively: pair if seen, else
 backoff weight and word.
 
+Words are named by their 64-bit XXH64. Two words of one hash would count as one word: among V distinct words some such pair
+is there with a probability of about V^2 / 2^65 (3 in 10,000 for 100 million words, 3 in 100 for a billion).
+
 Texts: null is empty; every text has one end token. Rows whose ``learn`` is null or false are scored only. Repeated
 rows count as often as they occur. With no training row every probability falls to the unknown word, which then has
 all mass. An empty table gives an empty result. Extra columns are ignored.
+Ids (doc_id) are whole numbers within a long, or texts of such; any other id stops the query.
 """
 
 from __future__ import annotations

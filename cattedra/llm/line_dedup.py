@@ -21,8 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cattedra.llm.common import BLANKS, ascii_lower, fewer_files, no_clash, remove_shared, write_shared
-from cattedra.session import scratch_path
+from cattedra.llm.common import BLANKS, ascii_lower, fewer_files, no_clash, remove_shared, shared_folder, write_shared
 
 _RUN = "h1 long, h2 long, n_docs long"
 
@@ -46,7 +45,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, min_key: int = 1, fanout: int = 2):
         self.spark, self.min_docs, self.min_key, self.fanout = spark, min_docs, min_key, fanout
-        self.folder = scratch_path(spark, "line-runs")
+        self.folder = shared_folder(spark, "line-runs")
         self.levels: list[list[str]] = []
         self.made = 0
 

@@ -22,6 +22,7 @@ rows is just many chunks.
 All randomness comes from hashes of id and text, so reruns agree. Null texts have size 0; null sources are one source, in
 the last place. A source without words has target 0, and its documents are not taken. Repeated rows are units of their
 own. An empty table gives an empty result. Extra columns are ignored by ``mix``.
+Ids (doc_id) are whole numbers within a long, or texts of such; any other id stops the query.
 """
 
 from __future__ import annotations

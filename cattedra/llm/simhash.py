@@ -16,6 +16,7 @@ min-label rounds with pointer jumping; each round is a written table. Nothing is
 Texts without words have fingerprint zero and link like any other. Null ids have their class but never name a component
 (a component of null ids only has a null id). Repeated rows stay. An empty table gives an empty result. Extra columns
 stay; those named fingerprint or component_id are replaced.
+Ids (doc_id) are whole numbers within a long, or texts of such; any other id stops the query.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ hold requested documents, and check each frame's checksum.
 
 A null or empty text holds just the end id. Repeated rows and repeated ids are kept, ties in the order of the text's
 hash. An empty table gives no file and no rows. Extra columns are ignored.
+Ids (doc_id) are whole numbers within a long, or texts of such; any other id stops the query.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ but that very row. Each of several query rows alike gets its own, equal, list.
 Equal vectors have equal scores, and ties go to the smaller id, so of each class of equal vectors only its ``keep``
 smallest ids, repeats counted, can ever be among the nearest ``keep - 1`` of a query (one is spare: the query's own row).
 Searches run over classes; a vector that a third of all rows share is one class.
+Ids (vec_id) are whole numbers within a long, or texts of such; any other id stops the query.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@ clashing extra columns, and on an empty table."""
 
 import hashlib
 import io
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -603,3 +604,28 @@ def test_cube_moves_stay_in_the_null_space(monkeypatch):
         plain.append(plain_flight(seed))
     assert np.abs(np.mean(mine, axis=0) - 0.35).max() < 0.12 and np.abs(np.mean(plain, axis=0) - 0.35).max() < 0.12
     assert abs(np.mean(mine) - np.mean(plain)) < 1e-9
+
+
+def test_folders_of_a_block_are_deleted_but_the_kept(spark):
+    from cattedra.llm import common
+    made = []
+    write = lambda name: made.append(common.write_shared(spark.range(3), name)) or made[-1]
+    there = lambda df: os.path.exists(df.inputFiles()[0].removeprefix("file:").replace("//", "/"))
+    with pytest.raises(ZeroDivisionError), common.temporary(spark):
+        inner = write("lost")
+        with common.temporary(spark, keep="stays"):
+            write("lost")
+            kept = write("stays")
+        assert there(kept) and kept.count() == 3 and not there(made[1]) and there(inner)
+        1 / 0
+    assert not there(kept) and not there(inner) and not common._blocks
+    assert there(write("free"))
+
+
+@pytest.mark.parametrize("run", [lambda df: simhash.near_duplicates(df), lambda df: mixing.mix(df.withColumn("source", F.lit("s"))),
+                                 lambda df: katz.train_and_score(df.withColumn("learn", F.lit(True)), "learn")])
+def test_ids_as_texts_and_ids_that_are_no_numbers(spark, run):
+    some = lambda *ids: spark.createDataFrame([(i, f"words of {i} here") for i in ids], "doc_id string, text string")
+    assert {r.doc_id for r in run(some("3", "12")).collect()} == {3, 12}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        run(some("3", "x1")).collect()
