@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cattedra.llm import bpe, line_dedup, mixing, simhash, toxicity
-from cattedra.llm.common import write_shared
+from cattedra.llm.common import temporary, write_shared
 from cattedra.llm.queries import bpe_digests
 
 
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary(spark, keep=f"pipeline-{name}"):  # what a stage wrote on the way goes, its rows stay
+            docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
