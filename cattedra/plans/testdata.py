@@ -65,23 +65,29 @@ def _course_id():
     return F.col("l_orderkey") * 8 + F.col("l_linenumber")
 
 
-def adoptions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lazy 6-way join behind the adoption table."""
+def _adoption_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lazy 6-way join behind the adoption table, in the columns of its sources. Orders meet their customers before the
+    line items, so fewer rows are shuffled."""
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     p = table(spark, sf_dir, "part")
     s = table(spark, sf_dir, "supplier")
-    joined = (li.join(o, li.l_orderkey == o.o_orderkey)
-              .join(c, o.o_custkey == c.c_custkey)
-              .join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    orders = o.join(c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey), o.o_custkey == c.c_custkey)
+    joined = (li.join(orders, li.l_orderkey == o.o_orderkey)
               .join(p, li.l_partkey == p.p_partkey)
               .join(s, li.l_suppkey == s.s_suppkey))
+    return joined.select("n_name", F.year("o_orderdate").cast("int").alias("o_year"), "c_mktsegment", "o_orderstatus",
+                         "l_returnflag", "o_orderpriority", "p_type", "p_size", "l_linenumber", "l_linestatus", "p_name",
+                         "s_name", "l_suppkey", "l_partkey", "p_brand", "l_discount", "l_quantity", "l_orderkey")
+
+
+def _adoption_columns() -> dict:
     qty = F.col("l_quantity").cast("bigint")
-    cols = {
+    return {
         "uni_cod": F.col("n_name"),
-        "a_a": F.year("o_orderdate").cast("int"),
+        "a_a": F.col("o_year"),
         "laurea_nome": F.col("c_mktsegment"),
         "laurea_tipo": F.col("o_orderstatus"),
         "laurea_classe_cod": F.col("l_returnflag"),
@@ -108,7 +114,12 @@ def adoptions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "prof_id": F.col("l_suppkey"),
         "insegnamento_id": _course_id(),
     }
-    return joined.select(*[cols[c].alias(c) for c in ADOPTION_COLUMNS])
+
+
+def adoptions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adoption table, not landed."""
+    cols = _adoption_columns()
+    return _adoption_rows(spark, sf_dir).select(*[cols[c].alias(c) for c in ADOPTION_COLUMNS])
 
 
 def directory_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -141,19 +152,21 @@ def directory_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "curricula": curricula, "lauree": lauree}
 
 
-def contacts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contacts and sample copies (``docenti_router``), one per line item.
-
-    ``record_id`` plays the role of the reference's rowid. Returned items have
-    no sample copy (NULL isbn)."""
+def _contact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lazy join behind the contact table, in the columns of its sources."""
     li = table(spark, sf_dir, "lineitem")
     p = table(spark, sf_dir, "part")
     s = table(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation")
     joined = (li.join(p, li.l_partkey == p.p_partkey)
-              .join(s, li.l_suppkey == s.s_suppkey)
-              .join(F.broadcast(n), s.s_nationkey == n.n_nationkey))
-    cols = {
+              .join(s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey), li.l_suppkey == s.s_suppkey))
+    return joined.select("n_name", "l_returnflag", "p_type", "p_name", "s_name", "l_suppkey", "l_orderkey", "l_linenumber",
+                         "l_linestatus", "l_partkey", "l_shipdate")
+
+
+def _contact_columns() -> dict:
+    return {
+        "record_id": _course_id(),
         "uni_cod": F.col("n_name"),
         "facolta": F.col("l_returnflag"),
         "materia_ssd_cod": F.col("p_type"),
@@ -172,8 +185,15 @@ def contacts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "titolo": F.col("p_name"),
         "data": F.to_date("l_shipdate").cast("string"),
     }
-    record_id = _course_id().alias("record_id")
-    return joined.select(record_id, *[cols[c].alias(c) for c in CONTACT_COLUMNS])
+
+
+def contacts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts and sample copies (``docenti_router``), one per line item.
+
+    ``record_id`` plays the role of the reference's rowid. Returned items have
+    no sample copy (NULL isbn)."""
+    cols = _contact_columns()
+    return _contact_rows(spark, sf_dir).select(*[cols[c].alias(c) for c in ["record_id", *CONTACT_COLUMNS]])
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,15 +260,21 @@ _LANDED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _land(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list[str] | None = None,
-          sort_by: list[str] | None = None) -> DataFrame:
+          sort_by: list[str] | None = None, cols: dict | None = None) -> DataFrame:
+    """``cols``: the table's columns out of what ``build`` returns, worked out after the rows have been dealt and sorted:
+    the columns of the sources are fewer and narrower."""
     from cattedra.session import scratch_path
     key = (_session_key(spark), sf_dir.rstrip("/"), name)
     if key not in _LANDED:
         df = build(spark, sf_dir)
-        columns = df.columns
+        cols = cols or {c: F.col(c) for c in df.columns}
+        columns = list(cols)
         if sort_by:
-            order = [*(partition_by or []), *sort_by]
-            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+            order = {c: f"_{c}" for c in [*(partition_by or []), *sort_by]}  # worked out once, not at every comparison
+            df = df.select("*", *[cols[c].alias(k) for c, k in order.items()])
+            df = df.repartitionByRange(*order.values()).sortWithinPartitions(*order.values())
+            cols = cols | {c: F.col(k) for c, k in order.items()}
+        df = df.select(*[cols[c].alias(c) for c in columns])
         path = scratch_path(spark, f"landed-{name}")
         writer = df.write.mode("errorifexists")
         if partition_by:
@@ -271,12 +297,15 @@ def refresh(sf_dir: str) -> None:
 
 def adoptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The adoption table (``adozioni``), landed once per session."""
-    return _land(spark, sf_dir, "adozioni", adoptions_view, ["a_a"], ["uni_cod", "isbn"])
+    cols = _adoption_columns()
+    return _land(spark, sf_dir, "adozioni", _adoption_rows, ["a_a"], ["uni_cod", "isbn"], {c: cols[c] for c in ADOPTION_COLUMNS})
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contact table (``docenti_router``), landed once per session."""
-    return _land(spark, sf_dir, "docenti_router", contacts_view, None, ["insegnamento_prof", "isbn"])
+    cols = _contact_columns()
+    return _land(spark, sf_dir, "docenti_router", _contact_rows, None, ["insegnamento_prof", "isbn"],
+                 {c: cols[c] for c in ["record_id", *CONTACT_COLUMNS]})
 
 
 def directory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,14 @@ def test_buckets_follow_the_input(spark, scratch, sizes):
     store.write_bucketed(spark.range(1000).withColumn("k", F.col("id") % 500), name, "k", path=f"{scratch}/b")
     assert f"Num Buckets" in (text := str(spark.sql(f"describe extended {name}").collect())) and "'30'" in text
     spark.sql(f"DROP TABLE {name}")
+
+
+@smoke
+def test_landing_deals_the_source_columns(spark):
+    """The rows that are dealt and sorted have fewer columns than the table, which has several of them twice."""
+    for rows, view, columns in ((testdata._adoption_rows, testdata.adoptions_view, ADOPTION_COLUMNS),
+                                (testdata._contact_rows, testdata.contacts_view, ["record_id", *CONTACT_COLUMNS])):
+        assert len(rows(spark, SMOKE).columns) < len(columns) and view(spark, SMOKE).columns == columns
+    landed, view = testdata.adoptions(spark, SMOKE), testdata.adoptions_view(spark, SMOKE)
+    assert landed.schema.simpleString() == view.schema.simpleString()
+    assert landed.exceptAll(view).isEmpty() and view.exceptAll(landed).isEmpty()
