@@ -64,3 +64,17 @@ def test_landing_deals_the_source_columns(spark):
     landed, view = testdata.adoptions(spark, SMOKE), testdata.adoptions_view(spark, SMOKE)
     assert landed.schema.simpleString() == view.schema.simpleString()
     assert landed.exceptAll(view).isEmpty() and view.exceptAll(landed).isEmpty()
+
+
+def test_pages_are_full_and_compressed(spark, scratch):
+    """Rows of three universities (one without a code) in several tasks: all pages but a chain's last are full."""
+    n = F.col("id")
+    df = conform(spark.range(0, 3500, 1, 5).select(F.when(n % 7 == 0, None).when(n % 2 == 0, "U1").otherwise("U2").alias("uni_cod"),
+                                                   n.cast("string").alias("isbn")), "adozioni")
+    testdata.write_pages(df, f"{scratch}/pages", page_size=400)
+    assert not glob.glob(f"{scratch}/pages/*.json") and glob.glob(f"{scratch}/pages/*.json.gz")
+    pages = paged.read_pages(spark, f"{scratch}/pages", one_per_line=True)
+    assert sorted((r.page_url, r.next_page_url, len(r.data)) for r in paged.checked_pages(pages).collect()) == sorted(
+        (f"pages/{u}/{p}", f"pages/{u}/{p + 1}" if p < last else "", 400 if p < last else rest)
+        for u, last, rest in (("", 1, 100), ("U1", 3, 300), ("U2", 3, 300)) for p in range(last + 1))
+    assert sorted(int(r.isbn) for r in paged.records(pages).collect()) == list(range(3500))
