@@ -66,6 +66,16 @@ def test_landing_deals_the_source_columns(spark):
     assert landed.exceptAll(view).isEmpty() and view.exceptAll(landed).isEmpty()
 
 
+def test_csv_files_are_cut(spark, scratch):
+    df = spark.range(0, 250, 1, 1).select(F.concat(F.lit("a\n"), "id").alias("a"))
+    store.export_csv(df, f"{scratch}/cut", file_rows=100)
+    assert len(glob.glob(f"{scratch}/cut/*.csv")) == 3
+    assert files.read_csv(spark, f"{scratch}/cut").exceptAll(df).isEmpty() and files.read_csv(spark, f"{scratch}/cut").count() == 250
+    store.export_csv(df, f"{scratch}/whole", file_rows=None)
+    store.export_csv(df, f"{scratch}/single", single_file=True, file_rows=100)
+    assert [len(glob.glob(f"{scratch}/{x}/*.csv")) for x in ("whole", "single")] == [1, 1]
+
+
 def test_pages_are_full_and_compressed(spark, scratch):
     """Rows of three universities (one without a code) in several tasks: all pages but a chain's last are full."""
     n = F.col("id")
