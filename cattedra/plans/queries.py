@@ -918,10 +918,12 @@ def q_incremental_load_stream(spark, sf_dir):
     landing = _scratch(spark, "landing")
     sink, ckpt = _scratch(spark, "loaded"), _scratch(spark, "load-ckpt")
     dirty = td.dirty_adoptions(spark, sf_dir)
+    files = max(4, 2 * spark.sparkContext.defaultParallelism)  # a file is one task: enough of them for every core
     for part in (dirty, dirty.where("insegnamento_id % 11 = 0")):
         twice = part.unionByName(part.where("insegnamento_id % 5 = 0"))
-        export_csv(twice.repartitionByRange("a_a", "insegnamento_id"), landing, mode="append")
-        start_incremental_load(spark, landing, sink, ckpt, available_now=True, max_files_per_trigger=4).awaitTermination()
+        # both copies of a row are in one file: files are not cut
+        export_csv(twice.repartitionByRange("a_a", "insegnamento_id"), landing, mode="append", file_rows=None)
+        start_incremental_load(spark, landing, sink, ckpt, available_now=True, max_files_per_trigger=files).awaitTermination()
     return read_loaded(spark, sink)
 
 

@@ -88,3 +88,18 @@ def test_pages_are_full_and_compressed(spark, scratch):
         (f"pages/{u}/{p}", f"pages/{u}/{p + 1}" if p < last else "", 400 if p < last else rest)
         for u, last, rest in (("", 1, 100), ("U1", 3, 300), ("U2", 3, 300)) for p in range(last + 1))
     assert sorted(int(r.isbn) for r in paged.records(pages).collect()) == list(range(3500))
+
+
+@smoke
+def test_incremental_load_gives_every_core_a_file(spark, monkeypatch):
+    from cattedra.plans.queries import QUERIES
+    from cattedra.streaming import incremental
+    seen, start = [], incremental.start_incremental_load
+
+    def watched(*args, **kw):
+        seen.append(kw["max_files_per_trigger"])
+        return start(*args, **kw)
+
+    monkeypatch.setattr(incremental, "start_incremental_load", watched)
+    QUERIES["incremental_load_stream"](spark, SMOKE)
+    assert len(seen) == 2 and min(seen) >= spark.sparkContext.defaultParallelism
