@@ -99,13 +99,13 @@ def insert_rows(df: DataFrame, rows: DataFrame, required: str = "insegnamento_pr
 
 def append_new(df: DataFrame, rows: DataFrame, key: Sequence[str] = CONTACT_NATURAL_KEY) -> DataFrame:
     """M5 (D1): append only rows whose natural key is not present yet, so a
-    repeated run is idempotent. Null-safe key comparison."""
-    r, d = rows.distinct().alias("_r"), df.select(*key).distinct().alias("_d")
+    repeated run is idempotent. Null-safe key comparison. Repeated rows are dropped after the join, which leaves fewer."""
+    r, d = rows.alias("_r"), df.select(*key).alias("_d")
     cond = None
     for k in key:
         c = F.col(f"_r.{k}").eqNullSafe(F.col(f"_d.{k}"))
         cond = c if cond is None else cond & c
-    fresh = r.join(d, cond, "left_anti").select("_r.*")
+    fresh = r.join(d, cond, "left_anti").select("_r.*").distinct()
     return df.unionByName(assign_ids(df, fresh).select(*df.columns))
 
 

@@ -103,3 +103,15 @@ def test_incremental_load_gives_every_core_a_file(spark, monkeypatch):
     monkeypatch.setattr(incremental, "start_incremental_load", watched)
     QUERIES["incremental_load_stream"](spark, SMOKE)
     assert len(seen) == 2 and min(seen) >= spark.sparkContext.defaultParallelism
+
+
+def test_new_rows_are_joined_before_repeats_are_dropped(spark, monkeypatch):
+    from cattedra.operators import changes as chg
+    seen = []
+    monkeypatch.setattr(chg, "assign_ids", lambda df, rows: seen.append(rows) or rows)
+    schema = "record_id long, uni_cod string, prof_id long, insegnamento_id long, isbn string"
+    old = spark.createDataFrame([(1, "A", 1, 1, None), (2, "A", 1, 1, None)], schema)
+    new = spark.createDataFrame([(None, "A", 1, 1, None), (None, "B", 1, None, "x"), (None, "B", 1, None, "x")], schema)
+    assert sorted(r.uni_cod for r in chg.append_new(old, new).collect()) == ["A", "A", "B"]
+    lines = seen[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [x for x in lines if "Aggregate" in x or "Join" in x][0].lstrip("+-: ").startswith("Aggregate")
