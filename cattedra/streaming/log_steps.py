@@ -34,10 +34,13 @@ class StepNumbers(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # missing values first, as Spark orders them
         found = sorted(rows, key=lambda r: [(r[c] is not None, r[c] if r[c] is not None else 0) for c in self.order])
-        start = self.next.get()[0] if self.next.exists() else 0
+        held = self.next.get()  # one call of the state a group, and one to set it
+        start = held[0] if held else 0
         self.next.update((start + len(found),))
-        for q, row in enumerate(found, start):
-            yield Row(**row.asDict(), q=q)
+        if found:
+            numbered_row = Row(*found[0].__fields__, "q")
+            for q, row in enumerate(found, start):
+                yield numbered_row(*row, q)
 
     def close(self) -> None:
         pass

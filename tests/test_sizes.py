@@ -105,6 +105,29 @@ def test_incremental_load_gives_every_core_a_file(spark, monkeypatch):
     assert len(seen) == 2 and min(seen) >= spark.sparkContext.defaultParallelism
 
 
+def test_step_numbers_ask_the_state_once():
+    from pyspark.sql import Row
+
+    from cattedra.streaming.log_steps import StepNumbers
+
+    class State:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls, self.held = self.calls + 1, value
+
+    numbers = StepNumbers(("date",))
+    numbers.next = state = State()
+    for first in (0, 2):
+        got = list(numbers.handleInputRows((1,), iter([Row(tenant_id=1, date=5), Row(tenant_id=1, date=None)]), None))
+        assert [(r.date, r.q) for r in got] == [(None, first), (5, first + 1)]
+    assert state.calls == 4
+
+
 def test_new_rows_are_joined_before_repeats_are_dropped(spark, monkeypatch):
     from cattedra.operators import changes as chg
     seen = []
