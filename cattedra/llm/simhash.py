@@ -133,7 +133,8 @@ def links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
         # same embedding: at that point; one apart: at a's point; two apart: at a point between
         met = met & ((F.col("pa") == F.col("ca"))
                      | ((F.col("ca") != F.col("cb")) & (F.col("pa") != F.col("cb"))))
-    return a.join(b, (F.col("pa") == F.col("pb")) & met).select("a", "b").distinct()
+    # Spark sizes the points by their classes, as before the explode, and would broadcast them
+    return a.join(b.hint("merge"), (F.col("pa") == F.col("pb")) & met).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
