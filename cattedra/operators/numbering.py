@@ -25,19 +25,19 @@ def _ranged(df: DataFrame, order: Sequence[Column | str], num_partitions: int |
     """Range-partitioned, sorted rows with their partition id and local position.
 
     Numbering needs two passes over these rows (counts, then offsets joined
-    back). They are checkpointed once to the shared checkpoint folder with the
-    positions fixed, so the range shuffle and sort run once, not per pass, and
-    a lost executor cannot renumber anything."""
-    from cattedra.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
+    back). They are stored once in the shared checkpoint folder (as Parquet, which takes
+    a fraction of a checkpoint's space) with the positions fixed, so the range shuffle
+    and sort run once, not per pass, and a lost executor cannot renumber anything."""
+    from cattedra.session import stored
     cols = _cols(order)
     # without an explicit count AQE may coalesce neighbouring ranges (order is kept)
     ranged = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
     ranged = ranged.sortWithinPartitions(*cols)
     mid = F.monotonically_increasing_id()
-    positioned = ranged.withColumn("_mid", mid).select(
-        "*", F.shiftright("_mid", 33).alias("_pid"), F.col("_mid").bitwiseAND(_LOW_BITS).alias("_local"))
-    return positioned.checkpoint(eager=True)
+    voids = [c for c, kind in df.dtypes if kind == "void"]  # no Parquet type
+    kept = stored(ranged.withColumn("_mid", mid).drop(*voids), "numbered")
+    return kept.select(*[F.lit(None).alias(c) if c in voids else c for c in df.columns], "_mid",
+                       F.shiftright("_mid", 33).alias("_pid"), F.col("_mid").bitwiseAND(_LOW_BITS).alias("_local"))
 
 
 def with_global_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_index",
