@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cattedra.operators.dedup import asc, desc, keep_first
 from cattedra.operators.numbering import with_global_index
 from cattedra.schemas import CONTACT_COLUMNS, MAILING_COLUMNS
-from cattedra.session import stored
+from cattedra.session import remove_path, stored_at
 
 UPSERT_KEY = ["uni_cod", "prof_id"]
 # --- Fixed values: natural key of a contact for idempotent appends (D1). ---
@@ -60,11 +60,14 @@ def assign_ids(df: DataFrame, rows: DataFrame, key: str = "record_id") -> DataFr
     if key not in df.columns:
         return rows
     named = rows if key in rows.columns else rows.withColumn(key, F.lit(None).cast("bigint"))
-    named = stored(named, "new-rows")  # read several times below; ``rows`` may be a join
+    named, folder = stored_at(named, "new-rows")  # read several times below; ``rows`` may be a join
     top = max([x for f in (df, named) for x in [f.agg(F.max(key)).first()[0]] if x is not None], default=0)
     order = [F.col(c).asc_nulls_first() for c in named.columns if c != key]
     fresh = with_global_index(named.where(F.col(key).isNull()), order, "_place")
-    fresh = fresh.withColumn(key, F.col("_place") + F.lit(top + 1)).drop("_place")
+    fresh = fresh.withColumn(key, F.col("_place") + F.lit(top + 1)).drop("_place").select(*named.columns)
+    if named.where(F.col(key).isNotNull()).isEmpty():
+        remove_path(df.sparkSession, folder)  # the numbered rows are stored themselves
+        return fresh
     return named.where(F.col(key).isNotNull()).unionByName(fresh)
 
 
@@ -105,8 +108,14 @@ def append_new(df: DataFrame, rows: DataFrame, key: Sequence[str] = CONTACT_NATU
     for k in key:
         c = F.col(f"_r.{k}").eqNullSafe(F.col(f"_d.{k}"))
         cond = c if cond is None else cond & c
-    fresh = r.join(d, cond, "left_anti").select("_r.*").distinct()
-    return df.unionByName(assign_ids(df, fresh).select(*df.columns))
+    fresh, folder = r.join(d, cond, "left_anti").select("_r.*"), None
+    if "record_id" in df.columns:
+        fresh, folder = stored_at(fresh, "fresh")  # the shuffles of the join are gone before those of the repeats
+    fresh = fresh.distinct()
+    named = assign_ids(df, fresh)
+    if folder and named is not fresh:
+        remove_path(df.sparkSession, folder)  # the named rows are stored themselves
+    return df.unionByName(named.select(*df.columns))
 
 
 def append_upload(resolved_upload: DataFrame, selected: DataFrame) -> DataFrame:
